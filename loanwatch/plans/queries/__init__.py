@@ -1 +1 @@
-from . import ranking  # noqa: F401
+from . import data, ranking  # noqa: F401

@@ -177,3 +177,97 @@ def called_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             .where((F.col("event_type") == "signup") & (F.col("value") > 120))
             .groupBy(F.col("user_id").cast("string").alias("NATIONAL_CODE"))
             .agg(F.max("ts").alias("CALLED_AT")))
+
+
+def job_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The load job's own bookkeeping, one row per attempt."""
+    return run_log(spark, sf_dir).select(
+        F.lit(C.LOAD_JOB).alias("JOB_NAME"), F.col("SNAPSHOT_DATE").alias("RUN_MONTH"),
+        F.when(F.col("OPERATION_STATUS") == "PARTIAL_SUCCESS", "SUCCESS")
+        .otherwise(F.col("OPERATION_STATUS")).alias("STATUS"),
+        F.when(F.col("OPERATION_STATUS") == "FAILED", "publish").otherwise("done").alias("LAST_STEP"),
+        F.when(F.col("OPERATION_STATUS") == "FAILED", "stopped").alias("ERROR_MESSAGE"),
+        F.col("OPERATION_DATE").alias("END_TIME"))
+
+
+def checked_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed with the columns the feed checks look at, faults planted."""
+    df = feed_with_open_labels(spark, sf_dir)
+    i = F.col("LOAN_ID")
+    return df.withColumns({
+        "MONTHS_IN_CURRENT_CATEGORY": (i % 8).cast("int"),
+        "CATEGORY_T1": (i % 6).cast("int"),
+        "CATEGORY_T2": (i % 5).cast("int"),
+        "CATEGORY_T3": (i % 7 - 1).cast("int"),
+        "HIST_MAX_CATEGORY": F.col("LOAN_CATEGORY"),
+        "HAS_EVER_BEEN_NPL": (F.col("DPD_DAYS") >= 181).cast("int"),
+        "HAS_EVER_BEEN_PRENPL": F.when(i % 13 != 0, (F.col("DPD_DAYS") >= 184).cast("int")),
+        "DAYS_SINCE_LAST_30_DPD": F.when(i % 29 == 0, 0).otherwise(F.col("DAYS_SINCE_LAST_DPD")),
+        "DAYS_SINCE_LAST_60_DPD": F.when(i % 31 == 0, 1).otherwise(F.lit(C.NEVER)),
+        "DAYS_SINCE_LAST_90_DPD": F.lit(100000),
+        "WORST_FUTURE_CAT": F.when(i % 37 == 0, F.col("WORST_FUTURE_CAT") - 2)
+        .otherwise(F.col("WORST_FUTURE_CAT")),
+        "LABEL_HORIZON_DATE": F.when((i % 41 == 0) & (F.col("SNAPSHOT_DATE") > 20000101),
+                                     F.col("LABEL_HORIZON_DATE") + 1)
+        .otherwise(F.col("LABEL_HORIZON_DATE")),
+    })
+
+
+def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines read as rows keyed by (order, ship month), which repeat."""
+    month = F.date_trunc("month", "l_shipdate")
+    return read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("LOAN_ID"), yyyymmdd(month).alias("SNAPSHOT_DATE"))
+
+
+def text_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities as text, mangled on every 97th order."""
+    q = F.col("l_quantity").cast("string")
+    return read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("LOAN_ID"), "l_linenumber",
+        F.when(F.col("l_orderkey") % 97 == 0, F.concat(q, F.lit("/5"))).otherwise(q).alias("QTY"),
+        F.col("l_discount").cast("string").alias("DISC"))
+
+
+def feed_with_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed with header text in the customer column of some rows."""
+    i = F.col("LOAN_ID")
+    return loan_feed(spark, sf_dir).withColumn(
+        "NATIONAL_CODE", F.when(i % 101 == 0, "NATIONAL_CODE").when(i % 103 == 0, None)
+        .otherwise(F.col("NATIONAL_CODE")))
+
+
+def engine_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One output row per scored loan and usable or failed run."""
+    f = loan_feed(spark, sf_dir).where(F.col("LOAN_CATEGORY") < 3)
+    runs = run_log(spark, sf_dir).select("OPERATION_ID", "SNAPSHOT_DATE")
+    return f.join(F.broadcast(runs), "SNAPSHOT_DATE").select(      # a few rows per month
+        "OPERATION_ID", "SNAPSHOT_DATE", "LOAN_ID", "NATIONAL_CODE",
+        F.col("SCORE").alias("P3"), F.col("LOAN_CATEGORY").alias("DPD_CAT"),
+        F.col("DPD_DAYS").alias("DPD"), F.col("REMAINING_AMNT").alias("REMAIN_OF_ACCOUNT"))
+
+
+def contract_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exception-rule status per (run, loan); only some loans have one."""
+    out = engine_output(spark, sf_dir)
+    hit = (F.col("P3") > 0.5) & (F.col("DPD") > 120)
+    return out.where(hit | (F.col("LOAN_ID") % 3 == 0)).select(
+        "OPERATION_ID", "LOAN_ID",
+        F.when(hit, "PENDING_ENRICHMENT").otherwise("NOT_APPLICABLE")
+        .alias("OPERATION_STATUS_ENRICHMENT"))
+
+
+def flagged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction rows as the monitor reads them."""
+    return scored(spark, sf_dir).select(
+        "SNAPSHOT_DATE", "LOAN_ID", "NATIONAL_CODE", "CURRENT_CAT",
+        F.col("SCORE").alias("RISK_SCORE"), "REMAINING_AMNT",
+        ((F.col("SCORE") > 0.5) & (F.col("DPD_DAYS") > 120)).alias("FLAGGED"))
+
+
+def class_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw probabilities p0..p3: the score for the worst class, the rest shared."""
+    s = F.col("SCORE")
+    shares = (0.5, 0.3, 0.2)
+    return scored(spark, sf_dir).withColumns(
+        {**{f"p{k}": (1 - s) * w for k, w in enumerate(shares)}, "p3": s})

@@ -67,7 +67,7 @@ def main(argv):
     spark = configure(SparkSession.builder.master("local[8]")
                       .config("spark.ui.enabled", "false")
                       .config("spark.sql.shuffle.partitions", "8")
-                      .config("spark.driver.memory", "16g")).getOrCreate()
+                      .config("spark.driver.memory", "16g").config("spark.ui.showConsoleProgress", "false")).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     failed = 0
