@@ -1 +1 @@
-from . import data, ranking  # noqa: F401
+from . import data, evaluate, ranking, shape  # noqa: F401
