@@ -15,19 +15,24 @@ from .position import _IDX, _PART, _sorted_slices
 
 
 def quantiles(df: DataFrame, group: list[str], value: str, probs: list[float],
-              method: str = "exact", accuracy: int = 10_000) -> DataFrame:
+              method: str = "exact", accuracy: int = 10_000,
+              weight: str | None = None) -> DataFrame:
     """Long frame (group..., prob, value): numpy-style linear quantiles.
 
-    NULL values are left out; a group without values gives no rows.
+    NULL values are left out; a group without values gives no rows. ``weight``
+    says how many times a row counts, for frames that are already reduced.
     ``method="approx"`` is one pass with ``percentile_approx`` (rank error at
     most n/accuracy, no interpolation) for when an estimate will do.
     """
     data = df.where(F.col(value).isNotNull())
     probs = [float(p) for p in probs]
     if method == "approx":
+        if weight:
+            raise ValueError("approximate quantiles take unweighted rows")
         arr = F.array(*[F.lit(p) for p in probs])
         return (data.groupBy(*group)
-                .agg(F.percentile_approx(value, probs, accuracy).alias("__q"))
+                .agg(F.percentile_approx(
+                    value, probs, accuracy).alias("__q"))
                 .select(*group, F.explode(F.arrays_zip(arr.alias("prob"),
                                                        F.col("__q").alias("value"))).alias("z"))
                 .select(*group, F.col("z.prob").alias("prob"),
@@ -37,7 +42,7 @@ def quantiles(df: DataFrame, group: list[str], value: str, probs: list[float],
     if not group:
         data = data.withColumn("__all", F.lit(0))
     counted = data.groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(
-        F.count(F.lit(1)).alias("__n"))
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("__n"))
     rows = _sorted_slices(counted, [F.col(k).asc_nulls_first() for k in keys]
                           + [F.col("__v").asc()])
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import contract
 from ..functions.quantiles import quantiles
+from ..session import pin
 from .clean import ContractError
 
 
@@ -78,6 +79,9 @@ class Preprocessor:
         return self
 
     def fit(self, df: DataFrame, method: str = "exact") -> "Preprocessor":
+        """All three fits. The training rows are read by each of them, so the
+        feature columns are written out once first."""
+        df = pin(df.select(*self.features))
         self.fit_fill(df, method)
         self.fit_bounds(self.impute(df), method)
         return self.fit_scale(self.clip(self.impute(df)), method)

@@ -9,6 +9,7 @@ from ... import contract
 from ...operators import grain as G
 from ...operators import maturity as E
 from ...operators.preprocess import Preprocessor
+from ...session import pin
 from ...sources import derived as D
 from ...sources.tables import label_ledger
 from ..registry import query
@@ -298,7 +299,7 @@ def _f2(spark, sf):
 
 
 def _fitted(spark, sf, steps):
-    train = train_rows(spark, sf)
+    train = pin(train_rows(spark, sf))       # read by every fit
     p = Preprocessor(FEATS).fit_fill(train)
     if steps > 1:
         p.fit_bounds(p.impute(train))

@@ -271,3 +271,20 @@ def class_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = (0.5, 0.3, 0.2)
     return scored(spark, sf_dir).withColumns(
         {**{f"p{k}": (1 - s) * w for k, w in enumerate(shares)}, "p3": s})
+
+
+MONITOR_ASOF = 20011015
+
+
+def monitor_state_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state log with nothing known where installments were deleted."""
+    df = state_log(spark, sf_dir).select("LOAN_ID", "MONTH_END", "DPD_AT_MONTH_END",
+                                         "MAX_DPD_IN_MONTH", "HAS_INSTALLMENTS", "BUILT_AT")
+    known = F.col("HAS_INSTALLMENTS") == 1
+    return df.withColumns({c: F.when(known, F.col(c)) for c in ("DPD_AT_MONTH_END", "MAX_DPD_IN_MONTH")})
+
+
+def monitored_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loan table the monitor reads; some scored loans have left it."""
+    return feed_with_open_labels(spark, sf_dir).where(F.col("LOAN_ID") % 53 != 0).select(
+        "SNAPSHOT_DATE", "LOAN_ID", "LABEL_HORIZON_DATE", "WORST_FUTURE_CAT")
