@@ -1 +1 @@
-from . import data, evaluate, monitor, ranking, shape  # noqa: F401
+from . import data, evaluate, explore, monitor, ranking, shape  # noqa: F401
