@@ -288,3 +288,43 @@ def monitored_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The loan table the monitor reads; some scored loans have left it."""
     return feed_with_open_labels(spark, sf_dir).where(F.col("LOAN_ID") % 53 != 0).select(
         "SNAPSHOT_DATE", "LOAN_ID", "LABEL_HORIZON_DATE", "WORST_FUTURE_CAT")
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read as enrichment responses, one row per (event, endpoint)."""
+    e = read(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    v, u, i = F.col("value"), F.col("user_id"), F.col("event_id")
+    return e.select(
+        F.col("event_type").alias("endpoint"), u.cast("string").alias("NATIONAL_CODE"),
+        F.when(v > 60, 3).when(v > 35, 2).when(k < 30, 1).otherwise(0).alias("CURRENT_CAT"),
+        F.when(i % 9 != 0, (F.when(v > 60, 100 + k).otherwise(k) * 1000 + F.round(v * 100).cast("bigint"))
+               / 1000.0).alias("am_due"),
+        k.alias("k"), (k % 7).alias("grade"),
+        F.when(i % 5 != 0, F.concat(F.lit("c"), ((u + k) % 4).cast("string"))).alias("region"),
+        (k >= 50).alias("active"),
+        F.concat(F.lit("n"), (u % 3).cast("string")).alias("family_name"),
+        F.lit("v1").alias("version"), F.concat(F.lit("id"), i.cast("string")).alias("ref"),
+        F.when(F.col("event_type") == "purchase", v * 2).alias("basket"),
+        F.when(i == 1, 1.5).alias("rare"))
+
+
+def listed_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders read as customers with a list of 0 to 3 registry records."""
+    item = """transform(if(o_orderkey % 4 = 0, array(), sequence(1, cast(o_orderkey % 4 as int))), i -> named_struct(
+        'bankCode', cast(15 + (o_orderkey + i) % 4 as int),
+        'amMoavagh', cast((o_custkey * i) % 5000 as double),
+        'status', cast(1 + (o_orderkey * i) % 5 as int),
+        'date', cast(14000101 + ((o_orderkey * i) % 4) * 10000 + ((o_orderkey + i) % 12) * 100 + o_custkey % 28 as int),
+        'emhalDate', 0,
+        'reasonCode', named_struct('int', if(i = 3, array(cast(o_custkey % 6 as int), 9), array(cast(o_custkey % 6 as int)))),
+        'code', concat('R', cast(o_custkey % 9 as string)),
+        'description', concat('reason ', cast(o_custkey % 9 as string))))"""
+    return read(spark, sf_dir, "orders").select(
+        F.lit("registry").alias("endpoint"), F.col("o_orderkey").cast("string").alias("NATIONAL_CODE"),
+        F.expr("cast(least(3, (o_custkey % 11) div 3) as int)").alias("CURRENT_CAT"),
+        F.expr(item).alias("rows"))
+
+
+LIST_AS_OF = 738965 + 500          # ordinal of the day the registry was read
+OWN_BANK = 17
