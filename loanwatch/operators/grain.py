@@ -35,11 +35,10 @@ def worst_loans(df: DataFrame, max_loans: int) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= max_loans).drop("__r")
 
 
-def _portfolio_facts(has_label: bool, exposure: str | None) -> list:
-    aggs = [F.count(F.lit(1)).alias("N_LOANS"),
-            cap_category(F.max("LOAN_CATEGORY")).alias("CURRENT_CAT")]
-    if has_label:
-        aggs.append(cap_category(F.max("WORST_FUTURE_CAT")).alias("LABEL"))
+def _portfolio_facts(df: DataFrame, exposure: str | None, category: str, label: str) -> list:
+    aggs = [F.count(F.lit(1)).alias("N_LOANS"), cap_category(F.max(category)).alias("CURRENT_CAT")]
+    if label in df.columns:
+        aggs.append(cap_category(F.max(label)).alias("LABEL"))
     if exposure:
         aggs.append(F.sum(exposure).alias("EXPOSURE"))
     return aggs
@@ -47,7 +46,7 @@ def _portfolio_facts(has_label: bool, exposure: str | None) -> list:
 
 def portfolio_rows(df: DataFrame, exposure: str | None = None) -> DataFrame:
     """Portfolio grain without features: label and category over all loans."""
-    return df.groupBy(*KEYS).agg(*_portfolio_facts("WORST_FUTURE_CAT" in df.columns, exposure))
+    return df.groupBy(*KEYS).agg(*_portfolio_facts(df, exposure, "LOAN_CATEGORY", "WORST_FUTURE_CAT"))
 
 
 def portfolio_feature_names(features: list[str]) -> list[str]:
@@ -55,24 +54,27 @@ def portfolio_feature_names(features: list[str]) -> list[str]:
 
 
 def portfolio_features(df: DataFrame, features: list[str], max_loans: int | None = None,
-                       exposure: str | None = None) -> DataFrame:
+                       exposure: str | None = None, category: str = "LOAN_CATEGORY",
+                       label: str = "WORST_FUTURE_CAT", keys: list[str] | None = None) -> DataFrame:
     """Portfolio grain: min, max, mean, population std per feature and counts.
 
     With ``max_loans`` the statistics cover the worst loans only while label,
-    category and count still cover all of them.
+    category and count still cover all of them. ``category`` and ``label`` name
+    the raw columns when the features themselves have been rescaled.
     """
+    keys = keys or KEYS
     stats = []
     for f in features:
         stats += [F.min(f).alias(f"MIN_{f}"), F.max(f).alias(f"MAX_{f}"),
                   F.avg(f).alias(f"MEAN_{f}"), F.stddev_pop(f).alias(f"STD_{f}")]
-    facts = _portfolio_facts("WORST_FUTURE_CAT" in df.columns, exposure)
+    facts = _portfolio_facts(df, exposure, category, label)
     if max_loans is None:
-        out = df.groupBy(*KEYS).agg(*facts, *stats)
+        out = df.groupBy(*keys).agg(*facts, *stats)
     else:
-        kept = worst_loans(df, max_loans).groupBy(*KEYS).agg(*stats)
-        out = df.groupBy(*KEYS).agg(*facts).join(kept, KEYS)
-    head = [c for c in out.columns if c not in portfolio_feature_names(features)]
-    return out.select(*head, *portfolio_feature_names(features))
+        kept = worst_loans(df, max_loans).groupBy(*keys).agg(*stats)
+        out = df.groupBy(*keys).agg(*facts).join(kept, keys)
+    names = portfolio_feature_names(features)
+    return out.select(*[c for c in out.columns if c not in names], *names)
 
 
 def portfolio_means(df: DataFrame, features: list[str]) -> DataFrame:

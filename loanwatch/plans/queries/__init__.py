@@ -1 +1 @@
-from . import api, data, evaluate, explore, monitor, ranking, shape  # noqa: F401
+from . import api, data, evaluate, explore, models, monitor, ranking, shape  # noqa: F401
