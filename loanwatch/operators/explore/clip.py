@@ -14,7 +14,7 @@ from ... import contract
 from ...functions.columns import ratio
 from ...functions.quantiles import quantiles
 from ...session import pin, small_side
-from ..preprocess import Preprocessor
+from ..preprocess import Preprocessor, feature_counts
 
 SIDES = ("tail", "head")
 STRATA = range(C.CARVE_CATEGORY)
@@ -60,7 +60,7 @@ def clip_report(df: DataFrame, features: list[str], only: list[str] | None = Non
     gradient cover the ranked rows (or all), and each queued category apart."""
     names = reported_features(features, only, include_exempt)
     nulls = null_fractions(df, names)
-    filled = Preprocessor(names).fit_fill(df.select(*names)).impute(df)
+    filled = Preprocessor(names).fit_fill(feature_counts(df, names)).impute(df)
     return report_from_counts(pin(value_counts(filled, names)), names, ranked_only).join(
         nulls, "feature", "left")
 

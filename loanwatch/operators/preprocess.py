@@ -1,7 +1,8 @@
 """Impute, clip, scale: fitted on training rows, one small row per feature.
 
-The three fits run in order on imputed, then clipped data. Statistics are kept
-by feature name, so column order cannot apply one feature's numbers to another.
+The three fits run in order on raw, imputed and clipped values. Filling and
+clipping act value by value, so they work on counts of distinct values as well
+as on rows. Statistics are kept by feature name, so column order cannot apply one feature's numbers to another.
 """
 
 from __future__ import annotations
@@ -17,21 +18,32 @@ from ..session import pin
 from .clean import ContractError
 
 
-def _long(df: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, v) rows of the named features."""
+def feature_counts(df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, v, n): how often each value occurs, NULL included.
+
+    Everything the fits need is in these counts, so the rows are read once.
+    """
     return df.select(*[F.col(c).cast("double").alias(c) for c in features]).unpivot(
-        [], features, "feature", "v")
+        [], features, "feature", "v").groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _collect_quantiles(df, features, probs, method) -> dict[str, dict[float, float]]:
+def _collect_quantiles(counts, features, probs, method) -> dict[str, dict[float, float]]:
     """Quantiles per feature on the driver: features x probs numbers."""
     out: dict[str, dict[float, float]] = {f: {} for f in features}
     if features:
-        for r in quantiles(_long(df, features), ["feature"], "v", probs, method).collect():
+        part = counts.where(F.col("feature").isin(features))
+        for r in quantiles(part, ["feature"], "v", probs, method,
+                           weight=None if method == "approx" else "n").collect():
             out[r["feature"]][r["prob"]] = r["value"]
     return out
 
 
+def _per_feature(values: dict[str, float]):
+    """A feature's own number, by name."""
+    return F.element_at(F.create_map(*[x for f, v in values.items() for x in (F.lit(f), F.lit(float(v)))]),
+                        F.col("feature"))
+
+
 @dataclass
 class Preprocessor:
     """Fitted statistics by feature name."""
@@ -43,20 +55,21 @@ class Preprocessor:
     scale: dict[str, float] = field(default_factory=dict)
 
     # -- fit -------------------------------------------------------------------
-    def fit_fill(self, df: DataFrame, method: str = "exact") -> "Preprocessor":
+    def fit_fill(self, counts: DataFrame, method: str = "exact") -> "Preprocessor":
         """Never-happened days: maximum + 1. Amounts and ratios: median. Else 0."""
         days = [f for f in self.features if f.startswith("DAYS_SINCE")]
         med = [f for f in self.features if f not in days and ("AMNT" in f or "RATIO" in f)]
         self.fill = dict.fromkeys(self.features, 0.0)
         if days:
-            top = df.agg(*[F.max(F.col(f).cast("double")).alias(f) for f in days]).first()
-            self.fill.update({f: 9999.0 if top[f] is None else top[f] + 1.0 for f in days})
-        q = _collect_quantiles(df, med, [0.5], method)
+            top = {r["feature"]: r["m"] for r in counts.where(F.col("feature").isin(days)).groupBy(
+                "feature").agg(F.max("v").alias("m")).collect()}         # one row per feature
+            self.fill.update({f: 9999.0 if top.get(f) is None else top[f] + 1.0 for f in days})
+        q = _collect_quantiles(counts, med, [0.5], method)
         self.fill.update({f: q[f].get(0.5, 0.0) for f in med})
         return self
 
     def fit_bounds(self, imputed: DataFrame, method: str = "exact") -> "Preprocessor":
-        """[p1, p99] of imputed data; a declared range wins; flags are exempt."""
+        """[p1, p99] of imputed counts; a declared range wins; flags are exempt."""
         clipped = [f for f in self.features
                    if f not in contract.BINARY and f not in contract.NO_CLIP]
         declared = {f: contract.CLIP_BOUNDS[f] for f in clipped if f in contract.CLIP_BOUNDS}
@@ -67,7 +80,7 @@ class Preprocessor:
         return self
 
     def fit_scale(self, clipped: DataFrame, method: str = "exact") -> "Preprocessor":
-        """Median and quartile range of clipped data; a zero range divides by 1."""
+        """Median and quartile range of clipped counts; a zero range divides by 1."""
         scaled = [f for f in self.features
                   if f not in contract.BINARY and f not in contract.NO_SCALE]
         q = _collect_quantiles(clipped, scaled, [0.25, 0.5, 0.75], method)
@@ -78,13 +91,39 @@ class Preprocessor:
                 self.scale[f] = span if span != 0 else 1.0
         return self
 
+    def imputed_counts(self, counts: DataFrame) -> DataFrame:
+        return counts.withColumn("v", F.coalesce(F.col("v"), _per_feature(self.fill)))
+
+    def clipped_counts(self, imputed: DataFrame) -> DataFrame:
+        if not self.bounds:
+            return imputed
+        lo = _per_feature({f: b[0] for f, b in self.bounds.items()})
+        hi = _per_feature({f: b[1] for f, b in self.bounds.items()})
+        return imputed.withColumn("v", F.when(lo.isNull(), F.col("v")).otherwise(
+            F.greatest(lo, F.least(hi, F.col("v")))))
+
     def fit(self, df: DataFrame, method: str = "exact") -> "Preprocessor":
-        """All three fits. The training rows are read by each of them, so the
-        feature columns are written out once first."""
-        df = pin(df.select(*self.features))
-        self.fit_fill(df, method)
-        self.fit_bounds(self.impute(df), method)
-        return self.fit_scale(self.clip(self.impute(df)), method)
+        """All three fits on one pass over the rows: counts of distinct values
+        are written out, then imputed, clipped and measured in turn.
+
+        With ``method="approx"`` the rows themselves are sketched, one pass per
+        fit and no sort.
+        """
+        if method == "approx":
+            return self._fit_approx(df)
+        counts = pin(feature_counts(df, self.features))
+        self.fit_fill(counts)
+        imputed = self.imputed_counts(counts)
+        self.fit_bounds(imputed)
+        return self.fit_scale(self.clipped_counts(imputed))
+
+    def _fit_approx(self, df: DataFrame) -> "Preprocessor":
+        long = df.select(*[F.col(c).cast("double").alias(c) for c in self.features]).unpivot(
+            [], self.features, "feature", "v")
+        self.fit_fill(long, "approx")
+        imputed = self.imputed_counts(long)
+        self.fit_bounds(imputed, "approx")
+        return self.fit_scale(self.clipped_counts(imputed), "approx")
 
     # -- transform -------------------------------------------------------------
     def impute(self, df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from ... import constants as C
 from ... import contract
 from ...operators import grain as G
 from ...operators import maturity as E
-from ...operators.preprocess import Preprocessor
+from ...operators.preprocess import Preprocessor, feature_counts
 from ...session import pin
 from ...sources import derived as D
 from ...sources.tables import label_ledger
@@ -289,22 +289,23 @@ def _unpivot(cte, cols):
 
 @query("F1_imputer_fit", "feature:s fill:d", f"{_PREP} " + _unpivot("fl", [(f, "{0} as fill") for f in FEATS]))
 def _f1(spark, sf):
-    return Preprocessor(FEATS).fit_fill(train_rows(spark, sf)).to_frame(spark)
+    return _fitted(spark, sf, 1).to_frame(spark)
 
 
 @query("F2_impute", _ROW, f"{_PREP} select * from im2")
 def _f2(spark, sf):
-    p = Preprocessor(FEATS).fit_fill(train_rows(spark, sf))
+    p = _fitted(spark, sf, 1)
     return p.impute(D.loan_feed(spark, sf))
 
 
 def _fitted(spark, sf, steps):
-    train = pin(train_rows(spark, sf))       # read by every fit
-    p = Preprocessor(FEATS).fit_fill(train)
+    counts = pin(feature_counts(train_rows(spark, sf), FEATS))       # read by every fit
+    p = Preprocessor(FEATS).fit_fill(counts)
+    imputed = p.imputed_counts(counts)
     if steps > 1:
-        p.fit_bounds(p.impute(train))
+        p.fit_bounds(imputed)
     if steps > 2:
-        p.fit_scale(p.clip(p.impute(train)))
+        p.fit_scale(p.clipped_counts(imputed))
     return p
 
 

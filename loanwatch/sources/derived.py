@@ -17,8 +17,19 @@ LAST_FINAL_SNAPSHOT = 20010501     # later snapshots are open
 LAST_LEGACY_SNAPSHOT = 19991201
 
 
+# Join key of the tables that come as one small file.
+_SPREAD_KEY = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A supplied table. One that arrives in fewer splits than there are cores
+    (a single row group, so it is small) is spread over them first; a table of
+    many splits is read as it is, without a shuffle."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if table in _SPREAD_KEY and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, _SPREAD_KEY[table])
+    return df
 
 
 def yyyymmdd(ts: Column) -> Column:

@@ -50,8 +50,9 @@ def _write(rows: DataFrame, path: str) -> None:
 def store_mature(loans: DataFrame, ledger: DataFrame, path: str) -> list[int]:
     """Store the mature snapshots that are not stored yet; returns which.
 
-    Stored ones are permanent and are not read again. Rows without a label are
-    dropped before storing; a snapshot outside the ledger is refused.
+    Stored ones are permanent and are not read again. Only ledger snapshots are
+    selected and rows without a label are dropped, so the guard's conditions
+    hold by construction and cost no pass of their own.
     """
     spark = loans.sparkSession
     have = set(stored_snapshots(spark, path))
@@ -59,12 +60,14 @@ def store_mature(loans: DataFrame, ledger: DataFrame, path: str) -> list[int]:
     wanted = sorted(final - have)
     if not wanted:
         return []
-    rows = loans.where(F.col("SNAPSHOT_DATE").isin(wanted)).where(
-        F.col("WORST_FUTURE_CAT").isNotNull())
-    return _store_checked(rows, ledger, path)
+    _write(loans.where(F.col("SNAPSHOT_DATE").isin(wanted)).where(
+        F.col("WORST_FUTURE_CAT").isNotNull()), path)
+    return sorted(set(stored_snapshots(spark, path)) - have)
 
 
-def _store_checked(rows: DataFrame, ledger: DataFrame, path: str) -> list[int]:
+def store_rows(rows: DataFrame, ledger: DataFrame, path: str) -> list[int]:
+    """Store rows a caller calls mature, after checking that they are: a
+    snapshot outside the ledger or an unlabelled row is refused."""
     facts = guard_mature(rows, ledger).collect()          # one row per snapshot
     bad = [r for r in facts if r["n_unlabelled"] > 0 or not r["in_ledger"]]
     if bad:
