@@ -80,14 +80,14 @@ def quantiles(df: DataFrame, group: list[str], value: str, probs: list[float],
     near = near.withColumn("__end", F.col("__before") + F.sum("__n").over(inside))
     first, last = F.col("__end") - F.col("__n"), F.col("__end") - 1
     near = near.select(*keys, "__v", "__end", "__n", F.explode(F.filter(
-        "__wanted", lambda w: (w["lo"] <= last) & (w["hi"] >= first))).alias("w"))
-    picked = near.groupBy(*keys, F.col("w.prob").alias("prob")).agg(
-        F.max(F.when(F.col("w.lo").between(first, last), F.col("__v"))).alias("a"),
-        F.max(F.when(F.col("w.hi").between(first, last), F.col("__v"))).alias("b"),
-        F.max("w.frac").alias("f"))
+        "__wanted", lambda w: (w["lo"] <= last) & (w["hi"] >= first))).alias("__w"))
+    picked = near.groupBy(*keys, F.col("__w.prob").alias("prob")).agg(
+        F.max(F.when(F.col("__w.lo").between(first, last), F.col("__v"))).alias("__a"),
+        F.max(F.when(F.col("__w.hi").between(first, last), F.col("__v"))).alias("__b"),
+        F.max("__w.frac").alias("__f"))
     return picked.select(*group, "prob",
-                         F.when(F.col("f") == 0, F.col("a"))
-                         .otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("f"))
+                         F.when(F.col("__f") == 0, F.col("__a"))
+                         .otherwise(F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__f"))
                          .alias("value"))
 
 

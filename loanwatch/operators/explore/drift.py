@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ... import constants as C
+from ...functions.columns import ratio
 from ..ranking import ranked_population
 
 
@@ -42,7 +43,9 @@ def trends(table: DataFrame) -> DataFrame:
     ok = ok.withColumn("r", F.rank().over(by.orderBy("y")) + (tied - 1) / 2.0)
     rho = ok.groupBy("series").agg(
         F.count(F.lit(1)).alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"),
-        F.corr("r", F.col("x").cast("double")).alias("rho")).select(
+        # not corr(): it divides by zero on a constant series
+        ratio(F.covar_pop("r", F.col("x").cast("double")),
+              F.stddev_pop("r") * F.stddev_pop("x")).alias("rho")).select(
         "series", F.when((F.col("n") >= 3) & (F.col("lo") < F.col("hi")), F.col("rho"))
         .alias("rho_vs_snapshot_order"))
     return ends.join(rho, "series", "left").select("series", "rho_vs_snapshot_order", "first", "last")
