@@ -1,7 +1,8 @@
 """Time the headline queries at BENCH_SF_DIR on local[BENCH_CPUS].
 
 Prints one JSON line. Each query's result is written to the no-op sink, so
-every column of every row is computed and nothing is collected.
+every column of every row is computed and nothing is collected. One run per
+query, so code generation and JIT compilation are in the times.
 """
 
 from __future__ import annotations

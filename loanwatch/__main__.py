@@ -14,7 +14,7 @@ from . import contract
 from .operators.explore import profile
 from .plans import monitor as monitor_plan
 from .plans import score, train
-from .session import configure
+from .session import configure, drop_pins
 from .sources import artifact, store
 from .sources.tables import label_ledger, nan_to_null
 
@@ -72,6 +72,7 @@ def main(argv: list[str] | None = None) -> None:
             *[spark.read.parquet(x) for x in (args.runs, args.output, args.tracking)],
             raw_ledger, spark.read.parquet(args.state_log), loans)
         monitor_plan.run_monitor(tables, args.asof, out)
+    drop_pins(spark)
 
 
 def _keep(spark: SparkSession, result: train.FoldResult, path: str) -> None:

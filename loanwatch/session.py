@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_PINS: list[str] = []        # tables pin() wrote in this process
+
+
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """The settings results rely on (time zone) and the ones plans profit from."""
     return (builder
@@ -49,10 +52,20 @@ def pin(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/pin-{uuid.uuid4().hex}"
+    _PINS.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_pins(spark: SparkSession) -> None:
+    """Delete the pinned tables this session wrote. For the end of a job: frames
+    built on them can no longer be read afterwards."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    while _PINS:
+        p = fs_path(_PINS.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """A side that should be small, with its size checked before it is broadcast.
 

@@ -142,9 +142,11 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ledger_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label ledger as stored: untidy status text, NULL counts on LEGACY."""
     legacy = F.col("SNAPSHOT_DATE") <= LAST_LEGACY_SNAPSHOT
-    counts = state_log(spark, sf_dir).groupBy(F.col("MONTH_END").alias("SNAPSHOT_DATE")).agg(
-        F.max("MONTH_TS").alias("MONTH_TS"),
-        F.count_if(unlabelled(F.col("LOAN_ID"))).alias("n"))
+    loan = F.col("l_orderkey")
+    counts = read(spark, sf_dir, "lineitem").groupBy(
+        F.date_trunc("month", "l_shipdate").alias("MONTH_TS")).agg(
+        F.count_distinct(F.when(unlabelled(loan), loan)).alias("n")).withColumn(
+        "SNAPSHOT_DATE", yyyymmdd(F.col("MONTH_TS")))
     return counts.where(F.col("SNAPSHOT_DATE") <= LAST_FINAL_SNAPSHOT).select(
         "SNAPSHOT_DATE", F.when(legacy, " Legacy ").otherwise("final").alias("STATUS"),
         (F.col("MONTH_TS") + F.expr("interval 7 month")).alias("FINALIZED_AT"),
