@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ... import constants as C
 from ...functions.columns import cap_category
+from ...functions.position import with_position
 from ..grain import loans_per_customer
 from ..maturity import mature_snapshots
 
@@ -48,8 +49,8 @@ def stratified_sample(df: DataFrame, size: int, label: str = "LABEL", keys=("LOA
                       seed: int = C.SEED) -> DataFrame:
     """About ``size`` rows with the class shares kept, at least one per class.
 
-    Rows are drawn in the order of a seeded hash. The rank filter becomes a
-    per-task group limit, so a task sends on at most ``size`` rows per class.
+    Rows are drawn in the order of a seeded hash; a class of any size may span
+    tasks, since it is ranked by range and not in one window.
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()    # one row per class
     total = sum(r["n"] for r in counts)
@@ -59,6 +60,5 @@ def stratified_sample(df: DataFrame, size: int, label: str = "LABEL", keys=("LOA
     for r in counts:
         q = max(1, round(size * r["n"] / total))
         quota = F.when(F.col(label).eqNullSafe(F.lit(r[label])), q).otherwise(quota)
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
-    return (df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= int(size))
-            .where(F.col("__r") <= quota).drop("__r"))
+    order = [F.xxhash64(F.lit(seed), *keys).asc(), *[F.col(k).asc() for k in keys]]
+    return with_position(df, order, within=[label], name="__r").where(F.col("__r") <= quota).drop("__r")

@@ -134,12 +134,10 @@ def sample_across_risk(queue: DataFrame, n: int = 100, bins: int = 5,
 
 
 def _draw(df: DataFrame, group: str, quota: int, seed: int) -> DataFrame:
-    """``quota`` rows per group. The rank filter is pushed below the shuffle
-    (a per-task group limit), so only quota rows per task and group move."""
-    from pyspark.sql import Window
-    order = F.xxhash64(F.lit(seed), "NATIONAL_CODE", "LOAN_ID", "SNAPSHOT_DATE")
-    w = Window.partitionBy(group).orderBy(order, "NATIONAL_CODE", "LOAN_ID", "SNAPSHOT_DATE")
-    return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= quota).drop("__r")
+    """``quota`` rows per group, which may be of any size."""
+    keys = ("NATIONAL_CODE", "LOAN_ID", "SNAPSHOT_DATE")
+    order = [F.xxhash64(F.lit(seed), *keys).asc(), *[F.col(k).asc() for k in keys]]
+    return with_position(df, order, within=[group], name="__r").where(F.col("__r") <= quota).drop("__r")
 
 
 def hours_to_call(n: Column) -> Column:
