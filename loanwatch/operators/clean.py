@@ -7,7 +7,6 @@ import logging
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import constants as C
 from .. import contract
 from ..functions.columns import cap_category, clean_number
 from ..functions.quantiles import quantiles

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ... import constants as C
-from ...functions.columns import clean_number, ratio
+from ...functions.columns import clean_number
 from ...functions.quantiles import quantiles
 from ...session import pin, small_side
 from .. import classify

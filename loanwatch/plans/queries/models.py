@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 from ... import constants as C
 from ...operators import arms as G
 from ...operators import calibrate as H
-from ...operators import decide as I
 from ...operators import maturity as E
 from ...operators import queue as Q
-from ...operators.clean import with_capped
 from ...operators.grain import loan_rows
 from ...operators.preprocess import Preprocessor
 from ...session import pin, scratch_root

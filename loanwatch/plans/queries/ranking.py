@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ... import constants as C
-from ...functions.columns import customer_bucket
 from ...operators import queue as Q
 from ...operators import ranking as K
 from ...sources import derived as D
