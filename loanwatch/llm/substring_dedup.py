@@ -112,6 +112,8 @@ def _window_rows(window: int, buckets: int):
         anchor, hashes, doc, key, start, spread = (np.concatenate(x) for x in zip(*parts, strict=True))
         gone = _settle(anchor, hashes, doc)
         slot = mix64((anchor.view(np.uint64) + (mix64(hashes.view(np.uint64)) & (spread - 1).astype(np.uint64))))
+        # What is settled only travels to its document: dealt by that, not by the anchor.
+        slot = np.where(gone, mix64(doc.view(np.uint64)), slot)
         bucket = (slot % np.uint64(buckets)).astype(np.int32)
         order = np.lexsort((start, anchor, key, doc, bucket, gone))
         anchor, hashes, doc, key, start, bucket, gone = (x[order] for x in (anchor, hashes, doc, key, start, bucket, gone))
