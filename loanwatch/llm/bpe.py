@@ -15,6 +15,7 @@ kept in a cache of bounded size. Decoding uses the retained token offsets.
 from __future__ import annotations
 
 import base64
+import heapq
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ SHORT, LONG = ("s", "t", "m", "d"), ("re", "ve", "ll")
 
 BLOCK = 256
 CACHE_ENTRIES = 400_000
+#: Bytes from which a pre-token is merged by itself.
+LONG_PIECE = 200
 
 _CLASS: np.ndarray | None = None
 
@@ -152,37 +155,95 @@ def token_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at[start[shifted]]
 
 
-class Merger(dict):
-    """Token ids of a pre-token's bytes as little-endian 32-bit numbers, merged once and kept."""
+_NONE = np.iinfo(np.int32).max
+
+
+class Merger:
+    """Merges pre-tokens into ids: many at a time, in step, each by its own lowest rank.
+
+    ``pairs`` are the sorted numbers (left id << 32 | right id) of all pairs
+    whose joined bytes are a token, ``made`` the tokens' ids.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
         self.ranks = ranks
-
-    def __missing__(self, piece: bytes) -> bytes:
-        ranks = self.ranks
-        whole = ranks.get(piece)
-        if whole is not None:
-            ids = [whole]
-        else:
-            parts = [piece[i:i + 1] for i in range(len(piece))]
-            pairs = [ranks.get(parts[i] + parts[i + 1]) for i in range(len(parts) - 1)]
-            while True:
-                best = min((r for r in pairs if r is not None), default=None)
-                if best is None:
-                    break
-                i = pairs.index(best)
-                parts[i:i + 2] = [parts[i] + parts[i + 1]]
-                del pairs[i]
-                if i < len(pairs):
-                    pairs[i] = ranks.get(parts[i] + parts[i + 1])
-                if i:
-                    pairs[i - 1] = ranks.get(parts[i - 1] + parts[i])
-            ids = [ranks[p] for p in parts]
-        packed = np.array(ids, "<u4").tobytes()
-        if len(self) < CACHE_ENTRIES:
-            self[piece] = packed
-        return packed
+        found = {(left << 32) | right: rank for token, rank in ranks.items() for i in range(1, len(token))
+                 if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None}
+        self.pairs = np.array(sorted(found), np.int64)
+        self.made = np.array([found[k] for k in self.pairs.tolist()], np.int32)
+        self._pair = None
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = (left.astype(np.int64) << 32) | right
+        if not len(self.pairs):
+            return np.full(key.shape, _NONE)
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (right >= 0) & (left >= 0), self.made[at], _NONE)
+
+    def _step_all(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        """Ids of pieces of similar length, as little-endian 32-bit numbers."""
+        out: list[bytes] = [b""] * len(starts)
+        cols = np.arange(lengths.max())
+        inside = cols < lengths[:, None]
+        ids = np.where(inside, self.of_byte[data[np.minimum(starts[:, None] + cols, len(data) - 1)]], -1)
+        rank, row = self._rank(ids[:, :-1], ids[:, 1:]), np.arange(len(starts))
+        while True:
+            at = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(row), np.int64)
+            least = rank[np.arange(len(row)), at] if rank.shape[1] else np.full(len(row), _NONE)
+            over = least == _NONE
+            for r, x in zip(row[over].tolist(), ids[over], strict=True):
+                out[r] = x[x >= 0].astype("<u4").tobytes()
+            if over.all():
+                return out
+            row, ids, rank, at, least = (x[~over] for x in (row, ids, rank, at, least))
+            n = np.arange(len(row))
+            cols = np.arange(ids.shape[1] - 1)
+            ids[n, at] = least
+            ids = np.take_along_axis(ids, cols + (cols > at[:, None]), axis=1)
+            rank = np.take_along_axis(rank, cols[:-1] + (cols[:-1] >= at[:, None]), axis=1)
+            for side in (at - 1, at):           # the two pairs that the new token stands in
+                some = np.flatnonzero((side >= 0) & (side < rank.shape[1]))
+                rank[some, side[some]] = self._rank(ids[some, side[some]], ids[some, side[some] + 1])
+
+    def _long(self, piece: bytes) -> bytes:
+        """One long piece: a heap of pairs and a linked list of parts."""
+        ids, n = self.of_byte[np.frombuffer(piece, np.uint8)].tolist(), len(piece)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        pair = dict(zip(self.pairs.tolist(), self.made.tolist(), strict=True)).get if self._pair is None else self._pair
+        self._pair = pair
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pair((ids[i] << 32) | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != left or j >= n or ids[j] != right:
+                continue                        # one of the two is part of another token by now
+            ids[i], ids[j], after[i] = rank, -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (r := pair((ids[a] << 32) | ids[b])) is not None:
+                    heapq.heappush(heap, (r, a, ids[a], ids[b]))
+        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        known = [self.ranks.get(p) for p in pieces]
+        out = [b"" if k is None else k.to_bytes(4, "little") for k in known]
+        todo = sorted((i for i, k in enumerate(known) if k is None), key=lambda i: len(pieces[i]))
+        while todo and len(pieces[todo[-1]]) > LONG_PIECE:
+            out[todo[-1]] = self._long(pieces[todo[-1]])
+            todo.pop()
+        data = np.frombuffer(b"".join(pieces[i] for i in todo), np.uint8)
+        lengths = np.array([len(pieces[i]) for i in todo], np.int64)
+        starts, a = np.cumsum(lengths) - lengths, 0
+        while a < len(todo):                    # a step takes pieces up to half as long again, and a bounded matrix
+            b = int(np.searchsorted(lengths, max(lengths[a] + 2, lengths[a] * 3 // 2), side="right"))
+            b = min(b, a + max(1, (1 << 20) // int(lengths[b - 1])))
+            for i, ids in zip(todo[a:b], self._step_all(data, starts[a:b], lengths[a:b]), strict=True):
+                out[i] = ids
+            a = b
+        return out
 
 
 @dataclass
@@ -190,10 +251,10 @@ class Bpe:
     """A byte-level BPE vocabulary: ranks are ids."""
 
     ranks: dict[bytes, int]
-    cache: Merger = field(init=False, repr=False)
+    cache: dict[bytes, bytes] = field(init=False, repr=False, default_factory=dict)
 
     def __post_init__(self):
-        self.cache = Merger(self.ranks)
+        self.merger = Merger(self.ranks)
         self.pieces = dict(zip(self.ranks.values(), self.ranks.keys(), strict=True))
 
     def __reduce__(self):
@@ -207,8 +268,12 @@ class Bpe:
         starts = token_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
         raw = data.tobytes()
-        packed = list(map(self.cache.__getitem__, [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]))
-        return packed, ends, np.searchsorted(starts, offsets)
+        tokens = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache.clear()
+        new = list(set(tokens).difference(self.cache))
+        self.cache.update(zip(new, self.merger.merge(new), strict=True))
+        return list(map(self.cache.__getitem__, tokens)), ends, np.searchsorted(starts, offsets)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
