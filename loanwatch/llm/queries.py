@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, language_id, packing, simhash_dedup, topk, toxicity
+from . import bpe, embedding_dedup, language_id, line_dedup, packing, simhash_dedup, topk, toxicity
 from .common import held_out, table
 from .substring_dedup import substring_dedup
 
@@ -70,3 +70,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(labels.select("doc_id", "toxic"), "doc_id")
     return toxicity.score(docs, toxicity.train(known)).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "line_dedup.n_lines", F.size("line_dedup.removed").alias("n_removed"), "line_dedup.removed")

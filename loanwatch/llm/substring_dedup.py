@@ -165,10 +165,10 @@ def _resolve(rows: pa.Table) -> pa.Table:
     return pa.concat_tables([done.cast(found.schema), found])
 
 
-def _cut(window: int):
+def _cut(window: int, keep: list[str]):
     """Removes the words of repeated windows from each whole text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
-                        ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
+    found = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()),
+                       ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
 
     def one(text: str, key: int, gone: list | None):
         words = text.encode().split()
@@ -187,21 +187,23 @@ def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             rows = zip(*(batch.column(c).to_pylist() for c in ("text", "text_key", "gone")), strict=True)
-            found = [pa.array(x, t) for x, t in zip(zip(*(one(*r) for r in rows), strict=True), schema.types[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found], schema=schema)
+            cut = [pa.array(x, t) for x, t in zip(zip(*(one(*r) for r in rows), strict=True), found.types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *keep)), *cut], ["doc_id", *keep, *found.names])
     return run
 
 
-def substring_dedup(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+def substring_dedup(documents: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
     """Cut each word that a window shared with a smaller document covers.
 
-    Takes ``doc_id long, text string``; other columns are left out. Returns a
-    row for each row: doc_id, n_words, n_removed, spans (removed intervals of
+    Takes ``doc_id long, text string``. Returns a row for each row: doc_id, the
+    columns named in ``keep`` as they were (others are left out), n_words, n_removed, spans (removed intervals of
     word numbers, end excluded, in order, not touching), kept_text (kept words
     joined by one space). Windows are judged on the input, not on what is left.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    own = [f"__keep_{c}" for c in keep]
+    docs = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"),
+                            *[F.col(c).alias(k) for k, c in zip(own, keep, strict=True)])
     whole = docs.where("doc_id is not null").withColumn("text_key", F.xxhash64("text"))
 
     anchors = pin(whole.select("doc_id", "text").mapInArrow(_anchor_rows(window), "anchor long, doc_id long"))
@@ -213,12 +215,15 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     windows = (wanted.agg(F.sum(F.size("anchors"))).first()[0] or 0) * (window - GRAM)
     buckets = max(partitions(spark), -(-windows // SETTLE))
 
-    found = (whole.join(wanted.hint("shuffle_hash"), "doc_id")
+    found = (whole.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "text_key", "anchors")
              .mapInArrow(_window_rows(window, buckets), "bucket int, doc_id long, text_key long, gone boolean, anchor long, windows binary, hashes binary")
              .groupBy("bucket").applyInArrow(_resolve, "doc_id long, text_key long, windows binary"))
     gone = found.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "windows")).alias("gone"))
-    out = ("doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    out = ", ".join(["doc_id long", *(f"{k} {kinds[k]}" for k in own), "n_words long, n_removed long",
+                     "spans array<struct<start:bigint,end:bigint>>, kept_text string"])
     nothing = F.lit(None).cast(gone.schema["gone"].dataType)
     return (whole.join(gone.hint("shuffle_hash"), "doc_id", "left")
             .unionByName(docs.where("doc_id is null").select("*", F.lit(0).cast("long").alias("text_key"), nothing.alias("gone")))
-            .mapInArrow(_cut(window), out))
+            .mapInArrow(_cut(window, own), out)
+            .select("doc_id", *[F.col(k).alias(c) for k, c in zip(own, keep, strict=True)], "n_words", "n_removed", "spans", "kept_text"))
