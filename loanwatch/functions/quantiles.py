@@ -1,17 +1,90 @@
-"""Quantiles by linear interpolation, exact at any size.
+"""Order statistics and quantiles, exact at any size, without a global sort.
 
-``percentile`` keeps every distinct value of a group in one aggregation buffer.
-Here the distinct values are counted (map-side combined), put in order by range
-and only the stretches that hold a wanted position are looked into.
+``percentile`` keeps every distinct value of a group in one aggregation buffer,
+and sorting all values moves them all. Here a wanted rank is closed in on: the
+first pass counts coarse buckets of a monotone function of the value (64 to a
+doubling), the second cuts each bucket that holds a wanted rank into fine ones,
+the third looks at the distinct values of the fine buckets that are left. Each
+pass combines counts map-side; only what the wanted ranks lie in goes on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small_side
-from .position import _IDX, _PART, _sorted_slices
+
+_PER_DOUBLING, _FINE = 64, 65_536
+#: More than any coarse bucket number of a double (64 * 1075), so that signs keep apart.
+_SIGN_GAP = 100_000
+_LARGEST = 1.7976931348623157e308
+
+
+def _coarse(v: Column) -> Column:
+    """A bucket number that never falls as the value grows."""
+    size = F.floor(F.log2(F.least(F.abs(v), F.lit(_LARGEST))) * _PER_DOUBLING) + _SIGN_GAP
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("long")
+
+
+def _fine(v: Column, lo: Column, hi: Column) -> Column:
+    share = F.when(hi > lo, (v / _FINE - lo / _FINE) / (hi / _FINE - lo / _FINE)).otherwise(F.lit(0.0))
+    return F.floor(F.least(share, F.lit(1.0)) * _FINE).cast("long")
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: Callable[[Column], Column],
+                     weight: str | None = None) -> DataFrame:
+    """Values at given ranks: (keys..., id, v).
+
+    ``wanted`` maps a group's size (of non-NULL values, each counted ``weight``
+    times) to an array of struct(id, rank); ranks start at 0, and those outside
+    the group give no row. It may use the key columns. Keys match NULL-safely.
+    """
+    cols = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("__k0")]
+    by = [f"__k{i}" for i in range(len(cols))]
+    n = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    data = df.select(*cols, F.col(value).cast("double").alias("__v"), n.alias("__n")).where("__v is not null")
+    data = data.withColumn("__b", _coarse(F.col("__v")))
+
+    def counted(rows: DataFrame, on: list[str]) -> DataFrame:
+        return rows.groupBy(*on).agg(F.sum("__n").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+
+    def holding(counts: DataFrame, within: list[str], order: str, before: Column, targets: Column) -> DataFrame:
+        """Buckets in which wanted ranks lie, with the rows before them."""
+        past = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        out = counts.withColumns({"__from": before + F.coalesce(F.sum("__n").over(past), F.lit(0)), "__all": targets})
+        inside = F.filter("__all", lambda t: (t["rank"] >= F.col("__from")) & (t["rank"] < F.col("__from") + F.col("__n")))
+        return out.withColumn("__t", inside).where(F.size("__t") > 0)
+
+    def meet(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+        """Join on keys of which the group columns may be NULL; the side of few rows is checked before it is sent around."""
+        small = small_side(small.select(*[F.col(c).alias(f"{c}__") for c in on], *[c for c in small.columns if c not in on]))
+        same = F.lit(True)
+        for c in on:
+            same = same & (rows[c].eqNullSafe(small[f"{c}__"]) if c in by else rows[c] == small[f"{c}__"])
+        return rows.join(small, same).drop(*[f"{c}__" for c in on])
+
+    named = {k: F.col(b) for k, b in zip(keys, by, strict=False)}
+    size = F.sum("__n").over(Window.partitionBy(*by))
+    coarse = counted(data, [*by, "__b"]).withColumns(named | {"__size": size})
+    first = holding(coarse, by, "__b", F.lit(0), wanted(F.col("__size")))
+    first = first.select(*by, "__b", F.col("__lo").alias("__l"), F.col("__hi").alias("__h"),
+                         F.col("__from").alias("__f"), F.col("__t").alias("__w"))
+    data = meet(data, first, [*by, "__b"]).withColumn("__s", _fine(F.col("__v"), F.col("__l"), F.col("__h")))
+
+    spot = [*by, "__b"]
+    fine = counted(data, [*spot, "__f", "__w", "__s"])
+    second = holding(fine, spot, "__s", F.col("__f"), F.col("__w"))
+    second = second.select(*spot, "__s", F.col("__from").alias("__f2"), F.col("__t").alias("__w2"))
+    data = meet(data.drop("__f", "__w", "__l", "__h"), second, [*spot, "__s"])
+
+    spot = [*spot, "__s"]
+    last = counted(data, [*spot, "__f2", "__w2", "__v"])
+    found = holding(last, spot, "__v", F.col("__f2"), F.col("__w2"))
+    return found.select(*[F.col(b).alias(k) for k, b in zip(keys, by, strict=False)], "__v", F.explode("__t").alias("__t")).select(
+        *keys, F.col("__t.id").alias("id"), F.col("__v").alias("v"))
 
 
 def quantiles(df: DataFrame, group: list[str], value: str, probs: list[float],
@@ -24,13 +97,12 @@ def quantiles(df: DataFrame, group: list[str], value: str, probs: list[float],
     ``method="approx"`` is one pass with ``percentile_approx`` (rank error at
     most n/accuracy, no interpolation) for when an estimate will do.
     """
-    data = df.where(F.col(value).isNotNull())
     probs = [float(p) for p in probs]
     if method == "approx":
         if weight:
             raise ValueError("approximate quantiles take unweighted rows")
         arr = F.array(*[F.lit(p) for p in probs])
-        return (data.groupBy(*group)
+        return (df.where(F.col(value).isNotNull()).groupBy(*group)
                 .agg(F.percentile_approx(
                     value, probs, accuracy).alias("__q"))
                 .select(*group, F.explode(F.arrays_zip(arr.alias("prob"),
@@ -38,57 +110,22 @@ def quantiles(df: DataFrame, group: list[str], value: str, probs: list[float],
                 .select(*group, F.col("z.prob").alias("prob"),
                         F.col("z.value").cast("double").alias("value")))
 
-    keys = group or ["__all"]
-    if not group:
-        data = data.withColumn("__all", F.lit(0))
-    counted = data.groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(
-        (F.sum(weight) if weight else F.count(F.lit(1))).alias("__n"))
-    rows = _sorted_slices(counted, [F.col(k).asc_nulls_first() for k in keys]
-                          + [F.col("__v").asc()])
-
-    # One row per (partition, group): the ranks it holds and the positions
-    # wanted from it. Position p * (n - 1) lies between ranks floor and floor+1.
-    slices = rows.groupBy(_PART, *keys).agg(F.sum("__n").alias("__n"))
-    before = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(
-        Window.unboundedPreceding, -1)
-    slices = slices.select(
-        _PART, *keys, "__n",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
-        F.sum("__n").over(Window.partitionBy(*keys)).alias("__total"))
-
-    def target(p):
-        h = p * (F.col("__total") - 1)
-        lo = F.floor(h)
-        return F.struct(p.alias("prob"), lo.alias("lo"),
-                        F.least(lo + 1, F.col("__total") - 1).alias("hi"),
-                        (h - lo).alias("frac"))
-
-    wanted = F.transform(F.array(*[F.lit(p) for p in probs]), target)
-    first, last = F.col("__before"), F.col("__before") + F.col("__n") - 1
-    slices = (slices.select(_PART, *keys, "__before", F.filter(
-        wanted, lambda w: (w["lo"] <= last) & (w["hi"] >= first)).alias("__wanted"))
-        .where(F.size("__wanted") > 0))
-    slices = small_side(slices)
-
-    on = rows[_PART] == slices[_PART]
-    for k in keys:
-        on = on & rows[k].eqNullSafe(slices[k])
-    inside = Window.partitionBy(_PART, *keys).orderBy(_IDX).rowsBetween(
-        Window.unboundedPreceding, 0)
-    near = rows.join(slices, on).select(
-        *[rows[c] for c in rows.columns], "__before", "__wanted")
-    near = near.withColumn("__end", F.col("__before") + F.sum("__n").over(inside))
-    first, last = F.col("__end") - F.col("__n"), F.col("__end") - 1
-    near = near.select(*keys, "__v", "__end", "__n", F.explode(F.filter(
-        "__wanted", lambda w: (w["lo"] <= last) & (w["hi"] >= first))).alias("__w"))
-    picked = near.groupBy(*keys, F.col("__w.prob").alias("prob")).agg(
-        F.max(F.when(F.col("__w.lo").between(first, last), F.col("__v"))).alias("__a"),
-        F.max(F.when(F.col("__w.hi").between(first, last), F.col("__v"))).alias("__b"),
-        F.max("__w.frac").alias("__f"))
-    return picked.select(*group, "prob",
-                         F.when(F.col("__f") == 0, F.col("__a"))
-                         .otherwise(F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__f"))
-                         .alias("value"))
+    def ranks(n: Column) -> Column:
+        """Position p * (n - 1) lies between ranks floor and floor + 1; the fraction travels in the id."""
+        out = []
+        for p in probs:
+            h = F.lit(p) * (n - 1)
+            lo = F.floor(h)
+            for end, rank in ((0, lo), (1, F.least(lo + 1, n - 1))):
+                out.append(F.struct(F.struct(F.lit(p).alias("prob"), F.lit(end).alias("end"), (h - lo).alias("frac")).alias("id"),
+                                    rank.cast("long").alias("rank")))
+        return F.array(*out)
+
+    found = order_statistics(df, group, value, ranks, weight).groupBy(*group, F.col("id.prob").alias("prob")).agg(
+        F.max(F.when(F.col("id.end") == 0, F.col("v"))).alias("__a"), F.max(F.when(F.col("id.end") == 1, F.col("v"))).alias("__b"),
+        F.max("id.frac").alias("__f"))
+    return found.select(*group, "prob", F.when(F.col("__f") == 0, F.col("__a"))
+                        .otherwise(F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__f")).alias("value"))
 
 
 def quantile_columns(df: DataFrame, group: list[str], value: str,

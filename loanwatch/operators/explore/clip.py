@@ -14,7 +14,7 @@ from ... import contract
 from ...functions.columns import ratio
 from ...functions.quantiles import quantiles
 from ...session import pin, small_side
-from ..preprocess import Preprocessor, feature_counts
+from ..preprocess import Preprocessor
 
 SIDES = ("tail", "head")
 STRATA = range(C.CARVE_CATEGORY)
@@ -34,12 +34,12 @@ def reported_features(features: list[str], only: list[str] | None = None,
 
 
 def value_counts(df: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, cat, v, n, n_sev) of imputed finite values."""
+    """(feature, cat, v, n, n_sev) of finite values, NULL included."""
     sev = (F.col("LABEL") == C.SEVERE).cast("int")
     long = df.select(F.col("CURRENT_CAT").alias("cat"), sev.alias("__s"),
                      *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
         ["cat", "__s"], features, "feature", "v")
-    return long.where(F.abs("v") < float("inf")).groupBy("feature", "cat", "v").agg(
+    return long.where("v is null or abs(v) < double('infinity')").groupBy("feature", "cat", "v").agg(
         F.count(F.lit(1)).alias("n"), F.sum("__s").alias("n_sev"))
 
 
@@ -60,9 +60,9 @@ def clip_report(df: DataFrame, features: list[str], only: list[str] | None = Non
     gradient cover the ranked rows (or all), and each queued category apart."""
     names = reported_features(features, only, include_exempt)
     nulls = null_fractions(df, names)
-    filled = Preprocessor(names).fit_fill(feature_counts(df, names)).impute(df)
-    return report_from_counts(pin(value_counts(filled, names)), names, ranked_only).join(
-        nulls, "feature", "left")
+    counts = pin(value_counts(df, names))
+    filled = Preprocessor(names).fit_fill(counts).imputed_counts(counts)
+    return report_from_counts(filled, names, ranked_only).join(nulls, "feature", "left")
 
 
 def report_from_counts(counts: DataFrame, names: list[str], ranked_only: bool) -> DataFrame:

@@ -1,19 +1,20 @@
 """Impute, clip, scale: fitted on training rows, one small row per feature.
 
-The three fits run in order on raw, imputed and clipped values. Filling and
-clipping act value by value, so they work on counts of distinct values as well
-as on rows. Statistics are kept by feature name, so column order cannot apply one feature's numbers to another.
+The three fits run in order on raw, imputed and clipped values; each alone works
+on counts of distinct values, ``fit`` does all three on rows. Statistics are kept by feature name, so column order cannot apply one feature's numbers to another.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import contract
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import order_statistics, quantiles
 from ..session import pin
 from .clean import ContractError
 
@@ -44,6 +45,19 @@ def _per_feature(values: dict[str, float]):
                         F.col("feature"))
 
 
+def _ends(p: float, n: int) -> tuple[int, int, float]:
+    """Ranks that quantile p of n values lies between, and how far."""
+    h = p * (n - 1)
+    lo = int(h // 1)
+    return lo, min(lo + 1, n - 1), h - lo
+
+
+def _between(p: float, n: int, value: Callable[[int], float]) -> float:
+    lo, hi, frac = _ends(p, n)
+    a = value(lo)
+    return a if frac == 0 else a + (value(hi) - a) * frac
+
+
 @dataclass
 class Preprocessor:
     """Fitted statistics by feature name."""
@@ -103,19 +117,51 @@ class Preprocessor:
             F.greatest(lo, F.least(hi, F.col("v")))))
 
     def fit(self, df: DataFrame, method: str = "exact") -> "Preprocessor":
-        """All three fits on one pass over the rows: counts of distinct values
-        are written out, then imputed, clipped and measured in turn.
+        """All three fits from one set of order statistics of the raw values.
 
-        With ``method="approx"`` the rows themselves are sketched, one pass per
-        fit and no sort.
+        Filling puts the NULLs at one known place of the order and clipping
+        keeps the order, so the values that later fits interpolate between are
+        raw values at known ranks, the fill, or a bound. The narrow feature
+        table is written once and read by each pass. With ``method="approx"``
+        the rows are sketched, one pass per fit.
         """
         if method == "approx":
             return self._fit_approx(df)
-        counts = pin(feature_counts(df, self.features))
-        self.fit_fill(counts)
-        imputed = self.imputed_counts(counts)
-        self.fit_bounds(imputed)
-        return self.fit_scale(self.clipped_counts(imputed))
+        long = pin(df.select(*[F.col(c).cast("double").alias(c) for c in self.features])).unpivot(
+            [], self.features, "feature", "v")
+        sizes = {r["feature"]: (r["rows"], r["n"], r["top"]) for r in long.groupBy("feature").agg(
+            F.count(F.lit(1)).alias("rows"), F.count("v").alias("n"), F.max("v").alias("top")).collect()}   # one row per feature
+        ranks = {f: sorted({q for p in (0.01, 0.25, 0.5, 0.75, 0.99) for r in _ends(p, rows)[:2] for q in (r, r - rows + n)}
+                           | {*_ends(0.5, n)[:2]}) for f, (rows, n, _) in sizes.items()}
+        wanted = F.from_json(F.lit(json.dumps({f: [{"id": r, "rank": r} for r in rs] for f, rs in ranks.items()})),
+                             "map<string,array<struct<id:bigint,rank:bigint>>>")
+        found: dict[str, dict[int, float]] = {f: {} for f in self.features}
+        for r in order_statistics(long, ["feature"], "v", lambda n: F.element_at(wanted, F.col("feature"))).collect():
+            found[r["feature"]][r["id"]] = r["v"]               # some 20 numbers per feature
+
+        self.fill = dict.fromkeys(self.features, 0.0)
+        for f, (rows, n, top) in sizes.items():
+            if f.startswith("DAYS_SINCE"):
+                self.fill[f] = 9999.0 if top is None else top + 1.0
+            elif n and ("AMNT" in f or "RATIO" in f):
+                self.fill[f] = _between(0.5, n, found[f].__getitem__)
+
+            def imputed(rank, f=f, nulls=rows - n):
+                at, fill = found[f], self.fill[f]
+                if at.get(rank, fill) < fill:
+                    return at[rank]
+                return max(at.get(rank - nulls, fill), fill)
+
+            if f not in contract.BINARY and f not in contract.NO_CLIP:
+                self.bounds[f] = contract.CLIP_BOUNDS.get(f) or tuple(_between(p, rows, imputed) for p in (0.01, 0.99))
+            if f not in contract.BINARY and f not in contract.NO_SCALE:
+                lo, hi = self.bounds.get(f, (float("-inf"), float("inf")))
+                low, self.center[f], high = (_between(p, rows, lambda r: max(lo, min(hi, imputed(r)))) for p in (0.25, 0.5, 0.75))
+                self.scale[f] = high - low if high != low else 1.0
+        for f in self.features:
+            if f not in sizes and f in contract.CLIP_BOUNDS:
+                self.bounds[f] = contract.CLIP_BOUNDS[f]        # no rows at all
+        return self
 
     def _fit_approx(self, df: DataFrame) -> "Preprocessor":
         long = df.select(*[F.col(c).cast("double").alias(c) for c in self.features]).unpivot(
