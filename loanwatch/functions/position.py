@@ -2,16 +2,20 @@
 
 ``row_number`` over an unpartitioned ordering moves every row to one task.
 Here the frame is sorted by range (``orderBy``), so each partition holds one
-stretch of the order; a row's position is its index in its partition plus the
-rows before that partition. One range shuffle, no second one.
+stretch of the order; a row's place is its index in its partition plus the rows
+before that partition. The order starts with the group columns, so a group's
+rows stand together and its own count starts at its first place. One number per
+partition reaches the driver and travels back as a literal.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import pin, small_side
+from ..session import pin
 
 # monotonically_increasing_id: partition number above, row index below this bit.
 _INDEX_BITS = 33
@@ -31,6 +35,24 @@ def _sorted_slices(df: DataFrame, order: list[Column]) -> DataFrame:
     return pin(out)
 
 
+def _before(rows: DataFrame, what: Column) -> Column:
+    """The sum of ``what`` over all earlier partitions, as a function of the partition number."""
+    parts = dict(rows.groupBy(_PART).agg(F.sum(what)).collect())         # one number per partition
+    sums, total = [], 0
+    for k in range(max(parts, default=-1) + 1):
+        sums.append(total)
+        total += parts.get(k) or 0
+    return F.get(F.from_json(F.lit(json.dumps(sums)), "array<bigint>"), F.col(_PART).cast("int"))
+
+
+def _per_group(rows: DataFrame, within: list[str], groups: DataFrame) -> DataFrame:
+    """Join one row per group to its rows; NULL groups match."""
+    on = F.lit(True)
+    for k, c in enumerate(within):
+        on = on & rows[c].eqNullSafe(groups[f"__g{k}"])
+    return rows.join(groups, on)
+
+
 def with_position(df: DataFrame, order: list[Column], within: list[str] | None = None,
                   name: str = "POS", total: str | None = None) -> DataFrame:
     """Add the 1-based position of every row in the stated order.
@@ -41,56 +63,34 @@ def with_position(df: DataFrame, order: list[Column], within: list[str] | None =
     """
     within = within or []
     rows = _sorted_slices(df, [F.col(c).asc_nulls_first() for c in within] + order)
-
-    # One row per (partition, group): at most partitions + groups of them.
-    slices = rows.groupBy(_PART, *within).agg(
-        F.count(F.lit(1)).alias("__n"), F.min(_IDX).alias("__first"))
-    before = Window.partitionBy(*within).orderBy(_PART).rowsBetween(
-        Window.unboundedPreceding, -1)
-    slices = slices.select(
-        _PART, *within,
-        (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"),
-        F.sum("__n").over(Window.partitionBy(*within)).alias("__total"))
-    slices = small_side(slices)
-
-    on = rows[_PART] == slices[_PART]
-    for c in within:
-        on = on & rows[c].eqNullSafe(slices[c])
-    keep = [rows[c] for c in df.columns]
-    keep.append((rows[_IDX] + slices["__shift"] + 1).alias(name))
-    if total:
-        keep.append(slices["__total"].alias(total))
-    return rows.join(slices, on).select(*keep)
+    rows = rows.withColumn("__at", _before(rows, F.lit(1)) + F.col(_IDX))
+    if within or total:
+        groups = rows.groupBy(*[F.col(c).alias(f"__g{k}") for k, c in enumerate(within)]).agg(
+            F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__total"))
+        rows = _per_group(rows, within, groups)
+    else:
+        rows = rows.withColumn("__first", F.lit(0))
+    cols = [F.col(c) for c in df.columns] + [(F.col("__at") - F.col("__first") + 1).alias(name)]
+    return rows.select(*cols, *[F.col("__total").alias(total)] if total else [])
 
 
 def with_running_sum(df: DataFrame, order: list[Column], sums: dict[str, str],
                      within: list[str] | None = None) -> DataFrame:
-    """Add running sums (inclusive) of columns along a total order.
+    """Add running sums (inclusive) of whole-number columns along a total order.
 
-    ``sums`` maps a new column to the column it adds up. Also adds nothing else,
-    so callers take totals from the same frame by aggregation. The window runs
-    inside one (partition, group) slice, so its size is the sort's partition
-    size, not the group's.
+    ``sums`` maps a new column to the column it adds up. The window runs inside
+    one partition of the sort, so its size is that partition's, not the group's.
     """
     within = within or []
     rows = _sorted_slices(df, [F.col(c).asc_nulls_first() for c in within] + order)
-    slices = rows.groupBy(_PART, *within).agg(
-        *[F.sum(src).alias(f"__s_{new}") for new, src in sums.items()])
-    before = Window.partitionBy(*within).orderBy(_PART).rowsBetween(
-        Window.unboundedPreceding, -1)
-    slices = slices.select(
-        _PART, *within,
-        *[F.coalesce(F.sum(f"__s_{new}").over(before), F.lit(0)).alias(f"__b_{new}")
-          for new in sums])
-    slices = small_side(slices)
-
-    inside = Window.partitionBy(_PART, *within).orderBy(_IDX).rowsBetween(
-        Window.unboundedPreceding, 0)
-    run = rows.select("*", *[F.sum(src).over(inside).alias(f"__r_{new}")
-                             for new, src in sums.items()])
-    on = run[_PART] == slices[_PART]
-    for c in within:
-        on = on & run[c].eqNullSafe(slices[c])
-    return run.join(slices, on).select(
-        *[run[c] for c in df.columns],
-        *[(run[f"__r_{new}"] + slices[f"__b_{new}"]).alias(new) for new in sums])
+    inside = Window.partitionBy(_PART).orderBy(_IDX).rowsBetween(Window.unboundedPreceding, 0)
+    value = {new: F.coalesce(F.col(src), F.lit(0)).cast("bigint") for new, src in sums.items()}
+    run = rows.select("*", *[(_before(rows, v) + F.sum(v).over(inside)).alias(f"__r_{new}") for new, v in value.items()])
+    if not within:
+        return run.select(*df.columns, *[F.col(f"__r_{new}").alias(new) for new in sums])
+    run = pin(run)
+    first = F.struct(_PART, _IDX)
+    groups = run.groupBy(*[F.col(c).alias(f"__g{k}") for k, c in enumerate(within)]).agg(
+        *[F.min_by(F.col(f"__r_{new}") - v, first).alias(f"__b_{new}") for new, v in value.items()])
+    return _per_group(run, within, groups).select(
+        *df.columns, *[(F.col(f"__r_{new}") - F.col(f"__b_{new}")).alias(new) for new in sums])

@@ -77,3 +77,31 @@ def test_small_side_falls_back_when_it_is_not_small(spark):
     df = spark.range(50)
     assert small_side(df, 10) is df
     assert small_side(df, 50).count() == 50
+
+
+def test_positions_take_one_range_shuffle_and_no_join_on_slices(tied):
+    order = [F.col("s").desc(), F.col("LOAN_ID").asc()]
+    plan = with_position(tied, order)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan            # the sorted frame is written; what is read back needs no shuffle
+    grouped = with_position(tied, order, within=["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert grouped.count("Join") == 1 and "__part" not in grouped.split("Join")[1].split("\n")[0]
+
+
+def test_call_list_files_follow_the_call_order(spark, tmp_path):
+    from loanwatch.operators.queue import with_rank
+    from loanwatch.sources.store import write_queue
+    rows = spark.range(500).select(
+        F.lit(20260101).cast("bigint").alias("SNAPSHOT_DATE"), F.col("id").alias("LOAN_ID"), F.col("id").cast("string").alias("NATIONAL_CODE"),
+        (F.hash("id") % 97 / 97.0).alias("RISK_SCORE"), F.lit(1).alias("CURRENT_CAT"),
+        F.when(F.col("id") % 9 == 0, "RECENTLY_CALLED").otherwise("").alias("RULE_FLAG"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = write_queue(with_rank(rows.repartition(7)), str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    import csv
+    import glob
+    files = sorted(glob.glob(f"{path}/part-*.csv"))
+    got = [r["RISK_RANK"] for f in files for r in csv.DictReader(open(f))]
+    ranked = [int(x) for x in got if x]
+    assert len(files) > 1 and ranked == list(range(1, len(ranked) + 1)) and not any(got[len(ranked):]) and len(got) == 500
