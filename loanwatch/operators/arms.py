@@ -129,13 +129,21 @@ def _trees(params: dict, seed: int) -> GBTClassifier:
 
 def fit_arm(kind: str, df: DataFrame, features: list[str], params: dict | None = None,
             label: str = "LABEL", cat: str = "CURRENT_CAT", cost_matrix=None,
-            seed: int = C.SEED, parallelism: int = 4) -> Arm:
+            seed: int = C.SEED, parallelism: int = 4, partitions: int | None = None) -> Arm:
     """Fit one arm. Sub-models are independent Spark jobs over one kept frame,
-    a few of them submitted at a time (as OneVsRest does)."""
+    a few of them submitted at a time (as OneVsRest does).
+
+    Boosting samples by partition, so the frame gets a layout that depends on
+    its rows alone: dealt by content to ``partitions`` (the session's shuffle
+    partitions by default) and sorted there. Permuted input gives equal trees.
+    """
     if kind not in C.ARMS:
         raise ValueError(f"unknown arm {kind!r}")
     scratch_root(df.sparkSession)                 # where boosting cuts its lineage
-    rows = keep(_assemble(df.select(label, cat, *features), features).select(
+    narrow = df.select(label, cat, *features)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrow = narrow.repartition(n, F.xxhash64(*narrow.columns)).sortWithinPartitions(*narrow.columns)
+    rows = keep(_assemble(narrow, features).select(
         F.col(label).alias("__label"), F.col(cat).alias("__cat"), _VEC))
     try:
         counts = {(r["__cat"], r["__label"]): r["n"] for r in rows.groupBy("__cat", "__label").agg(

@@ -41,6 +41,16 @@ def test_arm_gives_a_distribution_that_ranks(rows, kind):
         assert out.where("CURRENT_CAT = 3 and p3 < 1").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["multiclass", "per_cat"])
+def test_fit_does_not_depend_on_the_order_or_layout_of_rows(rows, kind):
+    params = {**SMALL, "subsample": 0.6}
+    a = arms.fit_arm(kind, rows, FEATS, params)
+    b = arms.fit_arm(kind, rows.repartition(7).orderBy(F.rand(5)), FEATS, params)
+    assert a.models.keys() == b.models.keys()
+    assert all(x == y if isinstance(x, float) else x.toDebugString.split("\n")[1:] == y.toDebugString.split("\n")[1:]
+               for x, y in ((a.models[k], b.models[k]) for k in a.models))
+
+
 def test_arm_survives_missing_classes(rows):
     few = rows.where("LABEL in (0, 3) and CURRENT_CAT = 0")
     for kind in ("multiclass", "ordinal", "per_cat"):
