@@ -47,7 +47,6 @@ CATEGORY_COLS = ("LOAN_CATEGORY", "CATEGORY_T1", "CATEGORY_T2", "CATEGORY_T3",
 DAYS_SINCE_LADDER = ("DAYS_SINCE_LAST_DPD", "DAYS_SINCE_LAST_30_DPD",
                      "DAYS_SINCE_LAST_60_DPD", "DAYS_SINCE_LAST_90_DPD")
 SENTINEL_CHECK_MIN_ROWS = 1000
-LOAD_JOB = "ORACLE_X_MONTHLY_LOAD"
 
 # --- fixed values: arms -------------------------------------------------------
 TREE_DEFAULTS = {"n_trees": 200, "max_depth": 5, "learning_rate": 0.05,

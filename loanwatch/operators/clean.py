@@ -105,10 +105,14 @@ def canonical_order() -> list[Column]:
             F.col("DPD_DAYS").desc_nulls_last(), F.col("LOAN_ID").asc()]
 
 
-def engine_predictions(output: DataFrame) -> DataFrame:
-    """Scoring engine output (with its tracking status) as prediction rows."""
+def engine_predictions(output: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Scoring engine output (with its tracking status) as prediction rows.
+
+    Columns named in ``keep`` (a run id, say) come along in front.
+    """
     status = F.col("OPERATION_STATUS_ENRICHMENT")
     return output.select(
+        *keep,
         F.col("SNAPSHOT_DATE").cast("bigint").alias("SNAPSHOT_DATE"),
         F.col("LOAN_ID").cast("bigint").alias("LOAN_ID"), "NATIONAL_CODE",
         cap_category(F.col("DPD_CAT").cast("int")).alias("CURRENT_CAT"),

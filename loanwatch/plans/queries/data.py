@@ -11,11 +11,12 @@ from ... import contract
 from ...operators import clean as B
 from ...operators import feed_checks as FC
 from ...operators import maturity as E
-from ...session import scratch_root
+from ...session import pin, scratch_root
 from ...sources import derived as D
 from ...sources import store as S
 from ...sources import tables as A
 from ..registry import query
+from .ranking import QUEUE_SQL
 
 YEAR_2000 = [20000000 + m * 100 + 1 for m in range(1, 13)]
 IN_2000 = ", ".join(map(str, YEAR_2000))
@@ -66,14 +67,14 @@ def _a5(spark, sf):
   from (select * from runs order by snapshot_date desc, operation_date desc limit 24)
   where operation_status = 'FAILED'""")
 def _a6(spark, sf):
-    return A.incomplete_runs(A.load_runs(D.job_control(spark, sf), 24))
+    return A.incomplete_runs(A.load_runs(D.job_control(spark, sf), D.JOB, 24))
 
 
 @query("A7_build_times", "snapshot_date:i built:s", """
   select snapshot_date, strftime(max(operation_date), '%Y-%m-%d %H:%M:%S') as built
   from runs where operation_status <> 'FAILED' group by 1""")
 def _a7(spark, sf):
-    return A.build_times(D.job_control(spark, sf)).withColumn(
+    return A.build_times(D.job_control(spark, sf), D.JOB).withColumn(
         "built", F.date_format("END_TIME", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -106,7 +107,7 @@ def _a9b(spark, sf):
     loans = D.loan_feed(spark, sf)
     still_open = loans.join(F.broadcast(E.open_snapshots(D.snapshots(spark, sf), _ledger(spark, sf))),
                             "SNAPSHOT_DATE", "left_semi")
-    S.store_open(still_open, A.build_times(D.job_control(spark, sf)), path)
+    S.store_open(still_open, A.build_times(D.job_control(spark, sf), D.JOB), path)
     return spark.read.parquet(path).groupBy("SNAPSHOT_DATE").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -150,7 +151,8 @@ def _a13(spark, sf):
         {"SCORE": "P_SEVERE_PAST_DUE", "CURRENT_CAT": "current_cat", "LABEL": "y_true"}))
 
 
-@query("A15_queue_sink", "risk_rank:i loan_id:i snapshot_date:i rule_flag:s")
+@query("A15_queue_sink", "risk_rank:i loan_id:i snapshot_date:i rule_flag:s",
+       f"with {QUEUE_SQL} select risk_rank, loan_id, snapshot_date, rule_flag from que")
 def _a15(spark, sf):
     from .ranking import flagged
     from ...operators.queue import with_rank
@@ -235,7 +237,7 @@ def _b9(spark, sf):
     return with_position(df, B.canonical_order())
 
 
-_ENGINE = """eng as (
+_ENGINE = """eng as materialized (
     select r.operation_id, r.snapshot_date, f.loan_id, national_code, dpd_days,
            (2 + 10*least(loan_category, 2) + ((loan_id*7919 + f.snapshot_date) % 1000 * 4 + 50) // 100
             + case when worst_future_cat >= 3 and loan_id % 3 <> 0 then 30 else 0 end) / 100.0 as p3,
@@ -252,12 +254,9 @@ _ENGINE = """eng as (
     p3 as risk_score, remaining_amnt, coalesce(st <> 'NOT_APPLICABLE', false) as flagged
   from eng e left join trk t on t.operation_id = e.operation_id and t.loan_id = e.loan_id""")
 def _b10(spark, sf):
-    out = D.engine_output(spark, sf).join(D.contract_tracking(spark, sf), ["OPERATION_ID", "LOAN_ID"], "left")
-    # The run id rides along inside the customer field.
-    keyed = out.withColumn("NATIONAL_CODE", F.struct("OPERATION_ID", "NATIONAL_CODE"))
-    return B.engine_predictions(keyed).select(
-        "NATIONAL_CODE.*", "SNAPSHOT_DATE", "LOAN_ID", "CURRENT_CAT", "RISK_SCORE",
-        "REMAINING_AMNT", "FLAGGED")
+    output = pin(D.engine_output(spark, sf))                # read by the output and by its tracking
+    out = output.join(D.tracking_of(output), ["OPERATION_ID", "LOAN_ID"], "left")
+    return B.engine_predictions(out, ("OPERATION_ID",))
 
 
 @query("B11_mature_ranked_rows", "loan_id:i snapshot_date:i", """

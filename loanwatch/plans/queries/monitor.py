@@ -96,7 +96,8 @@ def _m2(spark, sf):
   from eng e join picked p on p.operation_id = e.operation_id
   left join trk t on t.operation_id = e.operation_id and t.loan_id = e.loan_id""")
 def _m3(spark, sf):
-    return M.predictions(D.engine_output(spark, sf), D.contract_tracking(spark, sf), runs(spark, sf))
+    output = pin(D.engine_output(spark, sf))                # read by the output and by its tracking
+    return M.predictions(output, D.tracking_of(output), runs(spark, sf))
 
 
 @query("M4_outcomes", "snapshot_date:i loan_id:i final_cat:i worst_dpd_so_far:i months_observed:i months_deleted:i state_rows:i",

@@ -16,20 +16,13 @@ from ..functions.columns import band_dpd, cap_category
 LAST_FINAL_SNAPSHOT = 20010501     # later snapshots are open
 LAST_LEGACY_SNAPSHOT = 19991201
 
-
-# Join key of the tables that come as one small file.
-_SPREAD_KEY = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
+#: Name of the monthly load in the derived job log.
+JOB = "MONTHLY_LOAD"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A supplied table. One that arrives in fewer splits than there are cores
-    (a single row group, so it is small) is spread over them first; a table of
-    many splits is read as it is, without a shuffle."""
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if table in _SPREAD_KEY and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, _SPREAD_KEY[table])
-    return df
+    """A supplied table."""
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def yyyymmdd(ts: Column) -> Column:
@@ -195,7 +188,7 @@ def called_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The load job's own bookkeeping, one row per attempt."""
     return run_log(spark, sf_dir).select(
-        F.lit(C.LOAD_JOB).alias("JOB_NAME"), F.col("SNAPSHOT_DATE").alias("RUN_MONTH"),
+        F.lit(JOB).alias("JOB_NAME"), F.col("SNAPSHOT_DATE").alias("RUN_MONTH"),
         F.when(F.col("OPERATION_STATUS") == "PARTIAL_SUCCESS", "SUCCESS")
         .otherwise(F.col("OPERATION_STATUS")).alias("STATUS"),
         F.when(F.col("OPERATION_STATUS") == "FAILED", "publish").otherwise("done").alias("LAST_STEP"),
@@ -262,7 +255,11 @@ def engine_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contract_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exception-rule status per (run, loan); only some loans have one."""
-    out = engine_output(spark, sf_dir)
+    return tracking_of(engine_output(spark, sf_dir))
+
+
+def tracking_of(out: DataFrame) -> DataFrame:
+    """The tracking rows of an engine output that is derived already."""
     hit = (F.col("P3") > 0.5) & (F.col("DPD") > 120)
     return out.where(hit | (F.col("LOAN_ID") % 3 == 0)).select(
         "OPERATION_ID", "LOAN_ID",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import contract
 from ..operators.clean import ContractError
 from ..operators.preprocess import feature_diff
+from ..operators.queue import queue_order
 
 log = logging.getLogger(__name__)
 
@@ -125,11 +126,15 @@ def combine(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_queue(queue: DataFrame, folder: str) -> str:
-    """The ranked queue as CSV; the name carries the snapshot or their range."""
+    """The ranked queue as CSV in call order; the name carries the snapshot or their range.
+
+    Files follow each other in the order of their names.
+    """
     lo, hi = queue.agg(F.min("SNAPSHOT_DATE"), F.max("SNAPSHOT_DATE")).first()
     tag = f"{lo}" if lo == hi else f"{lo}_{hi}"
     path = f"{folder.rstrip('/')}/predictions_{tag}"
-    queue.write.mode("overwrite").csv(path, header=True)
+    order = [F.col("RISK_RANK").asc_nulls_last(), *queue_order("LOAN_ID" in queue.columns)]     # flagged rows behind the queue
+    queue.orderBy(*order).write.mode("overwrite").csv(path, header=True)
     return path
 
 

@@ -58,7 +58,7 @@ def label_horizons(loans: DataFrame) -> DataFrame:
     return loans.select("SNAPSHOT_DATE", "LABEL_HORIZON_DATE").dropna().distinct()
 
 
-def load_runs(job_control: DataFrame, limit: int = 24, job: str = C.LOAD_JOB) -> DataFrame:
+def load_runs(job_control: DataFrame, job: str, limit: int = 24) -> DataFrame:
     """The newest load attempts of the monthly job."""
     cols = [F.col("RUN_MONTH").alias("SNAPSHOT_DATE"), "STATUS", "LAST_STEP", "ERROR_MESSAGE"]
     return (job_control.where(F.col("JOB_NAME") == job)
@@ -71,7 +71,7 @@ def incomplete_runs(runs: DataFrame) -> DataFrame:
     return runs.where(~F.upper("STATUS").eqNullSafe("SUCCESS"))
 
 
-def build_times(job_control: DataFrame, job: str = C.LOAD_JOB) -> DataFrame:
+def build_times(job_control: DataFrame, job: str) -> DataFrame:
     """When each snapshot was built: the newest SUCCESS attempt's end time."""
     return (job_control.where((F.col("JOB_NAME") == job) & (F.col("STATUS") == "SUCCESS")
                               & F.col("END_TIME").isNotNull())

@@ -54,8 +54,7 @@ def compare(df, con, sql: str) -> list[str]:
     if bad:
         return [f"{len(bad)} of {len(got)} rows differ; columns {cols}"] + [
             f"  got  {g}\n  want {w}" for g, w in bad[:3]]
-    exact = sum(g != w for g, w in zip(got, want))
-    return [f"~{exact} rows differ in the last digits"] if exact > 0 and False else []
+    return []
 
 
 def main(argv):
