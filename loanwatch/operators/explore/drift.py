@@ -11,18 +11,30 @@ from ..ranking import ranked_population
 
 
 def per_snapshot_table(df: DataFrame, features: list[str] | None = None,
-                       ranked_only: bool = False, n_loans: str = "N_LOANS_IN_PORTFOLIO") -> DataFrame:
+                       ranked_only: bool = False, n_loans: str = "N_LOANS_IN_PORTFOLIO",
+                       loans: DataFrame | None = None) -> DataFrame:
     """One row per snapshot: size, customers, severe rate, portfolio size, means
-    of the history features the frame has."""
-    wanted = [f for f in (features or C.DELETION_CANARIES) if f in df.columns]
+    of the history features there are.
+
+    ``df`` holds instances. At loan grain an instance is a loan row. At portfolio
+    grain give the loan rows as ``loans``: they are counted, and features are
+    averaged over them, for the customers and snapshots of the instances.
+    """
     if ranked_only:
         df = ranked_population(df)
-    return df.groupBy("SNAPSHOT_DATE").agg(
-        F.count(F.lit(1)).alias("n_instances"), F.count(F.lit(1)).alias("n_loan_rows"),
-        F.count_distinct("NATIONAL_CODE").alias("n_customers"),
-        F.avg((F.col("LABEL") == C.SEVERE).cast("double")).alias("severe_rate"),
-        F.avg(n_loans).alias("mean_portfolio"),
-        *[F.avg(F.col(f).cast("double")).alias(f"mean_{f}") for f in wanted])
+    rows = df if loans is None else loans.join(
+        df.select("SNAPSHOT_DATE", "NATIONAL_CODE").distinct(), ["SNAPSHOT_DATE", "NATIONAL_CODE"], "left_semi")
+    wanted = [f for f in (features or C.DELETION_CANARIES) if f in rows.columns]
+    sizes = [F.count_distinct("NATIONAL_CODE").alias("n_customers"),
+             F.avg((F.col("LABEL") == C.SEVERE).cast("double")).alias("severe_rate"), F.avg(n_loans).alias("mean_portfolio")]
+    history = [F.count(F.lit(1)).alias("n_loan_rows"), *[F.avg(F.col(f).cast("double")).alias(f"mean_{f}") for f in wanted]]
+    count = F.count(F.lit(1)).alias("n_instances")
+    if loans is None:
+        out = df.groupBy("SNAPSHOT_DATE").agg(count, *sizes, *history)
+    else:
+        out = df.groupBy("SNAPSHOT_DATE").agg(count, *sizes).join(rows.groupBy("SNAPSHOT_DATE").agg(*history), "SNAPSHOT_DATE", "left")
+    return out.select("SNAPSHOT_DATE", "n_instances", "n_loan_rows", "n_customers", "severe_rate", "mean_portfolio",
+                      *[f"mean_{f}" for f in wanted])
 
 
 def trends(table: DataFrame) -> DataFrame:

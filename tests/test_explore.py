@@ -183,3 +183,12 @@ def test_samples_keep_shares_and_repeat(spark):
     assert q.select("RISK_BIN").distinct().count() >= 2
     again = queue.sample_across_risk(df.repartition(9), 100, 5)
     assert {r["LOAN_ID"] for r in q.collect()} == {r["LOAN_ID"] for r in again.collect()}
+
+
+def test_snapshot_table_counts_loan_rows_at_portfolio_grain(spark):
+    loans = spark.createDataFrame([(1, "a", 10.0), (1, "a", 20.0), (1, "b", 30.0), (1, "z", 99.0), (2, "a", 5.0)],
+                                  "SNAPSHOT_DATE long, NATIONAL_CODE string, MAX_DPD double")
+    inst = spark.createDataFrame([(1, "a", 3, 0, 2), (1, "b", 0, 0, 1), (2, "a", 0, 0, 1)],
+                                 "SNAPSHOT_DATE long, NATIONAL_CODE string, LABEL int, CURRENT_CAT int, N_LOANS_IN_PORTFOLIO int")
+    got = {r["SNAPSHOT_DATE"]: tuple(r)[1:] for r in drift.per_snapshot_table(inst, ["MAX_DPD"], loans=loans).collect()}
+    assert got == {1: (2, 3, 2, 0.5, 1.5, 20.0), 2: (1, 1, 1, 0.0, 1.0, 5.0)}
