@@ -76,3 +76,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "line_dedup.n_lines", F.size("line_dedup.removed").alias("n_removed"), "line_dedup.removed")
+
+
+SQL["op3_substring_dedup"] = r"""
+with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+  s as (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50),
+  k as (select doc_id, i, array_to_string(w[i:i + 49], ' ') as t from s),
+  f as (select t, min(doc_id) as first from k group by 1),
+  g as (select doc_id, list(distinct p) as gone from (
+    select k.doc_id, unnest(range(k.i, k.i + 50)) as p from k join f using (t) where f.first < k.doc_id) group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(gone), 0) as bigint) as n_removed,
+  sha256(array_to_string(case when gone is null then w else list_filter(w, lambda x, i: not list_contains(gone, i)) end, ' ')) as kept_sha256
+from d left join g using (doc_id)"""
+
+SQL["op5_embedding_dedup"] = """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings where vec_id is not null and label is not null
+    and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+    where list_cosine_similarity(a.e, b.e) >= 0.93),
+  r(vec_id, reach) as (select vec_id, vec_id from embeddings union select r.vec_id, l.b from r join l on r.reach = l.a),
+  c as (select vec_id, min(reach) as component_id from r group by 1), n as (select a as vec_id, count(*) as n_links from l group by 1)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept
+from embeddings left join c using (vec_id) left join n using (vec_id)"""
+
+SQL["op8_exact_topk"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  p as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
+    from v q join v c on c.vec_id <> q.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0)
+select query_id, rank, vec_id, score from (
+  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from p) where rank <= 5"""
