@@ -18,6 +18,7 @@ from ... import constants as C
 from ...functions.columns import clean_number
 from ...functions.quantiles import quantiles
 from ...session import pin, small_side
+from ...sources.tables import resolve_column
 from .. import classify
 
 log = logging.getLogger(__name__)
@@ -342,16 +343,22 @@ def roll_up_list(df: DataFrame, column: str, as_of: int | None = None,
     Fields that hold no value anywhere are left out.
     """
     fields = item_fields(df, column)
-    items = F.filter(F.coalesce(F.col(column), F.array().cast(df.schema[column].dataType)),
-                     lambda i: i.isNotNull())
-    amounts = sorted(n for n, t in fields.items() if is_amount_like(n) and isinstance(t, T.NumericType))
+    whole_list = F.coalesce(F.col(column), F.array().cast(df.schema[column].dataType))
+    items = F.filter(whole_list, lambda i: i.isNotNull())
+
+    def number(t):
+        """A number, bare or inside a union of one member."""
+        if isinstance(t, T.StructType) and len(t.fields) == 1:
+            t = t.fields[0].dataType
+        return isinstance(t, T.NumericType)
+    amounts = sorted(n for n, t in fields.items() if is_amount_like(n) and number(t))
     dates = sorted(n for n in fields if is_date_like(n)) if as_of is not None else []
-    coded = sorted(n for n, t in fields.items() if isinstance(t, T.NumericType)
+    coded = sorted(n for n, t in fields.items() if number(t)
                    and not is_amount_like(n) and not is_date_like(n) and n != bank_field)
 
     def values(name, where=None):
         src = items if where is None else F.filter(items, where)
-        return F.filter(F.transform(src, lambda i: i[name].cast("double")), lambda x: x.isNotNull())
+        return F.filter(F.transform(src, lambda i: unwrap_union(i[name], fields[name]).cast("double")), lambda x: x.isNotNull())
 
     def days(name):
         src = F.transform(items, lambda i: as_of - jalali_ordinal(unwrap_union(i[name], fields[name])))
@@ -368,7 +375,7 @@ def roll_up_list(df: DataFrame, column: str, as_of: int | None = None,
     def total(arr):
         return F.when(F.size(arr) > 0, F.aggregate(arr, F.lit(0.0), lambda a, x: a + x))
 
-    out = {"n_items": F.size(items), "has_items": F.size(items) > 0}
+    out = {"n_items": F.size(whole_list), "has_items": F.size(whole_list) > 0}     # an empty record is one too
     for n in amounts:
         out[f"sum_{n}"], out[f"max_{n}"] = total(values(n)), F.array_max(values(n))
     for n in coded:
@@ -376,8 +383,8 @@ def roll_up_list(df: DataFrame, column: str, as_of: int | None = None,
     for n in dates:
         out[f"min_days_since_{n}"], out[f"max_days_since_{n}"] = F.array_min(days(n)), F.array_max(days(n))
     if bank_field and bank_field in fields:
-        banks = F.array_distinct(F.filter(F.transform(items, lambda i: i[bank_field]), lambda x: x.isNotNull()))
-        out["n_banks"] = F.when(F.size(items) > 0, F.size(banks))
+        banks = F.array_distinct(F.filter(F.transform(items, lambda i: unwrap_union(i[bank_field], fields[bank_field])), lambda x: x.isNotNull()))
+        out["n_banks"] = F.when(F.size(whole_list) > 0, F.size(banks))
         if own_bank_code is not None:
             own = str(own_bank_code)
             code = lambda i: F.coalesce(unwrap_union(i[bank_field], fields[bank_field]).cast("string"), F.lit("None"))
@@ -402,7 +409,8 @@ def roll_up_list(df: DataFrame, column: str, as_of: int | None = None,
 
 def code_reference(items: DataFrame, order: list[str], code: str = "code",
                    description: str = "description") -> DataFrame:
-    """Code to its first description in the stated order."""
+    """Code to its first description in the stated order. The two columns are found in any letter case."""
+    code, description = resolve_column(items, code), resolve_column(items, description)
     known = items.where(F.col(code).isNotNull() & F.col(description).isNotNull())
     return known.groupBy(code).agg(F.min_by(description, F.struct(*order, description)).alias(description))
 
@@ -446,10 +454,11 @@ def explore(df: DataFrame, list_columns: bool = True, id_col: str = "NATIONAL_CO
             items = explode_list(own, col, ids).withColumn(EP, F.lit(f"{ep}::{col}[item]"))
             item_schema = discover(items, exclude=ids, max_id_cardinality=max(
                 discover_options.get("max_id_cardinality", C.MAX_ID_CARDINALITY), 100))
-            if {"code", "description"} <= set(items.columns):
+            text = resolve_column(items, "description", required=False)
+            if text and resolve_column(items, "code", required=False):
                 references[f"{ep}::{col}"] = code_reference(items, ids)
                 item_schema = item_schema.withColumn("type", F.when(
-                    F.col("feature") == "description", "reference").otherwise(F.col("type")))
+                    F.col("feature") == text, "reference").otherwise(F.col("type")))
             frames.append((items, item_schema))
             agg = roll_up_list(own.select(CAT, col), col, as_of, bank_field, own_bank_code).drop(col)
             agg = agg.withColumnsRenamed({c: f"{col}_{c}" for c in agg.columns if c != CAT}).withColumn(

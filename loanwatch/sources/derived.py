@@ -320,11 +320,11 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listed_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders read as customers with a list of 0 to 3 registry records."""
+    """Orders read as customers with a list of 0 to 3 registry records, some fields inside one-member unions."""
     item = """transform(if(o_orderkey % 4 = 0, array(), sequence(1, cast(o_orderkey % 4 as int))), i -> named_struct(
         'bankCode', cast(15 + (o_orderkey + i) % 4 as int),
-        'amMoavagh', cast((o_custkey * i) % 5000 as double),
-        'status', cast(1 + (o_orderkey * i) % 5 as int),
+        'amMoavagh', named_struct('double', cast((o_custkey * i) % 5000 as double)),
+        'status', named_struct('int', cast(1 + (o_orderkey * i) % 5 as int)),
         'date', cast(14000101 + ((o_orderkey * i) % 4) * 10000 + ((o_orderkey + i) % 12) * 100 + o_custkey % 28 as int),
         'emhalDate', 0,
         'reasonCode', named_struct('int', if(i = 3, array(cast(o_custkey % 6 as int), 9), array(cast(o_custkey % 6 as int)))),
