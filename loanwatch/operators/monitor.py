@@ -241,8 +241,15 @@ def matured_metrics(lst: DataFrame, cuts=None) -> DataFrame:
     return out.select(*cols)
 
 
+def with_severe(lst: DataFrame) -> DataFrame:
+    """The lists that hold a severe loan; the others are only counted."""
+    some = lst.where("SEV = 1").select(*SNAP).distinct()             # one row per month
+    return lst.join(some, "SNAPSHOT_DATE", "left_semi")
+
+
 def queue_by_category(lst: DataFrame, cuts=None) -> DataFrame:
     """Per current category inside the one pooled list (not ranked again)."""
+    lst = with_severe(lst)
     cuts = cuts or C.MONITOR_CUTOFFS
     by = [*SNAP, "CURRENT_CAT"]
     aggs = [F.count(F.lit(1)).alias("n"), F.sum("SEV").alias("n_severe"), F.max("N").alias("__N")]
@@ -261,6 +268,7 @@ def queue_by_category(lst: DataFrame, cuts=None) -> DataFrame:
 
 def calibration_deciles(lst: DataFrame) -> DataFrame:
     """Mean score and severe rate by tenth of the list: (lo, hi] on positions."""
+    lst = with_severe(lst)
     bin_no = F.when(F.col("N") <= 1, F.lit(1)).otherwise(
         F.greatest(F.lit(1), F.expr("(10 * (POS - 1) + N - 2) div (case when N > 1 then N - 1 else 1 end)")))
     return lst.groupBy(*SNAP, bin_no.cast("int").alias("DECILE")).agg(
@@ -270,6 +278,7 @@ def calibration_deciles(lst: DataFrame) -> DataFrame:
 
 def migration(lst: DataFrame, main: str = C.MONITOR_MAIN_CUTOFF, cuts=None) -> DataFrame:
     """Current category to outcome, for the head of the list and for the rest."""
+    lst = with_severe(lst)
     cut = (cuts or C.MONITOR_CUTOFFS)[main]
     head = F.when(F.col("POS") <= cut_rows(F.col("N"), cut), "top").otherwise("rest")
     return lst.groupBy(*SNAP, head.alias("GROUP"), "CURRENT_CAT").agg(
@@ -277,11 +286,12 @@ def migration(lst: DataFrame, main: str = C.MONITOR_MAIN_CUTOFF, cuts=None) -> D
 
 
 def cohort_capture(lst: DataFrame, n_points: int = 200) -> DataFrame:
-    return ranking.curve_from_positions(lst, SNAP, n_points)
+    return ranking.curve_from_positions(with_severe(lst), SNAP, n_points)
 
 
 def enrichment_rule(lst: DataFrame) -> DataFrame:
     """The exception rule against a list head of the same size."""
+    lst = with_severe(lst)
     rule = lst.groupBy(*SNAP).agg(
         F.count_if("FLAGGED").alias("n_flagged"),
         F.count_if(F.col("FLAGGED") & (F.col("SEV") == 1)).alias("n_severe_flagged"),

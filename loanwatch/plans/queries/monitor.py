@@ -38,6 +38,7 @@ _MON = """ml as (select * from ledger where finalized_at < timestamp '2001-10-16
   lst as (select *, case when outcome = 3 then 1 else 0 end as sev,
              row_number() over (partition by snapshot_date order by risk_score desc, loan_id) as pos,
              count(*) over (partition by snapshot_date) as n from pr where current_cat < 3 and matured),
+  lsv as (select * from lst where snapshot_date in (select snapshot_date from lst where sev = 1)),
   ilst as (select *, case when outcome = 3 then 1 else 0 end as sev,
              row_number() over (partition by snapshot_date order by risk_score desc, loan_id) as pos,
              count(*) over (partition by snapshot_date) as n from pr
@@ -190,7 +191,7 @@ _M11 = ", ".join(f"count(*) filter (pos <= {_k(c)})::double/max({_k(c)}) as shar
 @query("M11_queue_by_category", "snapshot_date:i current_cat:i n:i n_severe:i base_rate:d pr_auc:d " +
        " ".join(f"share_of_{c}:d recall_{c}:d" for c in _CUTS), f"""
   {MON}, {_ap('snapshot_date, current_cat')}, a as (select snapshot_date, current_cat, count(*) as n, sum(sev) as n_severe, avg(sev) as base_rate, {_M11}
-    from (select * rename (n as nn) from lst) group by 1, 2)
+    from (select * rename (n as nn) from lsv) group by 1, 2)
   select * from a join ap using (snapshot_date, current_cat)""".replace("least(n, ceil(0.01::double * n)::bigint)", _k("top_1pct", "nn")).replace(
     "least(n, ceil(0.05::double * n)::bigint)", _k("top_5pct", "nn")).replace("least(n, 1000)", _k("top_1000", "nn")))
 def _m11(spark, sf):
@@ -199,24 +200,23 @@ def _m11(spark, sf):
 
 @query("M12_calibration_deciles", "snapshot_date:i decile:i mean_score:d severe_rate:d n:i", f"""
   {MON} select snapshot_date, case when n <= 1 then 1 else greatest(1, (10*(pos-1) + n - 2)//greatest(n-1, 1)) end as decile,
-    avg(risk_score) as mean_score, avg(sev) as severe_rate, count(*) as n from (select * rename (n as n0), n0 as n from (select * rename (n as n0) from lst)) z group by 1, 2"""
-       .replace("(select * rename (n as n0), n0 as n from (select * rename (n as n0) from lst)) z", "lst z"))
+    avg(risk_score) as mean_score, avg(sev) as severe_rate, count(*) as n from lsv z group by 1, 2""")
 def _m12(spark, sf):
     return M.calibration_deciles(M.matured_list(prepared(spark, sf)))
 
 
 @query("M13_migration", "snapshot_date:i group:s current_cat:i to_0:i to_1:i to_2:i to_3:i".replace("group:s", "grp:s"), f"""
   {MON} select snapshot_date, case when pos <= {_k('top_5pct')} then 'top' else 'rest' end as grp, current_cat,
-    {', '.join(f'count(*) filter (outcome = {k}) as to_{k}' for k in range(4))} from lst group by 1, 2, 3""")
+    {', '.join(f'count(*) filter (outcome = {k}) as to_{k}' for k in range(4))} from lsv group by 1, 2, 3""")
 def _m13(spark, sf):
     return M.migration(M.matured_list(prepared(spark, sf))).withColumnRenamed("GROUP", "grp")
 
 
 @query("M14_cohort_capture", "snapshot_date:i point:i k:i frac_called:d recall:d hours:d", f"""
   {MON}, h as (select snapshot_date, pos, n, sum(sev) over (partition by snapshot_date order by pos) as hits,
-                 greatest(sum(sev) over (partition by snapshot_date), 1) as tot from lst),
+                 greatest(sum(sev) over (partition by snapshot_date), 1) as tot from lsv),
   pts as (select snapshot_date, j as point, case when n = 1 then 1 else 1 + (j*(n-1))//(least(200,n)-1) end as k
-          from (select snapshot_date, max(n) as n from lst group by 1), range(200) r(j) where j < least(200, n))
+          from (select snapshot_date, max(n) as n from lsv group by 1), range(200) r(j) where j < least(200, n))
   select snapshot_date, point, k, k::double/n as frac_called, hits::double/tot as recall, k/240.0 as hours
   from pts join h using (snapshot_date) where pos = k""")
 def _m14(spark, sf):
@@ -227,7 +227,7 @@ _M15 = """m15 as (select snapshot_date, count(*) filter (flagged) as n_flagged,
     count(*) filter (flagged and sev = 1)::double/nullif(count(*) filter (flagged), 0) as precision,
     count(*) filter (flagged and sev = 1)::double/nullif(sum(sev), 0) as recall,
     sum(case when pos <= nf then sev else 0 end)::double/nullif(sum(sev), 0) as recall_top_same_size
-    from (select *, count(*) filter (flagged) over (partition by snapshot_date) as nf from lst) group by 1)"""
+    from (select *, count(*) filter (flagged) over (partition by snapshot_date) as nf from lsv) group by 1)"""
 
 
 @query("M15_enrichment_rule", "snapshot_date:i n_flagged:i n_severe_flagged:i precision:d recall:d recall_top_same_size:d",
@@ -294,7 +294,7 @@ def _m19(spark, sf):
   {MON}, {_M10}, {_M15}, {_ap('snapshot_date', '(select * from lst where current_cat = 0)').replace('g as', 'g0 as').replace('from g ', 'from g0 ').replace('gc as', 'gc0 as').replace('from gc ', 'from gc0 ').replace('ap as', 'ap0 as')}
   select m10.*, ap0.pr_auc as cat0_pr_auc, n_flagged as rule_n_flagged, precision as rule_precision, recall as rule_recall,
     recall_top_same_size as rule_recall_top_same_size, snapshot_date = 20000101 as vintage_start
-  from m10 left join ap0 using (snapshot_date) join m15 using (snapshot_date)""")
+  from m10 left join ap0 using (snapshot_date) left join m15 using (snapshot_date)""")
 def _m20(spark, sf):
     return M.history(pin(M.matured_list(prepared(spark, sf))))
 

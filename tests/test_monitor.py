@@ -147,5 +147,6 @@ def test_cutoffs_and_psi(spark):
 
 def test_deciles_follow_the_interval_rule(spark):
     lst = spark.range(1, 24).select(F.lit(SNAP).alias("SNAPSHOT_DATE"), F.col("id").alias("POS"), F.lit(23).cast("long").alias("N"),
-                                    F.lit(.5).alias("RISK_SCORE"), F.lit(0).alias("SEV"))
+                                    F.lit(.5).alias("RISK_SCORE"), (F.col("id") == 5).cast("int").alias("SEV"))
+    assert M.calibration_deciles(lst.withColumn("SEV", F.lit(0))).count() == 0
     assert [r["n"] for r in M.calibration_deciles(lst).orderBy("DECILE").collect()] == [3, 2, 2, 2, 3, 2, 2, 2, 2, 3]
