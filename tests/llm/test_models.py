@@ -1,0 +1,136 @@
+"""Language ID and toxicity: model arithmetic, defined results, held-out accuracy."""
+
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from cases import awkward, documents
+from pyspark.sql import functions as F
+
+from loanwatch.llm import language_id, toxicity
+from loanwatch.llm.common import held_out
+
+SF = "/root/testdata/sf0.01"
+
+
+def speech(letters, n, seed):
+    r = random.Random(seed)
+    words = ["".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(60)]
+    return [" ".join(r.choice(words) for _ in range(30)) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    rows = [(i, t, lang) for lang, letters in (("aa", "abcde"), ("bb", "defgh")) for i, t in enumerate(speech(letters, 40, lang))]
+    rows += [(99, "zzz", None), (98, None, "aa")]
+    return language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def test_n_grams_are_those_of_the_words():
+    row, key, letters = language_id._grams(pa.array(["Ab, c", "", "é"]))
+    def grams(word):
+        padded = [0, 0, 0, *map(ord, word), 0]
+        return [sum(ch << (16 * (3 - k)) for k, ch in enumerate(padded[i:i + 4])) for i in range(len(word) + 1)]
+    assert language_id._grams(pa.array(["\u0301 \u0301", "漢"]))[2].tolist() == [0, 1]       # marks alone are no letters
+    assert key.tolist() == grams("ab") + grams("c") + grams("é") and row.tolist() == [0] * 5 + [2] * 2 and letters.tolist() == [3, 0, 1]
+
+
+def test_probabilities_of_all_characters_after_a_context_add_up_to_one(model):
+    chars = model.grams[0]
+    for context in ("", "a", "ab", "cab", "zz"):
+        above = 0
+        for ch in context:
+            above = above << 16 | ord(ch)
+        keys = np.array([(above << 16 | int(c)) & (2**64 - 1) for c in chars], np.uint64)
+        total = np.exp(model.log_probs(keys)).sum(axis=1)
+        assert np.all(total > 0.8) and np.all(total <= 1.0001), (context, total)
+
+
+def test_kneser_ney_of_a_hand_worked_text():
+    """Order four over one word 'ab': every n-gram once, so the discount is one half at each order."""
+    _, key, _ = language_id._grams(pa.array(["ab"]))
+    m = language_id._smooth(["x"], [tuple(np.unique(key, return_counts=True))])
+    # Order 1: a, b and the end each follow one context: (1 - .5) / 3 + .5 * 3 / 3 * 1 / 4.
+    low = 0.5 / 3 + 0.5 / 4
+    assert np.allclose(np.exp(m.logs[0]), low)
+    one = 0.5 + 0.5 * low                       # orders 2 to 4: one continuation of each context
+    two = 0.5 + 0.5 * one
+    assert np.allclose(np.exp(m.logs[3][0][np.searchsorted(m.grams[3], key)]), 0.5 + 0.5 * two)
+
+
+def test_language_results_are_defined_for_awkward_rows(spark, model):
+    got = {(r["doc_id"], r["source"]): r for r in language_id.identify(documents(spark, awkward()), model, ("source", "row")).collect()}
+    rows = language_id.identify(documents(spark, awkward()), model).collect()
+    assert len(rows) == len(awkward()) and got
+    for r in rows:
+        assert r["lang_pred"] in ("aa", "bb", "und") and 0 <= r["score"] <= 1
+    und = [r for r in rows if r["doc_id"] in (5, 6, 7)]
+    assert [(r["lang_pred"], r["score"], r["entropy"], r["rejected"]) for r in und] == [("und", 0.0, None, True)] * 3
+    assert language_id.identify(documents(spark, []), model).count() == 0
+    assert language_id.train(documents(spark, [])) is None
+    none = language_id.identify(documents(spark, awkward()), None).collect()
+    assert {(r["lang_pred"], r["rejected"]) for r in none} == {("und", True)}
+
+
+def test_foreign_text_is_rejected_and_known_text_is_not(spark, model):
+    rows = [(i, t) for i, t in enumerate(speech("abcde", 10, "aa") + speech("defgh", 10, "bb"))] + [(50, " ".join(speech("qrstuvxyz", 1, 1)))]
+    got = {r["doc_id"]: r for r in language_id.identify(documents(spark, rows), model).collect()}
+    assert [got[i]["lang_pred"] for i in range(20)] == ["aa"] * 10 + ["bb"] * 10
+    assert [i for i in got if got[i]["rejected"]] == [50]
+
+
+def test_layout_does_not_change_the_model(spark, model):
+    rows = [(i, t, lang) for lang, letters in (("aa", "abcde"), ("bb", "defgh")) for i, t in enumerate(speech(letters, 40, lang))]
+    again = language_id.train(spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string").repartition(7))
+    assert all((a == b).all() for a, b in zip(model.logs + model.grams, again.logs + again.grams, strict=True))
+
+
+def test_held_out_is_one_fifth_by_crc(spark):
+    got = {r["id"]: r["h"] for r in spark.range(300).select("id", held_out(F.col("id")).alias("h")).collect()}
+    assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(300)}
+
+
+def test_language_query_on_held_out_rows(spark):
+    from loanwatch.llm.queries import QUERIES
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op9_language_id"](spark, SF).collect()
+    own = [r for r in rows if r["held_out"]]
+    assert len(rows) == len(truth) and own
+    assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in own]) > 0.97
+
+
+def auc(y, s):
+    y, s = np.array(y, bool), np.array(s)
+    return np.mean([(a > s[~y]).mean() + (a == s[~y]).mean() / 2 for a in s[y]])
+
+
+def test_toxicity_query_on_held_out_rows(spark):
+    from loanwatch.llm.queries import QUERIES
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    rows = QUERIES["op10_toxicity"](spark, "/root/testdata/sf0.1").collect()
+    assert all(r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in rows) and len(rows) == 10_000
+    own = [r for r in rows if r["held_out"] and r["doc_id"] in labels]
+    assert auc([labels[r["doc_id"]] for r in own], [r["score"] for r in own]) > 0.95
+    clean = [r["predicted"] for r in own if not labels[r["doc_id"]]]
+    assert np.mean(clean) < 0.01
+
+
+def test_toxicity_buckets_are_sets_of_word_grams():
+    row, bucket = toxicity._text_grams(pa.array(["ab ab", "", "ab", "cd"]))
+    sets = [set(bucket[row == i]) for i in range(4)]
+    assert sets[0] == sets[2] and not sets[1] and len(bucket[row == 0]) == len(sets[0]) and not sets[2] & sets[3]
+
+
+def test_toxicity_results_are_defined_for_awkward_rows(spark):
+    rows = [(i, "you idiot " + t if i % 2 else t, i % 2) for i, t in enumerate(speech("abcde", 60, 1))] + [(90, None, 0), (91, "x", None), (92, "y", 7)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(labelled)
+    got = toxicity.score(documents(spark, awkward() + [(77, "what an idiot")]), model).collect()
+    assert len(got) == len(awkward()) + 1 and all(0 <= r["score"] <= 1 for r in got)
+    assert {r["predicted"] for r in got if r["doc_id"] in (5, 6, 7)} == {0}
+    assert [r["predicted"] for r in got if r["doc_id"] == 77] == [1]
+    assert toxicity.train(labelled.where("toxic = 0")) is None
+    assert {r["score"] for r in toxicity.score(documents(spark, awkward()), None).collect()} == {0.0}
+    assert toxicity.score(documents(spark, []), model).count() == 0
