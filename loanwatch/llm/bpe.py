@@ -138,7 +138,7 @@ def token_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     # One END before each text; empty texts add theirs too.
     place = np.searchsorted(at, offsets[:-1])
     kinds = np.insert(_classes()[points], place, END)
-    shifted = np.arange(len(at)) + np.searchsorted(place, np.arange(len(at)), side="right")
+    shifted = np.arange(len(at)) + np.cumsum(np.bincount(place, minlength=len(at) + 1)[:len(at)])
     apostrophe = shifted[points == ord("'")]
     if len(apostrophe):
         full = np.full(len(kinds) + 3, 0, np.uint32)
@@ -192,8 +192,9 @@ class Merger:
             at = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(row), np.int64)
             least = rank[np.arange(len(row)), at] if rank.shape[1] else np.full(len(row), _NONE)
             over = least == _NONE
-            for r, x in zip(row[over].tolist(), ids[over], strict=True):
-                out[r] = x[x >= 0].astype("<u4").tobytes()
+            done, width = ids[over].astype("<u4").tobytes(), 4 * ids.shape[1]
+            for r, a, n in zip(row[over].tolist(), range(0, len(done), width), (4 * (ids[over] >= 0).sum(axis=1)).tolist(), strict=False):
+                out[r] = done[a:a + n]
             if over.all():
                 return out
             row, ids, rank, at, least = (x[~over] for x in (row, ids, rank, at, least))
@@ -228,9 +229,10 @@ class Merger:
         return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
-        known = [self.ranks.get(p) for p in pieces]
+        known = list(map(self.ranks.get, pieces))
         out = [b"" if k is None else k.to_bytes(4, "little") for k in known]
-        todo = sorted((i for i, k in enumerate(known) if k is None), key=lambda i: len(pieces[i]))
+        todo = np.array([i for i, k in enumerate(known) if k is None], np.int64)
+        todo = todo[np.argsort([len(pieces[i]) for i in todo], kind="stable")].tolist()
         while todo and len(pieces[todo[-1]]) > LONG_PIECE:
             out[todo[-1]] = self._long(pieces[todo[-1]])
             todo.pop()
@@ -267,13 +269,17 @@ class Bpe:
             return [], np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
         starts = token_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
-        raw = data.tobytes()
-        tokens = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        tokens = np.insert(data, starts[1:], 0xFF).tobytes().split(b"\xff")        # a byte that UTF-8 never has
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
-        new = list(set(tokens).difference(self.cache))
-        self.cache.update(zip(new, self.merger.merge(new), strict=True))
-        return list(map(self.cache.__getitem__, tokens)), ends, np.searchsorted(starts, offsets)
+        packed = list(map(self.cache.get, tokens))
+        missing = [i for i, x in enumerate(packed) if x is None]
+        if missing:
+            new = list({tokens[i] for i in missing})
+            self.cache.update(zip(new, self.merger.merge(new), strict=True))
+            for i in missing:
+                packed[i] = self.cache[tokens[i]]
+        return packed, ends, np.searchsorted(starts, offsets)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
