@@ -125,6 +125,18 @@ def combine(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The stored snapshots as one table.
+
+    Each partition's own columns are looked at (one footer per month): one that
+    was stored under another feature list is refused and named, where a plain
+    read would give NULLs.
+    """
+    path = path.rstrip("/")
+    parts = {str(s): spark.read.option("basePath", path).parquet(f"{path}/SNAPSHOT_DATE={s}") for s in stored_snapshots(spark, path)}
+    return spark.read.schema(combine(parts).schema).parquet(path)
+
+
 def write_queue(queue: DataFrame, folder: str) -> str:
     """The ranked queue as CSV in call order; the name carries the snapshot or their range.
 

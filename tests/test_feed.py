@@ -186,3 +186,18 @@ def test_called_log_is_optional(spark, tmp_path):
     assert tables.read_called_log(spark, str(tmp_path / "log.csv")).first()["CALLED_AT"].year == 2024
     with pytest.raises(ValueError, match="P_SEVERE"):
         tables.score_table(spark.createDataFrame([(1,)], "current_cat int"))
+
+
+def test_store_with_another_feature_list_is_refused_by_name(spark, tmp_path):
+    from loanwatch.operators.clean import ContractError
+    from loanwatch.sources.store import read_store
+    path = str(tmp_path / "store")
+    one_month = spark.createDataFrame([(20260101, 1, 5.0, 0)], "SNAPSHOT_DATE long, LOAN_ID long, DPD_DAYS double, LOAN_CATEGORY int")
+    other = one_month.withColumn("SNAPSHOT_DATE", F.lit(20260201).cast("bigint"))
+    for rows in (one_month, other):
+        rows.write.mode("append").partitionBy("SNAPSHOT_DATE").parquet(path)
+    assert sorted(r["SNAPSHOT_DATE"] for r in read_store(spark, path).collect()) == [20260101, 20260201]
+    late = one_month.withColumn("SNAPSHOT_DATE", F.lit(20260301).cast("bigint")).withColumnRenamed("LOAN_CATEGORY", "RENAMED")
+    late.write.mode("append").partitionBy("SNAPSHOT_DATE").parquet(path)
+    with pytest.raises(ContractError, match="20260301.*RENAMED"):
+        read_store(spark, path)
