@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import pin
 
 #: Bytes of text that one vectorised step takes; a longer text is a step of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 MASK64 = (1 << 64) - 1
 

@@ -18,7 +18,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2**64, kept for the next call."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 21), base, np.uint64)
+        have = np.full(max(n, 1 << 20), base, np.uint64)
         have[0] = 1
         _POWERS[base] = have = np.multiply.accumulate(have)
     return have[:n]
