@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, language_id, line_dedup, packing, simhash_dedup, topk, toxicity
+from . import bpe, embedding_dedup, importance, language_id, line_dedup, packing, simhash_dedup, topk, toxicity
 from .common import held_out, table
 from .substring_dedup import substring_dedup
 
@@ -28,6 +28,16 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: labelled good training texts. Drawn: the share of all documents that is good among the labelled ones."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(labels.select("doc_id", "quality").hint("shuffle_hash"), "doc_id")
+    share = known.agg(F.avg(F.when(F.col("quality").isin(0, 1), F.col("quality")))).first()[0]
+    return importance.resample(docs, known.where("quality = 1"), share or 0.0).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "log_weight", "key", "selected")
+
+
 @query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select(
