@@ -2,14 +2,23 @@
 
 Method: reference vectors (pivots) are drawn from the data; each vector is
 described by its ``NEAREST`` nearest pivots. Vectors of one label are candidates
-if they share at least ``SHARED`` of them; they are found through inverted
-lists by (label, pivot) and verified by their cosine in double precision. With
-the pivots of a vector in order of number, two that share ``SHARED`` meet in a
-list of the first ``NEAREST - SHARED + 1``, so each vector stands in so many
-lists; a pair counts only in the list of its smallest shared pivot.
-
-Fit and size: ``4 * sqrt(rows)`` pivots, between 64 and ``PIVOTS_MOST``, are
-taken by hash of vec_id. Every vector is indexed. Lists longer than ``TILE`` are
+if they share at least ``SHARED`` of them, or one that covers both; they are
+found through inverted lists by (label, pivot) and verified by their cosine in
+double precision. With the pivots of a vector in order of number, two that
+share ``SHARED`` meet in a list of the first ``NEAREST - SHARED + 1``, so each
+vector stands in so many lists and in those of the pivots that cover it; a
+pair counts only in the list of its smallest shared pivot.
+
+Dense groups: a pivot covers the vectors within twice the threshold's angle,
+and no pivot is kept that a pivot before it covers, so a group of near copies
+holds few pivots however many of its rows are drawn. If a vector lies within
+the threshold's angle of one of its pivots, every partner of it is covered by
+that pivot (triangle inequality), so its pairs are compared one and all, unless
+NEAREST other pivots are nearer to the partner.
+
+Fit and size: ``4 * sqrt(rows)`` different vectors, between 64 and
+``PIVOTS_MOST``, are drawn by hash of the vector and thinned. Every vector is
+indexed. Lists longer than ``TILE`` are
 split in blocks and each pair of blocks is a cell of its own, so no task holds
 a list, none is cut short, and cells are scored by one matrix product. Cells
 hand on link counts and local roots, never pairs. Exact copies are one class
@@ -49,12 +58,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
 
 
-def _describe(shared):
-    """Adds each vector's nearest pivots, in order of number."""
+def _cover(threshold: float) -> float:
+    """The cosine at twice the angle of ``threshold``."""
+    return 2 * threshold * threshold - 1 if threshold > 0 else -1.0
+
+
+def _thinned(unit: np.ndarray, cover: float) -> np.ndarray:
+    """Pivots of which none is covered by one before it."""
+    left, kept = np.arange(len(unit)), []
+    while len(left):
+        kept.append(left[0])
+        left = left[1:]
+        left = left[unit[left] @ unit[kept[-1]] < cover]
+    return unit[kept]
+
+
+def _describe(shared, cover: float):
+    """Adds each vector's nearest pivots, in order of number, and those of them that cover it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = pa.compute.list_value_length(batch.column("embedding")).to_numpy()
-            near = np.zeros((batch.num_rows, NEAREST), np.int32)
+            near, covers = np.zeros((batch.num_rows, NEAREST), np.int32), np.zeros((batch.num_rows, NEAREST), bool)
             for dim in np.unique(sizes):
                 rows = np.flatnonzero(sizes == dim)
                 unit, pivots = _matrix(batch.column("embedding").take(pa.array(rows))), shared.value.get(int(dim))
@@ -62,13 +86,16 @@ def _describe(shared):
                     continue
                 k = min(NEAREST, len(pivots))
                 for a in range(0, len(rows), 1024):
-                    close = np.argpartition(-(unit[a:a + 1024] @ pivots.T), k - 1, axis=1)[:, :k]
+                    cosine = unit[a:a + 1024] @ pivots.T
+                    close = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
                     close.sort(axis=1)
                     near[rows[a:a + 1024], :k] = close
+                    covers[rows[a:a + 1024], :k] = np.take_along_axis(cosine, close, axis=1) >= cover
                     near[rows[a:a + 1024], k:] = -1 - np.arange(NEAREST - k)
             flat = pa.array(near.ravel())
             ends = pa.array(np.arange(len(near) + 1, dtype=np.int32) * NEAREST)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, flat)], [*batch.schema.names, "near"])
+            bits = pa.array(covers @ (1 << np.arange(NEAREST)), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, flat), bits], [*batch.schema.names, "near", "covers"])
     return run
 
 
@@ -87,18 +114,20 @@ def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 
 
 def _cells(threshold: float):
-    def cell(pivot: int, blocks: tuple, rep, n, near, block, unit):
+    def cell(pivot: int, blocks: tuple, rep, n, near, covers, block, unit):
         a, b = (np.flatnonzero(block == x) for x in blocks)
         i, j = np.nonzero(unit[a] @ unit[b].T >= threshold)
         if blocks[0] == blocks[1]:
             i, j = i[i < j], j[i < j]
         i, j = a[i], b[j]
+        covered = ((near == pivot) & (covers[:, None] >> np.arange(NEAREST) & 1 > 0)).any(axis=1)
         keep = np.empty(len(i), bool)
         for s in range(0, len(i), 200_000):
             x, y = near[i[s:s + 200_000]], near[j[s:s + 200_000]]
             both = (x[:, :, None] == y[:, None, :]).any(axis=2) & (x >= 0)
             # A pair counts once: in the list of the smallest pivot that both have.
-            keep[s:s + 200_000] = (both.sum(axis=1) >= SHARED) & (np.where(both, x, np.iinfo(np.int32).max).min(axis=1) == pivot)
+            enough = (both.sum(axis=1) >= SHARED) | (covered[i[s:s + 200_000]] & covered[j[s:s + 200_000]])
+            keep[s:s + 200_000] = enough & (np.where(both, x, np.iinfo(np.int32).max).min(axis=1) == pivot)
         i, j = i[keep], j[keep]
         links = np.bincount(i, n[j], len(rep)) + np.bincount(j, n[i], len(rep))
         order = np.argsort(rep, kind="stable")
@@ -110,7 +139,7 @@ def _cells(threshold: float):
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([(c, "ascending") for c in ("label", "dim", "pivot", "ti", "tj")]).combine_chunks()
-        cols = {c: rows[c].to_numpy() for c in ("label", "dim", "pivot", "ti", "tj", "rep", "n", "block")}
+        cols = {c: rows[c].to_numpy() for c in ("label", "dim", "pivot", "ti", "tj", "rep", "n", "covers", "block")}
         near = rows["near"].combine_chunks().flatten().to_numpy().reshape(-1, NEAREST)
         new = np.ones(rows.num_rows, bool)
         new[1:] = np.logical_or.reduce([cols[c][1:] != cols[c][:-1] for c in ("label", "dim", "pivot", "ti", "tj")])
@@ -119,7 +148,7 @@ def _cells(threshold: float):
         for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if e - s > 1:
                 unit = _matrix(rows["embedding"].slice(s, e - s).combine_chunks())
-                out.append(cell(cols["pivot"][s], (cols["ti"][s], cols["tj"][s]), cols["rep"][s:e], cols["n"][s:e], near[s:e], cols["block"][s:e], unit))
+                out.append(cell(cols["pivot"][s], (cols["ti"][s], cols["tj"][s]), cols["rep"][s:e], cols["n"][s:e], near[s:e], cols["covers"][s:e], cols["block"][s:e], unit))
         parts = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
         return pa.table([pa.array(p.astype(np.int64)) for p in parts], names=["rep", "links", "root"])
     return run
@@ -146,14 +175,16 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     reps = classes.join(first.withColumnRenamed("vec_id", "rep"), ["rep", *key])
 
     n_pivots = min(PIVOTS_MOST, max(64, math.ceil(4 * math.sqrt(good.count()))))
-    drawn = (good.select(F.col("embedding").cast("array<double>").alias("embedding"), F.xxhash64("vec_id").alias("o"), "h1")
-             .orderBy("o", "h1").limit(n_pivots).toArrow()["embedding"].combine_chunks())
-    sizes = pa.compute.list_value_length(drawn).to_numpy()
-    shared = spark.sparkContext.broadcast({int(d): _matrix(drawn.filter(pa.array(sizes == d))) for d in np.unique(sizes)})
+    drawn = (good.select("h1", "h2", F.col("embedding").cast("array<double>").alias("embedding")).dropDuplicates(["h1", "h2"])
+             .orderBy("h2", "h1").limit(n_pivots).toArrow()["embedding"].combine_chunks())
+    sizes, cover = pa.compute.list_value_length(drawn).to_numpy(), _cover(threshold)
+    shared = spark.sparkContext.broadcast({int(d): _thinned(_matrix(drawn.filter(pa.array(sizes == d))), cover) for d in np.unique(sizes)})
 
     plain = reps.select("rep", F.col("label").cast("long").alias("label"), "n", F.size("embedding").alias("dim"), "embedding")
-    index = pin(plain.mapInArrow(_describe(shared), "rep long, label long, n long, dim int, embedding array<double>, near array<int>"))
-    lists = index.withColumn("pivot", F.explode(F.array_distinct(F.slice("near", 1, NEAREST - SHARED + 1)))).where("pivot >= 0")
+    index = pin(plain.mapInArrow(_describe(shared, cover), "rep long, label long, n long, dim int, embedding array<double>, near array<int>, covers int"))
+    covering = F.filter("near", lambda p, k: F.expr("covers").bitwiseAND(F.element_at(F.array(*[F.lit(1 << x) for x in range(NEAREST)]), k + 1)) > 0)
+    listed = F.array_union(F.slice("near", 1, NEAREST - SHARED + 1), covering)
+    lists = index.withColumn("pivot", F.explode(listed)).where("pivot >= 0")
     longer = lists.groupBy("label", "dim", "pivot").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     blocks = F.ceil(F.col("m") / TILE).cast("long")
     lists = (lists.join(longer, ["label", "dim", "pivot"]).withColumn("blocks", blocks)
@@ -163,7 +194,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     total = longer.agg(F.sum(F.col("m") * blocks)).first()[0] or 0
     buckets = max(partitions(spark), -(-total // BUCKET_ROWS))
     found = pin(lists.withColumn("bucket", F.pmod(F.xxhash64("label", "dim", "pivot", "ti", "tj"), F.lit(buckets)))
-                .select("bucket", "label", "dim", "pivot", "ti", "tj", "block", "rep", "n", "near", "embedding")
+                .select("bucket", "label", "dim", "pivot", "ti", "tj", "block", "rep", "n", "near", "covers", "embedding")
                 .groupBy("bucket").applyInArrow(_cells(threshold), "rep long, links long, root long"))
 
     linked = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))

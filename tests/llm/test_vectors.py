@@ -103,3 +103,18 @@ def test_index_recall_on_the_test_table(spark):
     assert len(got) == len(rows) and sum(got.values()) >= 0.9 * 2 * len(brute_links(rows, 0.93))
     hits = sorted(map(tuple, QUERIES["op8_exact_topk"](spark, "/root/testdata/sf0.01").collect()))
     assert hits == sorted(brute_topk(rows, 5, 50))
+
+
+@pytest.mark.parametrize("copies", ["near", "exact"])
+def test_embedding_dedup_finds_the_links_of_a_group_with_a_third_of_all_rows(spark, copies):
+    r = np.random.default_rng(3)
+    center, noise = r.normal(size=64), 0.2 if copies == "near" else 0.0
+    group = center + noise * r.normal(size=(1100, 64))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([group, r.normal(size=(2200, 64))]))]
+    got = embedding_dedup.embedding_dedup(frame(spark, rows)).collect()
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    count = (unit @ unit.T >= 0.93 - 1e-12).sum(axis=1) - 1
+    assert all(x["n_links"] <= count[x["vec_id"]] for x in got)
+    assert sum(x["n_links"] for x in got) >= 0.99 * count.sum() > 0
+    assert {x["component_id"] for x in got if count[x["vec_id"]] and x["vec_id"] < 1100} == {0}
