@@ -9,6 +9,7 @@ from collections import defaultdict
 import pytest
 import xxhash
 from cases import SCHEMA, awkward, documents, prose
+from pyspark.sql import functions as F
 
 from loanwatch.llm import line_dedup, simhash_dedup, substring_dedup
 from loanwatch.llm.common import components
@@ -187,3 +188,18 @@ def test_registered_queries_agree_with_their_operators(spark):
     roots = brute_components(prints, [(a, b) for a, b in itertools.combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 2])
     got = {tuple(r) for r in QUERIES["op4_simhash_dedup"](spark, sf).select("doc_id", "fingerprint", "component_id").collect()}
     assert got == {(i, f"{p:016x}", roots[i]) for i, p in prints.items()}
+
+
+def test_lines_that_differ_inside_long_words_stay(spark):
+    lines = [f"https://example.org/{prose(k, 6).replace(' ', '/')}" for k in range(6)] + ["Andththwhwh.", "Andththwhes.", "a\u00a0" * 9 + "b", "a\u00a0" * 9 + "c" * 9]
+    full = [frozenset(x[i:i + 8] for i in range(max(1, len(x) - 7))) for x in lines]
+    assert all(len(a & b) < 0.8 * len(a | b) for a, b in itertools.combinations(full, 2))
+    copy = prose(40, 40)
+    got = line_dedup.line_dedup(documents(spark, [(1, "\n".join(lines)), (2, copy), (3, copy + "s")])).collect()
+    assert {r["doc_id"]: r["line_dedup"]["removed"] for r in got} == {1: [], 2: [], 3: [0]}
+
+
+def test_shingles_start_at_every_character(spark):
+    for line in ("short", "exactly8", "nine char", "\U0001F600 smile \U0001F600\U0001F601 end", "漢字かな交じり文。と"):
+        got = spark.createDataFrame([(line,)], "line string").select(line_dedup.shingles(F.col("line"))).first()[0]
+        assert got == [line[i:i + 8] for i in range(max(1, len(line) - 7))]
