@@ -3,7 +3,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from conftest import by, one
+from support import by, one
 from pyspark.sql import functions as F
 
 from loanwatch import constants as C

@@ -1,7 +1,7 @@
 """Contract, cleaning, feed checks, store, splits and preprocessing."""
 import numpy as np
 import pytest
-from conftest import by, one
+from support import by, one
 from pyspark.sql import functions as F
 
 from loanwatch import contract

@@ -1,7 +1,7 @@
 """Arms, calibration, artifacts and whole plans: properties, not values."""
 import numpy as np
 import pytest
-from conftest import by, one
+from support import by, one
 from pyspark.sql import functions as F
 
 from loanwatch.operators import arms, calibrate, decide

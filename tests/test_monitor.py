@@ -1,6 +1,6 @@
 """A seven-loan cohort with every figure worked out by hand, and its variants."""
 import pytest
-from conftest import by, one
+from support import by, one
 from pyspark.sql import functions as F
 
 from loanwatch.operators import monitor as M

@@ -1,7 +1,7 @@
 """Global positions, running sums and quantiles against plain computation."""
 import numpy as np
 import pytest
-from conftest import by
+from support import by
 from pyspark.sql import functions as F
 
 from loanwatch.functions.position import with_position, with_running_sum

@@ -1,6 +1,6 @@
 """Ranking metrics worked out by hand."""
 import pytest
-from conftest import by, one
+from support import by, one
 from pyspark.sql import functions as F
 
 from loanwatch import constants as C
