@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from cases import awkward, documents, prose
+from llm_cases import awkward, documents, prose
 from pyspark.sql import functions as F
 
 from loanwatch.llm import importance

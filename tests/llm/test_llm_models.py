@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from cases import awkward, documents
+from llm_cases import awkward, documents
 from pyspark.sql import functions as F
 
 from loanwatch.llm import language_id, toxicity

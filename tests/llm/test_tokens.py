@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
-from cases import awkward, documents, prose
+from llm_cases import awkward, documents, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
