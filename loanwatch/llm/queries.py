@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, importance, language_id, line_dedup, packing, simhash_dedup, topk, toxicity
+from . import bpe, embedding_dedup, importance, language_id, line_dedup, merkle, packing, simhash_dedup, topk, toxicity
 from .common import held_out, table
 from .substring_dedup import substring_dedup
 
@@ -88,6 +88,19 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "line_dedup.n_lines", F.size("line_dedup.removed").alias("n_removed"), "line_dedup.removed")
 
 
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's proof, and the root that it gives once the text of every third id has its A-Z lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0,
+                      merkle.leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), low))
+    proofs = merkle.manifest(docs, tampered).proofs
+    folded = proofs.withColumn("folded_root", merkle.fold(F.coalesce("also", "leaf"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 SQL["op3_substring_dedup"] = r"""
 with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
   s as (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50),
@@ -116,3 +129,53 @@ with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * c
     from v q join v c on c.vec_id <> q.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0)
 select query_id, rank, vec_id, score from (
   select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from p) where rank <= 5"""
+
+
+# crc32 is not in DuckDB: computed bit by bit over the digits of doc_id.
+SQL["op13_merkle_manifest"] = """
+with recursive
+  crc(doc_id, rest, c) as (
+    select doc_id, cast(doc_id as varchar), cast(4294967295 as bigint) from (select distinct doc_id from documents where doc_id is not null)
+    union all
+    select doc_id, rest[2:], list_reduce(list_prepend(xor(c, ascii(rest[1])), range(8)),
+      lambda x, i: xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end))
+    from crc where rest <> ''),
+  hit as (select doc_id from crc where rest = '' and xor(c, 4294967295) % 3 = 0),
+  low as (select *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from documents),
+  told as (select doc_id, lang, text, low,
+    coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') as head from low),
+  hashed as (select doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+    sha256(head || coalesce(strlen(low) || ':' || low, '-')) as lowered from told),
+  leaf as (select h.*, case when hit.doc_id is null then leaf else lowered end as shown,
+    row_number() over (partition by lang order by h.doc_id nulls first, leaf) - 1 as rank, count(*) over (partition by lang) as n
+    from hashed h left join hit on h.doc_id = hit.doc_id),
+  node(lang, level, rank, n, h) as (
+    select lang, 0, rank, n, leaf from leaf
+    union all
+    select lang, level + 1, rank // 8, (max(n) + 7) // 8, sha256(string_agg(h, '' order by rank)) from node where n > 1 group by lang, level, rank // 8),
+  sub as (select lang, level as depth, h as subroot, row_number() over (order by lang nulls first) - 1 as rank, count(*) over () as n from node where n = 1),
+  above(level, rank, n, h) as (
+    select 0, rank, n, subroot from sub
+    union all
+    select level + 1, rank // 8, (max(n) + 7) // 8, sha256(string_agg(h, '' order by rank)) from above where n > 1 group by level, rank // 8),
+  run as (select lang, level, rank // 8 as up, list(h order by rank) as hs from node where n > 1 group by lang, level, rank // 8),
+  run_above as (select level, rank // 8 as up, list(h order by rank) as hs from above where n > 1 group by level, rank // 8),
+  walk(lang, doc_id, leaf, level, rank, h, proof) as (
+    select lang, doc_id, leaf, 0, rank, shown, '' from leaf
+    union all
+    select w.lang, w.doc_id, w.leaf, w.level + 1, w.rank // 8,
+      sha256(array_to_string(list_concat(hs[:w.rank % 8], [w.h], hs[w.rank % 8 + 2:]), '')),
+      w.proof || array_to_string(list_concat(hs[:w.rank % 8], hs[w.rank % 8 + 2:]), '')
+    from walk w join run r on r.lang is not distinct from w.lang and r.level = w.level and r.up = w.rank // 8),
+  on_top(lang, doc_id, leaf, subroot, level, rank, h, proof) as (
+    select w.lang, w.doc_id, w.leaf, s.subroot, 0, s.rank, w.h, w.proof
+    from walk w join sub s on s.lang is not distinct from w.lang and s.depth = w.level
+    union all
+    select w.lang, w.doc_id, w.leaf, w.subroot, w.level + 1, w.rank // 8,
+      sha256(array_to_string(list_concat(hs[:w.rank % 8], [w.h], hs[w.rank % 8 + 2:]), '')),
+      w.proof || array_to_string(list_concat(hs[:w.rank % 8], hs[w.rank % 8 + 2:]), '')
+    from on_top w join run_above r on r.level = w.level and r.up = w.rank // 8),
+  last as (select h as root, level from above where n = 1)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, h as folded_root, h = root as verified
+from on_top join last using (level)"""
