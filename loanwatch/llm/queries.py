@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, importance, language_id, line_dedup, merkle, packing, simhash_dedup, topk, toxicity
+from ..session import scratch_root
+from . import bpe, embedding_dedup, importance, language_id, line_dedup, merkle, packing, simhash_dedup, token_files, topk, toxicity
 from .common import held_out, table
 from .substring_dedup import substring_dedup
 
@@ -88,6 +90,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "line_dedup.n_lines", F.size("line_dedup.removed").alias("n_removed"), "line_dedup.removed")
 
 
+@query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch_root(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.checksums(token_files.read_tokens(spark, folder))
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row's proof, and the root that it gives once the text of every third id has its A-Z lower-cased."""
