@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_root
-from . import bpe, embedding_dedup, importance, language_id, line_dedup, merkle, packing, simhash_dedup, token_files, topk, toxicity
+from . import bpe, embedding_dedup, importance, language_id, line_dedup, merkle, packing, simhash_dedup, token_files, topk, toxicity, whitening
 from .common import held_out, table
 from .substring_dedup import substring_dedup
 
@@ -97,6 +97,11 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(token_files.read_tokens(spark, folder))
 
 
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row's proof, and the root that it gives once the text of every third id has its A-Z lower-cased."""
