@@ -37,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,7 +68,7 @@ def whole_vectors(vectors: DataFrame) -> DataFrame:
 def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Length, places of the rows and their matrix of whole numbers, at most STEP_ROWS rows each."""
     x = batch.column("x")
-    sizes = pa.compute.list_value_length(x).to_numpy()
+    sizes = pc.list_value_length(x).to_numpy()
     flat = x.flatten().to_numpy()
     first = np.cumsum(sizes) - sizes
     for dim in np.unique(sizes).tolist():
