@@ -76,11 +76,11 @@ def test_awkward_vectors_equal_brute_force(spark):
         assert len(mine) == k * len(part)
         assert sorted((str(g["vec_id"]), g["deviation"]) for g in mine if g["component"] == 1) == sorted((str(i), d) for (i, _), d in zip(part, deviation, strict=True))
         for c in range(k):
-            column = sorted(((str(g["vec_id"]), g["whitened"]) for g in mine if g["component"] == c + 1), key=str)
+            column = [((g["vec_id"], g["deviation"]), g["whitened"]) for g in mine if g["component"] == c + 1]
             if trace == 0 or values[c] < 1e-12 * trace:
                 assert all(w is None for _, w in column)
                 continue
-            want = sorted(((str(i), w / math.sqrt(values[c])) for (i, _), w in zip(part, white[:, c].tolist(), strict=True)), key=str)
+            want = [((i, d), w / math.sqrt(values[c])) for (i, _), d, w in zip(part, deviation, white[:, c].tolist(), strict=True)]
             by_id = dict(column)
             sign = math.copysign(1, sum(by_id[i] * w for i, w in want))
             assert all(abs(by_id[i] * sign - w) < 1e-9 for i, w in want)
