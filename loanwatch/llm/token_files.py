@@ -18,8 +18,9 @@ twice to place a document.
 
 Ids are those of the tokenizers library, without special tokens and with
 special tokens' strings taken as plain text. The library encodes each different
-pre-token once per task (boundaries by ``bpe.token_starts``, which tests hold
-against whole texts); a cache of bounded size keeps them.
+pre-token once (boundaries by ``bpe.token_starts``, which tests hold against whole
+texts). A worker keeps them from task to task in two generations of bounded size:
+when one is full it becomes the older one, and what is not asked for again goes with it.
 
 Skew: rows that repeat a doc_id are dealt by the hash of their text and their
 place in the input too, so a doc_id with a third of all rows spans files. Texts
@@ -37,6 +38,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +46,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_ENTRIES, token_starts
+from .bpe import token_starts
 from .common import chunks, partitions, text_bytes
 
 END_ID = 0
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 64 << 10, 1000
+#: Pre-tokens in a generation of a worker's cache.
+GENERATION = 300_000
 
 _ROWS = "shard int, doc_id long, start_in_shard long, n_tokens int, ids array<int>"
 _SHARDS = "shard int, start long, n_rows long, n_tokens long"
@@ -61,6 +65,7 @@ class Library:
 
     path: str
     cache: dict[bytes, bytes] = field(init=False, repr=False, default_factory=dict)
+    older: dict[bytes, bytes] = field(init=False, repr=False, default_factory=dict)
 
     def __post_init__(self):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")       # a task has one core
@@ -78,20 +83,25 @@ class Library:
             return [], np.zeros(len(offsets), np.int64)
         starts = token_starts(data, offsets)
         pieces = np.insert(data, starts[1:], 0xFF).tobytes().split(b"\xff")        # a byte that UTF-8 never has
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        new = [x for x in set(pieces) if x not in self.cache]
+        if len(self.cache) > GENERATION:
+            self.older, self.cache = self.cache, {}
+        new = set(pieces).difference(self.cache)
+        again = new.intersection(self.older)
+        self.cache.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        new = list(new - again)
         made = self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
-        self.cache.update(zip(new, (np.array(x.ids, "<i4").tobytes() for x in made), strict=True))
+        ids = [x.ids for x in made]
+        packed, ends = np.array([i for x in ids for i in x], "<i4").tobytes(), [0, *accumulate(map(len, ids))]
+        self.cache.update(zip(new, (packed[4 * a:4 * b] for a, b in pairwise(ends)), strict=True))
         return list(map(self.cache.__getitem__, pieces)), np.searchsorted(starts, offsets)
 
 
-def _encode(path: str, end_id: int):
+def _encode(shared, end_id: int):
     """Rows of the file format from sorted rows; a task is a file."""
     end = np.array([end_id], "<i4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, shard, start = Library(path), TaskContext.get().partitionId(), 0
+        library, shard, start = shared.value, TaskContext.get().partitionId(), 0
         for batch in chunks(batches, "text"):
             packed, of_text = library.encode(batch.column("text"))
             docs = [b"".join(packed[a:b]) + end for a, b in zip(of_text[:-1].tolist(), of_text[1:].tolist(), strict=True)]
@@ -124,7 +134,8 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int
     options = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false",
                f"parquet.enable.dictionary#{_IDS}": str(encoding == "dictionary").lower(), "parquet.block.size": row_group_bytes,
                "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows, "compression": "zstd"}
-    dealt.mapInArrow(_encode(tokenizer, end_id), _ROWS).write.options(**options).parquet(f"{folder}/tokens")
+    shared = spark.sparkContext.broadcast(Library(tokenizer))            # the file's path; a worker loads it once
+    dealt.mapInArrow(_encode(shared, end_id), _ROWS).write.options(**options).parquet(f"{folder}/tokens")
 
     sums = (spark.read.schema(_ROWS).parquet(f"{folder}/tokens").groupBy("shard")
             .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_tokens").alias("n_tokens")).orderBy("shard").collect())
