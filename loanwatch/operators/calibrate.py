@@ -1,17 +1,21 @@
-"""Per-class isotonic calibration, pooled and per current category."""
+"""Per-class isotonic calibration, pooled and per current category.
+
+The curves are fitted and looked up by ``isotonic.py``; only the sizes of the
+strata reach the driver.
+"""
 
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..session import pin
 from .decide import RAW
+from .isotonic import isotonic_blocks, look_up, segments
 
 log = logging.getLogger(__name__)
 
@@ -29,71 +33,49 @@ def score_groups(df: DataFrame, probs: list[str] = RAW, label: str = "LABEL",
         F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"))
 
 
-def _isotonic(groups: DataFrame) -> IsotonicRegressionModel:
-    data = groups.groupBy("score").agg(F.sum("n").cast("double").alias("n"),
-                                       F.sum("hits").cast("double").alias("hits"))
-    data = data.select("score", (F.col("hits") / F.col("n")).alias("rate"), "n")
-    return IsotonicRegression(featuresCol="score", labelCol="rate", weightCol="n",
-                              predictionCol="__iso").fit(data)
-
-
 @dataclass
 class Calibrator:
-    """Isotonic models by (stratum, class); stratum None is the pooled one."""
-
-    models: dict[tuple[int | None, int], IsotonicRegressionModel] = field(default_factory=dict)
-
-    @property
-    def strata(self) -> list[int]:
-        return sorted({s for s, _ in self.models if s is not None})
+    """Isotonic curves by (stratum, class) as a table of blocks; stratum NULL is the pooled one."""
 
-    def _one(self, df: DataFrame, key, score: str, out: str) -> DataFrame:
-        m = self.models[key].copy()
-        return m.setFeaturesCol(score).setPredictionCol(out).transform(df)
+    blocks: DataFrame
+    strata: list[int]
 
     def transform(self, df: DataFrame, probs: list[str] = RAW, cat: str = "CURRENT_CAT") -> DataFrame:
         """Probabilities replaced by calibrated ones: per class, floor 1e-6,
-        renormalised; strata without a model of their own use the pooled one."""
-        pooled, own = [], {s: [] for s in self.strata}
+        renormalised. Strata without curves of their own, and rows without a
+        category, use the pooled ones."""
+        table = segments(self.blocks)
+        stratum = F.when(F.col(cat).isin(self.strata), F.col(cat).cast("long")) if self.strata else F.lit(None).cast("long")
+        out = df
         for k, p in enumerate(probs):
-            for s, cols in [(None, pooled), *own.items()]:
-                name = f"__iso_{s}_{k}"
-                df = self._one(df, (s, k), p, name)
-                cols.append(name)
-
-        def distribution(cols: list[str]) -> list[Column]:
-            c = [F.greatest(F.col(x), F.lit(1e-6)) for x in cols]
-            total = c[0]
-            for x in c[1:]:
-                total = total + x
-            return [x / total for x in c]
-        out = distribution(pooled)
-        for s, cols in own.items():
-            out = [F.when(F.col(cat) == s, mine).otherwise(rest)
-                   for mine, rest in zip(distribution(cols), out)]
-        drop = pooled + [c for cols in own.values() for c in cols]
-        return df.withColumns(dict(zip(probs, out))).drop(*drop)
+            out = look_up(out, table.where(F.col("class") == k), p, {"stratum": stratum}, f"__iso_{k}")
+        found = [F.col(f"__iso_{k}") for k in range(len(probs))]
+        floored = [F.when(x.isNotNull(), F.greatest(x, F.lit(1e-6))) for x in found]
+        total = floored[0]
+        for x in floored[1:]:
+            total = total + x
+        return out.withColumns({p: x / total for p, x in zip(probs, floored, strict=True)}).select(*df.columns)
 
 
 def fit_calibrator(df: DataFrame, probs: list[str] = RAW, label: str = "LABEL",
                    cat: str = "CURRENT_CAT", stratified: bool = True,
                    min_stratum_n: int = C.CALIBRATION_MIN_STRATUM_N) -> Calibrator:
-    """Pooled models and, for categories with enough rows, their own."""
+    """Pooled curves and, for categories with enough rows, their own: all of them in one fit."""
     groups = pin(score_groups(df, probs, label, cat))
-    out = Calibrator()
-    strata: list[int | None] = [None]
+    strata = []
     if stratified:
-        sizes = groups.where(F.col("class") == 0).groupBy("cat").agg(F.sum("n").alias("n")).collect()
+        sizes = groups.where((F.col("class") == 0) & F.col("cat").isNotNull()).groupBy("cat").agg(F.sum("n").alias("n")).collect()
         for r in sorted(sizes, key=lambda r: r["cat"]):           # one row per category
             if r["n"] >= min_stratum_n:
-                strata.append(r["cat"])
+                strata.append(int(r["cat"]))
             else:
                 log.info("category %s has %s rows, the pooled calibrator is used", r["cat"], r["n"])
-    for s in strata:
-        part = groups if s is None else groups.where(F.col("cat") == s)
-        for k in range(len(probs)):
-            out.models[(s, k)] = _isotonic(part.where(F.col("class") == k))
-    return out
+    # -0.0 and 0.0 are one score.
+    curve = [F.col("cat").cast("long").alias("stratum"), "class", (F.col("score") + F.lit(0.0)).alias("score"), "n", "hits"]
+    pooled = groups.select(F.lit(None).cast("long").alias("stratum"), *curve[1:])
+    own = groups.where(F.col("cat").isin(strata)).select(*curve) if strata else pooled.limit(0)
+    points = pooled.unionByName(own).groupBy("stratum", "class", "score").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    return Calibrator(isotonic_blocks(points, ["stratum", "class"]), strata)
 
 
 def refresh(calibrator: Calibrator | None, scored: DataFrame,

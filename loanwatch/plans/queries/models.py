@@ -122,12 +122,61 @@ def _val_scores(spark, sf):
     return D.class_vector(spark, sf)
 
 
-@query("H1_H2_isotonic", _P)
+def _isotonic_sql(fit: str, strata: str) -> str:
+    """CTEs up to ``blk``: the isotonic blocks (lower hulls of cumulated counts) of the rows of ``fit``, by (stratum, class).
+
+    ``strata`` selects the categories with curves of their own; -1 is the pooled stratum.
+    The hull is walked from vertex to vertex: the next one has the least slope, the last of equals.
+    """
+    return f"""recursive {_VEC}, fitted as ({fit}),
+  e as (select current_cat, c as class, case c when 0 then p0 when 1 then p1 when 2 then p2 else p3 end as score, (label = c)::int as hit
+     from fitted, range(4) r(c)),
+  own as ({strata}),
+  g as (select -1 as stratum, class, score, count(*) as n, sum(hit) as hits from e group by 2, 3
+     union all select current_cat, class, score, count(*), sum(hit) from e where current_cat in (select current_cat from own) group by 1, 2, 3),
+  pts as (select stratum, class, score, sum(n) over w as w, sum(hits) over w as h from g window w as (partition by stratum, class order by score)),
+  hull(stratum, class, w, h, lo, hi, w0, h0, block) as (
+    select distinct stratum, class, 0::hugeint, 0::hugeint, null::double, null::double, 0::hugeint, 0::hugeint, -1 from pts
+    union all
+    select stratum, class, nxt.w, nxt.h, lo, nxt.score, w0, h0, block + 1 from (
+      select u.stratum, u.class, u.w as w0, u.h as h0, u.block, min(p.score) as lo,
+        arg_min({{'w': p.w, 'h': p.h, 'score': p.score}}, {{'slope': (p.h - u.h)::double / (p.w - u.w)::double, 'late': -p.w}}) as nxt
+      from hull u join pts p on p.stratum = u.stratum and p.class = u.class and p.w > u.w group by 1, 2, 3, 4, 5)),
+  blk as (select stratum, class, block, lo, hi, w - w0 as n, h - h0 as hits, (h - h0)::double / (w - w0)::double as v,
+      lead(lo) over c as next_lo, lead((h - h0)::double / (w - w0)::double) over c as next_v
+    from hull where block >= 0 window c as (partition by stratum, class order by block))"""
+
+
+def _calibrated_sql(fit: str, strata: str) -> str:
+    return f"""with {_isotonic_sql(fit, strata)},
+  f as (select loan_id, snapshot_date, current_cat, c as class, case when current_cat in (select current_cat from own) then current_cat else -1 end as stratum,
+     case c when 0 then p0 when 1 then p1 when 2 then p2 else p3 end as score from vec, range(4) r(c)),
+  l as (select f.*, greatest(1e-6, case when score <= hi or next_lo is null then v else v + (next_v - v) * ((score - hi) / (next_lo - hi)) end) as q
+     from f join blk b on b.stratum = f.stratum and b.class = f.class and (b.block = 0 or f.score >= b.lo) and (b.next_lo is null or f.score < b.next_lo))
+  select loan_id, snapshot_date, current_cat, {', '.join(f"max(case when class = {k} then q end) / sum(q) as p{k}" for k in range(4))}
+  from l group by 1, 2, 3"""
+
+
+_NO_STRATA = "select current_cat from fitted where false"
+
+
+def _strata(least: int) -> str:
+    return f"select current_cat from fitted group by 1 having count(*) >= {least}"
+
+
+@query("H1_H2_isotonic", _P, _calibrated_sql("select * from vec", _NO_STRATA))
 def _h1(spark, sf):
     df = pin(_val_scores(spark, sf))
     return H.fit_calibrator(df, stratified=False).transform(df)
 
 
+@query("H3_isotonic_blocks", "stratum:i class:i block:i lo:d hi:d n:i hits:i", f"""
+  with {_isotonic_sql("select * from vec", _strata(C.CALIBRATION_MIN_STRATUM_N))}
+  select case when stratum >= 0 then stratum end as stratum, class, block, lo, hi, n, hits from blk""")
+def _h3b(spark, sf):
+    return H.fit_calibrator(_val_scores(spark, sf)).blocks
+
+
 @query("H1_score_groups", "cat:i class:i score:d n:i hits:i", f"""
   with {_VEC}, e as (select current_cat, c as class, case c when 0 then p0 when 1 then p1 when 2 then p2 else p3 end as score, (label = c)::int as hit
      from vec, range(4) r(c))
@@ -136,19 +185,21 @@ def _h1g(spark, sf):
     return H.score_groups(_val_scores(spark, sf))
 
 
-@query("H3_stratified_calibration", _P)
+@query("H3_stratified_calibration", _P, _calibrated_sql("select * from vec", _strata(C.CALIBRATION_MIN_STRATUM_N)))
 def _h3(spark, sf):
     df = pin(_val_scores(spark, sf))
     return H.fit_calibrator(df).transform(df)
 
 
-@query("H4_refreshed_calibration", _P)
+@query("H4_refreshed_calibration", _P, _calibrated_sql(
+    "select * from vec where snapshot_date = (select max(snapshot_date) from ledger where status in ('FINAL', 'LEGACY') and snapshot_date in (select snapshot_date from vec))",
+    _strata(C.CALIBRATION_MIN_STRATUM_N)))
 def _h4(spark, sf):
     """A calibrator of all history, refreshed on the newest finalised snapshot."""
     df = pin(_val_scores(spark, sf))
     old = H.fit_calibrator(df)
     newest = E.mature_snapshots(df, ledger(spark, sf)).agg(F.max("SNAPSHOT_DATE")).first()[0]
-    fresh = H.refresh(old, df.where(F.col("SNAPSHOT_DATE") == newest), min_stratum_n=100)
+    fresh = H.refresh(old, df.where(F.col("SNAPSHOT_DATE") == newest))
     return fresh.transform(df)
 
 

@@ -6,7 +6,6 @@ import logging
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassificationModel
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,16 +91,16 @@ def save(model: Model, spark: SparkSession, path: str) -> None:
         else:
             m.write().overwrite().save(f"{path}/arm/{name}")
             subs.append((name, None))
-    cal = []
-    for (s, k), m in (model.calibrator.models.items() if model.calibrator else ()):
-        m.write().overwrite().save(f"{path}/calibrator/{s}_{k}")
-        cal.append(f"{s}_{k}")
+    cal = None
+    if model.calibrator:
+        model.calibrator.blocks.write.mode("overwrite").parquet(f"{path}/calibrator")
+        cal = model.calibrator.strata
     meta = [(model.features, model.grain, C.NUM_CLASSES, model.contract_version, model.arm.kind,
              model.arm.features, [f"{n}={'' if v is None else v}" for n, v in subs],
              [f"{c}={','.join(map(str, y))}" for c, y in model.arm.strata.items()], cal)]
     spark.createDataFrame(meta, "features array<string>, grain string, num_classes int, "
                                 "contract_version int, arm string, arm_features array<string>, "
-                                "models array<string>, strata array<string>, calibrators array<string>") \
+                                "models array<string>, strata array<string>, calibrated array<int>") \
         .coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
 
 
@@ -123,12 +122,8 @@ def load(spark: SparkSession, path: str) -> Model:
         c, classes = entry.split("=")
         arm.strata[int(c)] = [int(y) for y in classes.split(",")]
     cal = None
-    if meta["calibrators"]:
-        cal = Calibrator()
-        for entry in meta["calibrators"]:
-            s, k = entry.split("_")
-            cal.models[(None if s == "None" else int(s), int(k))] = IsotonicRegressionModel.load(
-                f"{path}/calibrator/{entry}")
+    if meta["calibrated"] is not None:                      # the strata that have curves of their own
+        cal = Calibrator(spark.read.parquet(f"{path}/calibrator"), list(meta["calibrated"]))
     pre = Preprocessor.from_frame(spark.read.parquet(f"{path}/preprocessor"))
     pre.check_features(list(meta["features"]))
     return Model(pre, arm, cal, list(meta["features"]), meta["grain"], meta["contract_version"])
