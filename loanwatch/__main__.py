@@ -13,10 +13,10 @@ from . import constants as C
 from . import contract
 from .operators.explore import profile
 from .plans import monitor as monitor_plan
-from .plans import score, train
+from .plans import ingest, score, train
 from .session import configure, drop_pins
 from .sources import artifact, store
-from .sources.tables import label_ledger, nan_to_null
+from .sources.tables import build_times, label_ledger, nan_to_null
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -27,13 +27,18 @@ def main(argv: list[str] | None = None) -> None:
     common.add_argument("--ledger", required=True, help="label ledger (parquet)")
     common.add_argument("--out", required=True, help="output folder")
     sub.add_parser("explore", parents=[common])
-    t = sub.add_parser("train", parents=[common])
+    feed = argparse.ArgumentParser(add_help=False)
+    feed.add_argument("--store", help="snapshot store; without it the loan table is read as a whole")
+    feed.add_argument("--strict", action="store_true", help="a broken feed rule ends the run")
+    t = sub.add_parser("train", parents=[common, feed])
     t.add_argument("--final", action="store_true", help="deployment fit on all mature snapshots")
     t.add_argument("--walk-forward", action="store_true")
     t.add_argument("--deploy", default=C.DEPLOY_ARM, help="arm to ship, or auto")
     t.add_argument("--grain", default="loan", choices=("loan", "portfolio"))
     t.add_argument("--approx", action="store_true", help="estimated quantiles in the fits")
-    p = sub.add_parser("predict", parents=[common])
+    p = sub.add_parser("predict", parents=[common, feed])
+    p.add_argument("--job-control", help="load job's bookkeeping, which says when a snapshot was built; with --store")
+    p.add_argument("--job", default="MONTHLY_LOAD", help="name of the load job")
     p.add_argument("--model", required=True)
     p.add_argument("--snapshot", type=int, nargs="*")
     p.add_argument("--called-log")
@@ -55,6 +60,10 @@ def main(argv: list[str] | None = None) -> None:
         features = [c for c in contract.FEATURES if c in loans.columns]
         options = {"deploy": args.deploy, "grain": args.grain,
                    "method": "approx" if args.approx else "exact"}
+        if args.store:
+            loans = ingest.training_loans(loans, ledger, args.store, args.strict)
+        else:
+            loans = ingest.checked(loans, ledger, args.strict)
         if args.walk_forward:
             results, summary = train.walk_forward(loans, ledger, features, **options)
             summary.write.mode("overwrite").parquet(f"{out}/fold_summary")
@@ -66,7 +75,12 @@ def main(argv: list[str] | None = None) -> None:
     elif args.verb == "predict":
         params = score.ScoringParams(args.model, as_of=args.as_of, output_folder=out,
                                      called_log_path=args.called_log)
-        score.predict(spark, loans, ledger, params, args.snapshot)
+        built = None
+        if args.store:
+            if not args.job_control:
+                ap.error("--store needs --job-control")
+            built = build_times(spark.read.parquet(args.job_control), args.job)
+        score.predict(spark, loans, ledger, params, args.snapshot, store_path=args.store, build_times=built, strict=args.strict)
     else:
         tables = monitor_plan.EngineTables(
             *[spark.read.parquet(x) for x in (args.runs, args.output, args.tracking)],

@@ -1,9 +1,14 @@
 """Data-quality rules of the loan feed. Each violation is a row:
-(rule, detail, snapshot_date, n_bad)."""
+(rule, detail, snapshot_date, n_bad).
+
+``feed_violations`` counts them in a frame, with one scan for all rules.
+``Watch`` looks at rows on their way somewhere else and costs no scan: it says
+which rules broke in which snapshot, and only those are counted.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -40,68 +45,177 @@ def _row_rules(cols: set[str]):
     return out
 
 
-_SCHEMA = "rule string, detail string, snapshot_date bigint, n_bad bigint"
-
+def snapshot_facts(df: DataFrame, rules=RULES) -> DataFrame:
+    """One row per snapshot with all that the rules need, from one scan.
 
-def feed_violations(df: DataFrame, ledger: DataFrame | None = None, strict: bool = False,
-                    rules=RULES) -> DataFrame:
-    """All violations. Rules on absent columns are skipped; NULL labels never
-    break a row rule. ``ledger`` switches the label-nullity rule on."""
+    n (rows), surplus (rows beyond one a key), n_null (rows without a label), lo and
+    hi (horizon dates), broken (counts of the row rules, in order), coded (counts of
+    each sentinel). Rows are counted by key first where repeated keys are looked for.
+    """
     cols = set(df.columns)
-    parts = []
-    aggs = [F.struct(F.lit(r).alias("rule"), F.lit(d).alias("detail"),
-                     F.lit(None).cast("bigint").alias("snapshot_date"),
-                     F.count_if(cond).alias("n_bad"))
-            for r, d, cond in _row_rules(cols) if r in rules]
-    if "sentinel_missing" in rules:
-        big = F.count(F.lit(1)) >= C.SENTINEL_CHECK_MIN_ROWS
-        for n, code in contract.SENTINELS.items():
-            if n in cols:
-                gone = big & (F.count_if(F.col(n) == code) == 0)
-                aggs.append(F.struct(
-                    F.lit("sentinel_missing").alias("rule"), F.lit(f"{n} has no {code}").alias("detail"),
-                    F.lit(None).cast("bigint").alias("snapshot_date"),
-                    F.when(gone, F.count(F.lit(1))).otherwise(0).alias("n_bad")))
-    if aggs:
-        parts.append(df.agg(F.array(*aggs).alias("r")).select(F.inline("r")))
+    snapshot = F.col("SNAPSHOT_DATE") if "SNAPSHOT_DATE" in cols else F.lit(None)
+    broken = [cond for r, _, cond in _row_rules(cols) if r in rules]
+    coded = [F.col(c) == code for c, code in _sentinels(cols, rules)]
+    horizon = F.col("LABEL_HORIZON_DATE") if "LABEL_HORIZON_DATE" in cols else F.lit(None)
+    no_label = F.col("WORST_FUTURE_CAT").isNull() if "WORST_FUTURE_CAT" in cols else F.lit(False)
+    keyed = "duplicate_key" in rules and {"LOAN_ID", "SNAPSHOT_DATE"} <= cols
+    counts = {"n": F.lit(True), "n_null": no_label} | {f"b{i}": c for i, c in enumerate(broken)} | {f"s{i}": c for i, c in enumerate(coded)}
+    by = [snapshot.cast("bigint").alias("SNAPSHOT_DATE"), *[F.col("LOAN_ID").alias("__loan")] * keyed]
+    rows = df.groupBy(*by).agg(F.min(horizon).cast("bigint").alias("lo"), F.max(horizon).cast("bigint").alias("hi"),
+                               *[F.count_if(c).alias(name) for name, c in counts.items()])
+    if keyed:
+        rows = rows.groupBy("SNAPSHOT_DATE").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum(F.col("n") - 1).alias("surplus"),
+                                                 *[F.sum(name).alias(name) for name in counts])
+
+    def listed(prefix: str, of: list) -> Column:
+        return F.array(*[F.col(f"{prefix}{i}") for i in range(len(of))]).cast("array<bigint>")
+    surplus = F.col("surplus") if keyed else F.lit(0).cast("bigint")
+    return rows.select("SNAPSHOT_DATE", "n", surplus.alias("surplus"), "n_null", "lo", "hi",
+                       listed("b", broken).alias("broken"), listed("s", coded).alias("coded"))
+
+
+def _sentinels(cols: set[str], rules) -> list[tuple[str, float]]:
+    return [(c, code) for c, code in contract.SENTINELS.items() if c in cols and "sentinel_missing" in rules]
+
+
+def _findings(cols: set[str], rules, total: bool) -> list[tuple[str, str, Column]]:
+    """(rule, detail, n_bad) over a row of facts, or over all of them in one aggregate."""
+    def over(c: Column) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0)) if total else c
+    out = [(r, d, over(F.get("broken", F.lit(i)))) for i, (r, d, _) in enumerate(x for x in _row_rules(cols) if x[0] in rules)]
+    n = over(F.col("n"))
+    for i, (c, code) in enumerate(_sentinels(cols, rules)):
+        gone = (n >= C.SENTINEL_CHECK_MIN_ROWS) & (over(F.get("coded", F.lit(i))) == 0)
+        out.append(("sentinel_missing", f"{c} has no {code}", F.when(gone, n).otherwise(0)))
     if "duplicate_key" in rules and {"LOAN_ID", "SNAPSHOT_DATE"} <= cols:
-        dup = df.groupBy("LOAN_ID", "SNAPSHOT_DATE").agg(F.count(F.lit(1)).alias("k"))
-        parts.append(dup.agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("n_bad")).select(
-            F.lit("duplicate_key").alias("rule"), F.lit("LOAN_ID, SNAPSHOT_DATE").alias("detail"),
-            F.lit(None).cast("bigint").alias("snapshot_date"), "n_bad"))
+        out.append(("duplicate_key", "LOAN_ID, SNAPSHOT_DATE", over(F.col("surplus"))))
     if "horizon_varies" in rules and {"SNAPSHOT_DATE", "LABEL_HORIZON_DATE"} <= cols:
-        h = F.col("LABEL_HORIZON_DATE")
-        per = df.groupBy("SNAPSHOT_DATE").agg((F.min(h) != F.max(h)).alias("varies"))
-        parts.append(per.agg(F.count_if("varies").alias("n_bad")).select(
-            F.lit("horizon_varies").alias("rule"), F.lit("LABEL_HORIZON_DATE").alias("detail"),
-            F.lit(None).cast("bigint").alias("snapshot_date"), "n_bad"))
-    if "label_nullity" in rules and ledger is not None and {"SNAPSHOT_DATE", "WORST_FUTURE_CAT"} <= cols:
-        parts.append(label_nullity(df, ledger))
-    spark = df.sparkSession
-    out = spark.createDataFrame([], _SCHEMA)
-    for p in parts:
-        out = out.unionByName(p)
-    out = out.where(F.col("n_bad") > 0)
+        out.append(("horizon_varies", "LABEL_HORIZON_DATE", over(F.when(F.col("lo") != F.col("hi"), 1).otherwise(0))))
+    return out
+
+
+def _rows_of(found: list[tuple[str, str, Column]], snapshot: Column) -> Column:
+    structs = [F.struct(F.lit(r).alias("rule"), F.lit(d).alias("detail"), snapshot.cast("bigint").alias("snapshot_date"),
+                        n.cast("bigint").alias("n_bad")) for r, d, n in found]
+    return F.array(*structs) if structs else F.array().cast(_ROWS)
+
+
+_ROWS = "array<struct<rule:string,detail:string,snapshot_date:bigint,n_bad:bigint>>"
+
+
+def feed_violations(df: DataFrame, ledger: DataFrame | None = None, strict: bool = False,
+                    rules=RULES, by_snapshot: bool = False) -> DataFrame:
+    """All violations, from one scan. Rules on absent columns are skipped; NULL
+    labels never break a row rule. ``ledger`` switches the label-nullity rule
+    on. ``by_snapshot`` counts every rule per snapshot instead of over the frame."""
+    cols = set(df.columns)
+    facts = snapshot_facts(df, rules)
+    labels = "label_nullity" in rules and ledger is not None and {"SNAPSHOT_DATE", "WORST_FUTURE_CAT"} <= cols
+    nullity = F.array().cast(_ROWS)
+    if labels:
+        facts = facts.join(_expected(ledger), "SNAPSHOT_DATE", "left")
+        detail = F.when(F.col("__final"), "NULL labels differ from the ledger").otherwise("open snapshot has labels")
+        nullity = _rows_of([("label_nullity", "", _distance(F.col("n"), F.col("n_null")))], F.col("SNAPSHOT_DATE"))
+        nullity = F.transform(nullity, lambda x: x.withField("detail", detail))
+    if by_snapshot:
+        rows = facts.select(F.concat(_rows_of(_findings(cols, rules, False), F.col("SNAPSHOT_DATE")), nullity).cast(_ROWS).alias("r"))
+    else:
+        found = _rows_of(_findings(cols, rules, True), F.lit(None))
+        rows = facts.agg(F.concat(found, F.flatten(F.collect_list(nullity))).cast(_ROWS).alias("r"))      # a list of months
+    out = rows.select(F.inline("r")).where(F.col("n_bad") > 0)
     if strict:
-        found = out.collect()          # one row per rule, or per snapshot
-        if found:
-            raise FeedError("; ".join(f"{r['rule']}: {r['detail']} ({r['n_bad']} row(s))"
-                                      for r in found))
+        raise_if_any(out)
     return out
 
 
-def label_nullity(df: DataFrame, ledger: DataFrame) -> DataFrame:
+def raise_if_any(violations: DataFrame) -> None:
+    found = violations.collect()          # one row per rule, or per snapshot
+    if found:
+        raise FeedError("; ".join(f"{r['rule']}: {r['detail']} ({r['n_bad']} row(s))" for r in found))
+
+
+def _expected(ledger: DataFrame) -> DataFrame:
+    return ledger.select(F.col("SNAPSHOT_DATE").cast("bigint").alias("SNAPSHOT_DATE"), F.lit(True).alias("__final"),
+                         F.coalesce("LOANS_UNLABELLED", F.lit(0)).alias("__expected"))
+
+
+def _distance(n: Column, n_null: Column) -> Column:
     """Open snapshots have only NULL labels; finalised ones exactly as many as
-    the ledger says (unknown counts as 0). n_bad is the distance."""
-    per = df.groupBy("SNAPSHOT_DATE").agg(
-        F.count_if(F.col("WORST_FUTURE_CAT").isNull()).alias("n_null"),
-        F.count(F.lit(1)).alias("n"))
-    led = ledger.select("SNAPSHOT_DATE", F.lit(True).alias("__final"),
-                        F.coalesce("LOANS_UNLABELLED", F.lit(0)).alias("__expected"))
-    bad = F.when(F.col("__final"), F.abs(F.col("n_null") - F.col("__expected"))).otherwise(
-        F.col("n") - F.col("n_null"))
-    return per.join(led, "SNAPSHOT_DATE", "left").select(
-        F.lit("label_nullity").alias("rule"),
-        F.when(F.col("__final"), "NULL labels differ from the ledger")
-        .otherwise("open snapshot has labels").alias("detail"),
-        F.col("SNAPSHOT_DATE").cast("bigint").alias("snapshot_date"), bad.alias("n_bad"))
+    the ledger says (unknown counts as 0). How far the counts are from that."""
+    return F.when(F.col("__final"), F.abs(n_null - F.col("__expected"))).otherwise(n - n_null)
+
+
+class Watch:
+    """Observes the row rules, label counts and horizons of some snapshots while their rows are being written.
+
+    Each rule is a bit, and a snapshot's bits are joined by OR; horizons are
+    least and greatest dates. A task that runs twice after a lost executor changes
+    none of them. Only the label counts could be too high, and a mismatch they
+    show is counted again, like every broken rule, by ``violations``.
+    """
+
+    def __init__(self, df: DataFrame, snapshots: list[int], ledger: DataFrame | None = None):
+        self.df, self.ledger, self.snapshots = df, ledger, snapshots
+        self.cols = set(df.columns)
+        self.observation = Observation()
+        null = [c for c in contract.REQUIRED if c in self.cols]
+        self.findings = [*_row_rules(self.cols), *[("null_in_required", c, F.col(c).isNull()) for c in null]]
+        self.sentinels = _sentinels(self.cols, RULES)
+
+    def watched(self) -> DataFrame:
+        """The rows, unchanged; write these."""
+        conditions = [c for _, _, c in self.findings] + [F.col(c) == code for c, code in self.sentinels]
+        if len(conditions) > 63:
+            raise ValueError(f"{len(conditions)} rules do not fit the bits of a long")
+        bits = F.lit(0).cast("bigint")
+        for i, cond in enumerate(conditions):
+            bits = bits + F.when(cond, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        horizon = F.col("LABEL_HORIZON_DATE").cast("bigint") if "LABEL_HORIZON_DATE" in self.cols else F.lit(None).cast("bigint")
+        label = F.col("WORST_FUTURE_CAT") if "WORST_FUTURE_CAT" in self.cols else F.lit(None)
+        rows = self.df.withColumn("__bits", bits)
+        metrics = []
+        for s in self.snapshots:                            # a list of months
+            here = F.col("SNAPSHOT_DATE") == s
+            metrics += [F.bit_or(F.when(here, F.col("__bits"))).alias(f"bits_{s}"), F.count_if(here).alias(f"n_{s}"),
+                        F.count_if(here & label.isNull()).alias(f"null_{s}"), F.min(F.when(here, horizon)).alias(f"lo_{s}"),
+                        F.max(F.when(here, horizon)).alias(f"hi_{s}")]
+        return rows.observe(self.observation, *metrics).drop("__bits")
+
+    def suspects(self) -> dict[int, set[str]]:
+        """Rules that look broken, by snapshot, once the rows are written."""
+        seen = self.observation.get
+        expected = {}
+        if self.ledger is not None:
+            expected = {int(r["SNAPSHOT_DATE"]): r["__expected"] for r in _expected(self.ledger).collect()}     # months
+        out: dict[int, set[str]] = {}
+        for s in self.snapshots:
+            bits, n, null = seen[f"bits_{s}"] or 0, seen[f"n_{s}"], seen[f"null_{s}"]
+            rules = {r for i, (r, _, _) in enumerate(self.findings) if bits >> i & 1}
+            if n >= C.SENTINEL_CHECK_MIN_ROWS and any(not bits >> len(self.findings) + i & 1 for i in range(len(self.sentinels))):
+                rules.add("sentinel_missing")
+            if seen[f"lo_{s}"] != seen[f"hi_{s}"]:
+                rules.add("horizon_varies")
+            if self.ledger is not None and "WORST_FUTURE_CAT" in self.cols and (null != expected[s] if s in expected else null != n):
+                rules.add("label_nullity")
+            if rules:
+                out[s] = rules
+        return out
+
+    def violations(self) -> DataFrame:
+        """What is broken, counted per snapshot in the source rows of the snapshots concerned; without a scan if nothing is."""
+        suspects = self.suspects()
+        spark = self.df.sparkSession
+        if not suspects:
+            return spark.createDataFrame([], VIOLATIONS)
+        rules = sorted(set().union(*suspects.values()))
+        rows = self.df.where(F.col("SNAPSHOT_DATE").isin(list(suspects)))
+        out = feed_violations(rows, self.ledger, rules=[r for r in rules if r != "null_in_required"], by_snapshot=True)
+        if "null_in_required" in rules:
+            names = [d for r, d, _ in self.findings if r == "null_in_required"]
+            counts = rows.groupBy(F.col("SNAPSHOT_DATE").cast("bigint").alias("snapshot_date")).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in names])
+            out = out.unionByName(counts.unpivot(["snapshot_date"], names, "detail", "n_bad").where("n_bad > 0")
+                                  .select(F.lit("null_in_required").alias("rule"), "detail", "snapshot_date", "n_bad"))
+        return out
+
+
+VIOLATIONS = "rule string, detail string, snapshot_date bigint, n_bad bigint"

@@ -15,6 +15,7 @@ from ...session import pin, scratch_root
 from ...sources import derived as D
 from ...sources import store as S
 from ...sources import tables as A
+from .. import ingest
 from ..registry import query
 from .ranking import QUEUE_SQL
 
@@ -93,10 +94,10 @@ def _a8(spark, sf):
 def _a9(spark, sf):
     """Fill the store in two goes: LEGACY snapshots first, then what is new."""
     path = _fresh(spark, "store")
-    loans, ledger = D.feed_with_open_labels(spark, sf), _ledger(spark, sf)
+    loans, ledger = pin(D.feed_with_open_labels(spark, sf)), _ledger(spark, sf)
     S.store_mature(loans, ledger.where("STATUS = 'LEGACY'"), path)
     S.store_mature(loans, ledger, path)
-    return spark.read.parquet(path).groupBy("SNAPSHOT_DATE").agg(
+    return S.read_store(spark, path).groupBy("SNAPSHOT_DATE").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("NATIONAL_CODE").alias("n_customers"))
 
 
@@ -108,7 +109,18 @@ def _a9b(spark, sf):
     still_open = loans.join(F.broadcast(E.open_snapshots(D.snapshots(spark, sf), _ledger(spark, sf))),
                             "SNAPSHOT_DATE", "left_semi")
     S.store_open(still_open, A.build_times(D.job_control(spark, sf), D.JOB), path)
-    return spark.read.parquet(path).groupBy("SNAPSHOT_DATE").agg(F.count(F.lit(1)).alias("n_rows"))
+    return S.read_store(spark, path).groupBy("SNAPSHOT_DATE").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("A9_ingest_rows", "loan_id:i snapshot_date:i dpd_days:i remaining_amnt:d worst_future_cat:i", """
+  select loan_id, snapshot_date, dpd_days, remaining_amnt, worst_future_cat from feed_open
+  where worst_future_cat is not null and snapshot_date in (select snapshot_date from ledger)""")
+def _a9c(spark, sf):
+    """The rows a training run gets, through the store: a first run, and one after the other snapshots were finalised."""
+    path = _fresh(spark, "ingest")
+    loans, ledger = pin(D.feed_with_open_labels(spark, sf)), _ledger(spark, sf)
+    ingest.training_loans(loans, ledger.where("STATUS = 'LEGACY'"), path)
+    return ingest.training_loans(loans, ledger, path)
 
 
 @query("A10_write_guard", "snapshot_date:i in_ledger:b n_unlabelled:i", """
@@ -356,6 +368,37 @@ def _c9(spark, sf):
     return FC.feed_violations(df, led, rules=("label_nullity",))
 
 
+def _each(rule, detail, n_bad, more=""):
+    return f"select '{rule}' as rule, '{detail}' as detail, snapshot_date, {n_bad} as n_bad from fin group by snapshot_date having {n_bad} > 0 {more}"
+
+
+_FIN = f"{_CHK}, fin as (select * from chk where snapshot_date in (select snapshot_date from ledger))"
+_WATCH_SQL = " union all ".join([
+    _each("label_below_category", "WORST_FUTURE_CAT < LOAN_CATEGORY", "count_if(wfc < loan_category)"),
+    _each("ladder", "DAYS_SINCE_LAST_DPD > DAYS_SINCE_LAST_30_DPD", "count_if(days_since_last_dpd > d30)"),
+    _each("ladder", "DAYS_SINCE_LAST_30_DPD > DAYS_SINCE_LAST_60_DPD", "count_if(d30 > d60)"),
+    _each("ladder", "DAYS_SINCE_LAST_60_DPD > DAYS_SINCE_LAST_90_DPD", "count_if(d60 > d90)"),
+    _each("months_range", "MONTHS_IN_CURRENT_CATEGORY outside 1..6", "count_if(months < 1 or months > 6)"),
+    *[_each("category_range", f"{n} outside 0..4", f"count_if({c} < 0 or {c} > 4)") for n, c in
+      (("CATEGORY_T1", "c1"), ("CATEGORY_T2", "c2"), ("CATEGORY_T3", "c3"), ("WORST_FUTURE_CAT", "wfc"))],
+    _each("npl_nesting", "NPL without PRE-NPL", "count_if(npl = 1 and prenpl is distinct from 1)"),
+    _each("horizon_varies", "LABEL_HORIZON_DATE", "case when min(horizon) <> max(horizon) then 1 else 0 end"),
+    *[_each("sentinel_missing", f"{n} has no 99999", f"case when count(*) >= 1000 and count_if({c} = 99999) = 0 then count(*) else 0 end")
+      for n, c in (("DAYS_SINCE_LAST_DPD", "days_since_last_dpd"), ("DAYS_SINCE_LAST_30_DPD", "d30"),
+                   ("DAYS_SINCE_LAST_60_DPD", "d60"), ("DAYS_SINCE_LAST_90_DPD", "d90"))],
+    """select 'label_nullity', 'NULL labels differ from the ledger', f.snapshot_date, abs(count(*) filter (where wfc is null) - max(coalesce(loans_unlabelled, 0)))
+       from fin f join ledger l on l.snapshot_date = f.snapshot_date group by f.snapshot_date
+       having abs(count(*) filter (where wfc is null) - max(coalesce(loans_unlabelled, 0))) > 0"""])
+
+
+@query("C_watched_store", _COLS, f"with {_FIN} {_WATCH_SQL}")
+def _cw(spark, sf):
+    """What the store noted about its snapshots while it was filled."""
+    path = _fresh(spark, "watched")
+    S.store_mature(pin(D.checked_feed(spark, sf)), _ledger(spark, sf), path)
+    return S.SnapshotStore(spark, path).violations()
+
+
 @query("C_all_rules", _COLS, f"with {_CHK} " + " union all ".join(_CHECK_SQL.values()))
 def _call(spark, sf):
     return FC.feed_violations(D.checked_feed(spark, sf), _ledger(spark, sf))

@@ -15,6 +15,7 @@ from ..operators.clean import drop_unlabelled
 from ..operators.queue import build_queue
 from ..session import pin
 from ..sources import artifact, store, tables
+from . import ingest
 
 log = logging.getLogger(__name__)
 
@@ -95,10 +96,22 @@ def run_scoring(spark: SparkSession, df: DataFrame, params: ScoringParams) -> Da
 
 
 def predict(spark: SparkSession, loans: DataFrame, ledger: DataFrame, params: ScoringParams,
-            snapshots: list[int] | None = None, recalibrate: bool = True) -> DataFrame:
+            snapshots: list[int] | None = None, recalibrate: bool = True,
+            store_path: str | None = None, build_times: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Score the wanted snapshots of the loan table (default: all open ones),
-    after refreshing the calibrator on the newest finalised snapshot."""
-    wanted = [r[0] for r in E.snapshots_to_score(loans, ledger, snapshots).collect()]   # months
+    after refreshing the calibrator on the newest finalised snapshot.
+
+    With ``store_path`` and ``build_times`` both come through the snapshot store, which
+    watches the feed rules on the way; else the rows to score are checked by a scan.
+    """
+    mature = loans
+    if store_path:
+        rows = ingest.scoring_loans(loans, ledger, build_times, store_path, snapshots, strict)
+        if recalibrate and params.calibration_rows is None:
+            mature = ingest.training_loans(loans, ledger, store_path, strict)
+    else:
+        wanted = [r[0] for r in E.snapshots_to_score(loans, ledger, snapshots).collect()]   # months
+        rows = ingest.checked(loans.where(F.col("SNAPSHOT_DATE").isin(wanted)), ledger, strict)
     if recalibrate and params.calibration_rows is None:
-        params = dataclasses.replace(params, calibration_rows=H.newest_mature(loans, ledger))
-    return run_scoring(spark, loans.where(F.col("SNAPSHOT_DATE").isin(wanted)), params)
+        params = dataclasses.replace(params, calibration_rows=H.newest_mature(mature, ledger))
+    return run_scoring(spark, rows, params)

@@ -154,7 +154,7 @@ def test_store_is_permanent_and_guarded(spark, tmp_path):
     path = str(tmp_path / "store")
     assert store.store_mature(loans, led.where("STATUS = 'LEGACY'"), path) == [20240101]
     assert store.store_mature(loans.withColumn("DPD_DAYS", F.lit(0)), led, path) == [20240201]
-    kept = by(spark.read.parquet(path), "LOAN_ID")
+    kept = by(store.read_store(spark, path), "LOAN_ID")
     assert kept[1]["DPD_DAYS"] == 5 and kept[2]["DPD_DAYS"] == 0        # the first is not rewritten
     with pytest.raises(store.StoreError, match="not in the label ledger"):
         store.store_rows(loans.where("LOAN_ID = 3"), led, path)
@@ -192,12 +192,14 @@ def test_store_with_another_feature_list_is_refused_by_name(spark, tmp_path):
     from loanwatch.operators.clean import ContractError
     from loanwatch.sources.store import read_store
     path = str(tmp_path / "store")
+    months = store.SnapshotStore(spark, path)
     one_month = spark.createDataFrame([(20260101, 1, 5.0, 0)], "SNAPSHOT_DATE long, LOAN_ID long, DPD_DAYS double, LOAN_CATEGORY int")
     other = one_month.withColumn("SNAPSHOT_DATE", F.lit(20260201).cast("bigint"))
-    for rows in (one_month, other):
-        rows.write.mode("append").partitionBy("SNAPSHOT_DATE").parquet(path)
+    for month, rows in ((20260101, one_month), (20260201, other)):
+        assert months.fill(rows, [month], mature=False) == [month]
     assert sorted(r["SNAPSHOT_DATE"] for r in read_store(spark, path).collect()) == [20260101, 20260201]
     late = one_month.withColumn("SNAPSHOT_DATE", F.lit(20260301).cast("bigint")).withColumnRenamed("LOAN_CATEGORY", "RENAMED")
-    late.write.mode("append").partitionBy("SNAPSHOT_DATE").parquet(path)
+    months.fill(late, [20260301], mature=False)
     with pytest.raises(ContractError, match="20260301.*RENAMED"):
         read_store(spark, path)
+    assert read_store(spark, path, [20260101, 20260201]).count() == 2
