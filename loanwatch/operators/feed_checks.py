@@ -212,9 +212,9 @@ class Watch:
         out = feed_violations(rows, self.ledger, rules=[r for r in rules if r != "null_in_required"], by_snapshot=True)
         if "null_in_required" in rules:
             names = [d for r, d, _ in self.findings if r == "null_in_required"]
-            counts = rows.groupBy(F.col("SNAPSHOT_DATE").cast("bigint").alias("snapshot_date")).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in names])
-            out = out.unionByName(counts.unpivot(["snapshot_date"], names, "detail", "n_bad").where("n_bad > 0")
-                                  .select(F.lit("null_in_required").alias("rule"), "detail", "snapshot_date", "n_bad"))
+            counts = rows.groupBy("SNAPSHOT_DATE").agg(*[F.count_if(F.col(c).isNull()).alias(f"__{c}") for c in names])
+            found = _rows_of([("null_in_required", c, F.col(f"__{c}")) for c in names], F.col("SNAPSHOT_DATE"))
+            out = out.unionByName(counts.select(F.inline(found)).where("n_bad > 0"))
         return out
 
 

@@ -382,6 +382,7 @@ _WATCH_SQL = " union all ".join([
     *[_each("category_range", f"{n} outside 0..4", f"count_if({c} < 0 or {c} > 4)") for n, c in
       (("CATEGORY_T1", "c1"), ("CATEGORY_T2", "c2"), ("CATEGORY_T3", "c3"), ("WORST_FUTURE_CAT", "wfc"))],
     _each("npl_nesting", "NPL without PRE-NPL", "count_if(npl = 1 and prenpl is distinct from 1)"),
+    _each("null_in_required", "HAS_EVER_BEEN_PRENPL", "count_if(prenpl is null)"),
     _each("horizon_varies", "LABEL_HORIZON_DATE", "case when min(horizon) <> max(horizon) then 1 else 0 end"),
     *[_each("sentinel_missing", f"{n} has no 99999", f"case when count(*) >= 1000 and count_if({c} = 99999) = 0 then count(*) else 0 end")
       for n, c in (("DAYS_SINCE_LAST_DPD", "days_since_last_dpd"), ("DAYS_SINCE_LAST_30_DPD", "d30"),
