@@ -22,7 +22,7 @@ _INDEX_BITS = 33
 _PART, _IDX = "__part", "__idx"
 
 
-def _sorted_slices(df: DataFrame, order: list[Column]) -> DataFrame:
+def sorted_slices(df: DataFrame, order: list[Column]) -> DataFrame:
     """The frame in total order with each row's partition number and index.
 
     Pinned, because the range bounds are sampled: a second evaluation could cut
@@ -62,7 +62,7 @@ def with_position(df: DataFrame, order: list[Column], within: list[str] | None =
     of any size, since it may span partitions. ``total`` adds the group's size.
     """
     within = within or []
-    rows = _sorted_slices(df, [F.col(c).asc_nulls_first() for c in within] + order)
+    rows = sorted_slices(df, [F.col(c).asc_nulls_first() for c in within] + order)
     rows = rows.withColumn("__at", _before(rows, F.lit(1)) + F.col(_IDX))
     if within or total:
         groups = rows.groupBy(*[F.col(c).alias(f"__g{k}") for k, c in enumerate(within)]).agg(
@@ -82,7 +82,7 @@ def with_running_sum(df: DataFrame, order: list[Column], sums: dict[str, str],
     one partition of the sort, so its size is that partition's, not the group's.
     """
     within = within or []
-    rows = _sorted_slices(df, [F.col(c).asc_nulls_first() for c in within] + order)
+    rows = sorted_slices(df, [F.col(c).asc_nulls_first() for c in within] + order)
     inside = Window.partitionBy(_PART).orderBy(_IDX).rowsBetween(Window.unboundedPreceding, 0)
     value = {new: F.coalesce(F.col(src), F.lit(0)).cast("bigint") for new, src in sums.items()}
     run = rows.select("*", *[(_before(rows, v) + F.sum(v).over(inside)).alias(f"__r_{new}") for new, v in value.items()])

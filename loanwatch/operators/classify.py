@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from .. import constants as C
 from ..functions.columns import is_severe, ratio
 from ..functions.position import with_running_sum
-from . import decide, ranking
+from . import decide, nested, ranking
 
 K = range(C.NUM_CLASSES)
 CELLS = [(i, j) for i in K for j in K]
@@ -83,24 +83,25 @@ def classification_metrics(df: DataFrame, label: str = "LABEL", pred: str = "PRE
 
 
 def to_long(df: DataFrame, block: str, slice_col: Column | None = None,
-            skip: tuple = ()) -> DataFrame:
-    """(block, slice, metric, value) rows of a wide metric frame."""
+            skip: tuple = (), of: Column | None = None) -> DataFrame:
+    """(block, slice, metric, value) rows of a wide metric frame; ``of`` names each row's block."""
     names = [c for c in df.columns if c not in skip]
     sl = F.lit("all") if slice_col is None else slice_col.cast("string")
     entries = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
                         for c in names])
-    return df.select(F.lit(block).alias("block"), sl.alias("slice"), F.inline(entries))
+    return df.select((F.lit(block) if of is None else of).alias("block"), sl.alias("slice"), F.inline(entries))
 
 
 def full_evaluation(df: DataFrame, ledger: DataFrame | None = None,
                     raw: list[str] = decide.RAW, calibrated: list[str] | None = None,
                     cost_matrix=C.COST_MATRIX, n_loans: str | None = None,
-                    exposure: str | None = None) -> DataFrame:
-    """Every metric block of one scored test set in long form.
+                    exposure: str | None = None, ties=ranking.TIES) -> DataFrame:
+    """Every metric block of one scored test set in long form, at either grain.
 
     raw argmax; argmax and cost rule on calibrated, masked probabilities; cost
-    rule per category; ranking pooled, per category, for single-loan customers,
-    per exposure decile and per label vintage.
+    rule per category; ranking pooled, for single-loan customers, per exposure
+    decile and per label vintage (if the rows hold several), and each of
+    these by category. All ranking blocks come from one sorted pass.
     """
     df = decide.with_monotone_mask(df, probs=calibrated or raw)
     m = [F.col(c) for c in decide.MASKED]
@@ -117,27 +118,37 @@ def full_evaluation(df: DataFrame, ledger: DataFrame | None = None,
         to_long(classification_metrics(df, pred="__cost", probs=decide.MASKED), "cost_rule"),
         to_long(classification_metrics(df, pred="__cost", probs=decide.MASKED, by=cat),
                 "cost_rule_by_category", F.col("CURRENT_CAT"), tuple(cat)),
+        ranking_blocks(ranking.ranked_population(df), ledger, "__sev", n_loans, exposure, ties),
     ]
-    queue = ranking.ranked_population(df)
-    parts.append(to_long(ranking.ranking_metrics(queue, score="__sev"), "ranking"))
-    parts.append(to_long(ranking.ranking_metrics(queue, by=cat, score="__sev"),
-                         "ranking_by_category", F.col("CURRENT_CAT"), tuple(cat)))
-    if n_loans:
-        parts.append(to_long(ranking.ranking_metrics(queue.where(F.col(n_loans) == 1), score="__sev"),
-                             "ranking_single_loan"))
-    if exposure:
-        parts.append(to_long(ranking.exposure_decile_metrics(df, exposure, score="__sev"),
-                             "ranking_by_exposure", F.col("DECILE"), ("DECILE",)))
-    if ledger is not None:
-        from .maturity import ranking_by_vintage
-        parts.append(to_long(ranking_by_vintage(df, ledger, score="__sev"),
-                             "ranking_by_label_status", F.col("STATUS"), ("STATUS",)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def ranking_blocks(queue: DataFrame, ledger: DataFrame | None = None, score: str = "SCORE", n_loans: str | None = None,
+                   exposure: str | None = None, ties=ranking.TIES) -> DataFrame:
+    """All ranking blocks of the ranked population in long form (block, slice, metric, value)."""
+    blocks = {"ranking": F.lit(nested.ALL)}
+    if n_loans:
+        blocks["ranking_single_loan"] = F.when(F.col(n_loans) == 1, F.lit(nested.ALL))
+    if exposure:
+        queue = ranking.with_exposure_decile(queue, exposure, ties=ties, keep=True)
+        blocks["ranking_by_exposure"] = F.col("DECILE")
+    if ledger is not None:
+        queue = queue.join(ledger.select("SNAPSHOT_DATE", F.col("STATUS").alias("__status")), "SNAPSHOT_DATE", "left")
+        blocks["ranking_by_label_status"] = F.col("__status")
+    wide = nested.nested_ranking(queue, blocks, score, ties=ties, exposure=exposure)
+    long = to_long(wide, "", F.col("slice"), ("block", "slice", "exposure_min", "exposure_max"), of=F.col("block"))
+    if exposure:
+        edges = wide.where("block = 'ranking_by_exposure'").select("block", "slice", "exposure_min", "exposure_max")
+        long = long.unionByName(to_long(edges, "", F.col("slice"), ("block", "slice"), of=F.col("block")))
+    if ledger is not None:
+        if wide.where("block = 'ranking_by_label_status'").count() < 2:            # slices, not rows
+            long = long.where(~F.col("block").startswith("ranking_by_label_status"))
+    return long
+
+
 def bootstrap_intervals(df: DataFrame, label: str = "LABEL", pred: str = "PRED",
                         draws: int = 500, alpha: float = 0.05, seed: int = C.SEED) -> DataFrame:
     """Mean and interval of macro-F1, kappa and the recalls of classes 2 and 3.

@@ -131,12 +131,19 @@ def curve_from_positions(pos: DataFrame, by: list[str] | None = None,
 
 
 def with_exposure_decile(df: DataFrame, exposure: str = C.EXPOSURE_FEATURE, bins: int = 10,
-                         ties=TIES) -> DataFrame:
-    """Decile of the ranked rows by exposure: equal counts, ties split by key."""
+                         ties=TIES, keep: bool = False) -> DataFrame:
+    """Decile of the ranked rows by exposure: equal counts, ties split by key.
+
+    Fewer rows than bins have no deciles: they are dropped, or with ``keep`` stay without one.
+    """
     out = with_position(df, [F.col(exposure).asc_nulls_last()] + [F.col(t).asc() for t in ties],
                         name="__p", total="__n")
-    return out.where(F.col("__n") >= bins).withColumn(
-        "DECILE", (F.expr(f"((__p - 1) * {bins}) div __n") + 1).cast("int")).drop("__p", "__n")
+    decile = (F.expr(f"((__p - 1) * {bins}) div __n") + 1).cast("int")
+    if keep:
+        decile = F.when(F.col("__n") >= bins, decile)
+    else:
+        out = out.where(F.col("__n") >= bins)
+    return out.withColumn("DECILE", decile).drop("__p", "__n")
 
 
 def exposure_decile_metrics(df: DataFrame, exposure: str = C.EXPOSURE_FEATURE, bins: int = 10,

@@ -161,6 +161,17 @@ _MS = ("q as (select d.* exclude (score), m3 as score, count(*) over (partition
        "ql as (select qr.*, status from qr join ledger using (snapshot_date))")
 
 
+def _nested_long(block, source, value=None):
+    """The block of each slice by category."""
+    s = f"{value} || '/' || current_cat" if value else "cast(current_cat as varchar)"
+    return _long(f"{block}_by_category", "s", rank_sql(f"(select *, {s} as s_ from {source})", "s_").replace("a.s as s_", "a.s as s", 1), _RNAMES)
+
+
+_NESTED_SQL = " union all ".join([
+    _nested_long("ranking_single_loan", "(select * from qr where nl = 1)"), _nested_long("ranking_by_exposure", "qd", "decile"),
+    _nested_long("ranking_by_label_status", "ql", "status")])
+
+
 @query("L7_full_evaluation", "block:s slice:s metric:s value:d", f"{_DEC}, {_MS} " + " union all ".join([
     _long("argmax_raw", "'all'", f"select * from {metric_sql('dec', 'raw_pred', 'p')}", _NAMES),
     _long("argmax_cal", "'all'", f"select * from {metric_sql('dec', 'cal_pred', 'm')}", _NAMES),
@@ -169,7 +180,7 @@ _MS = ("q as (select d.* exclude (score), m3 as score, count(*) over (partition
     _rank_long("ranking", "qr"), _rank_long("ranking_by_category", "qr", "current_cat"),
     _rank_long("ranking_single_loan", "(select * from qr where nl = 1)"),
     _rank_long("ranking_by_exposure", "qd", "decile", ("exposure_min", "exposure_max")),
-    _rank_long("ranking_by_label_status", "ql", "status")]))
+    _rank_long("ranking_by_label_status", "ql", "status"), _NESTED_SQL]))
 def _l7(spark, sf):
     from ...session import pin
     df = pin(loan_rows(D.class_vector(spark, sf)))      # read by nine blocks
@@ -177,6 +188,35 @@ def _l7(spark, sf):
                              n_loans="N_LOANS_IN_PORTFOLIO", exposure=C.EXPOSURE_FEATURE)
 
 
+_PORTFOLIO = """with pf as (select national_code as loan_id, national_code, snapshot_date, max(current_cat) as current_cat, max(label) as label,
+    max(sev) as sev, sum(remaining_amnt) as remaining_amnt, max(score) as score, count(*) as nl from scored group by national_code, snapshot_date),
+  """ + _DEC.replace("with ", "", 1).replace("from scored)", "from pf)", 1) + """,
+  q as (select d.* exclude (score), m3 as score from dec d), qr as (select * from q where current_cat < 3),
+  qd as (select *, ((row_number() over (order by remaining_amnt, loan_id, snapshot_date) - 1) * 10) // (count(*) over ()) + 1 as decile from qr),
+  ql as (select qr.*, status from qr join ledger using (snapshot_date))"""
+
+
+@query("L7_portfolio_evaluation", "block:s slice:s metric:s value:d", f"{_PORTFOLIO} " + " union all ".join([
+    _long("argmax_raw", "'all'", f"select * from {metric_sql('dec', 'raw_pred', 'p')}", _NAMES),
+    _long("argmax_cal", "'all'", f"select * from {metric_sql('dec', 'cal_pred', 'm')}", _NAMES),
+    _long("cost_rule", "'all'", f"select * from {metric_sql('dec', 'cost_pred', 'm')}", _NAMES),
+    _long("cost_rule_by_category", "s", f"select * from {metric_sql('dec', 'cost_pred', 'm', 'current_cat')}", _NAMES),
+    _rank_long("ranking", "qr"), _rank_long("ranking_by_category", "qr", "current_cat"),
+    _rank_long("ranking_single_loan", "(select * from qr where nl = 1)"),
+    _rank_long("ranking_by_exposure", "qd", "decile", ("exposure_min", "exposure_max")),
+    _rank_long("ranking_by_label_status", "ql", "status"), _NESTED_SQL]))
+def _l7p(spark, sf):
+    """The same evaluation of rows that are whole portfolios: a customer's worst loan speaks for the portfolio."""
+    from ...session import pin
+    rows = D.scored(spark, sf).groupBy("NATIONAL_CODE", "SNAPSHOT_DATE").agg(
+        F.max("CURRENT_CAT").alias("CURRENT_CAT"), F.max("LABEL").alias("LABEL"), F.max("SCORE").alias("SCORE"),
+        F.sum(C.EXPOSURE_FEATURE).alias("EXPOSURE"), F.count(F.lit(1)).alias("N_LOANS_IN_PORTFOLIO"))
+    s = F.col("SCORE")
+    df = pin(rows.withColumns({**{f"p{k}": (1 - s) * w for k, w in enumerate((0.5, 0.3, 0.2))}, "p3": s}))
+    return L.full_evaluation(df, label_ledger(D.ledger_table(spark, sf)), n_loans="N_LOANS_IN_PORTFOLIO", exposure="EXPOSURE",
+                             ties=("NATIONAL_CODE", "SNAPSHOT_DATE"))
+
+
 @query("L8_bootstrap_intervals", "metric:s mean:d lower_ci:d upper_ci:d")
 def _l8(spark, sf):
     return L.bootstrap_intervals(decided(spark, sf), pred="PREDICTED_CLASS", draws=500)

@@ -15,7 +15,7 @@ from ..operators import classify as L
 from ..operators import maturity as E
 from ..operators import ranking as K
 from ..operators.clean import drop_unlabelled
-from ..operators.decide import MASKED, RAW, with_decision, with_monotone_mask
+from ..operators.decide import RAW, with_decision, with_monotone_mask
 from ..operators.preprocess import Preprocessor
 from ..session import pin
 from ..sources.artifact import Model, model_columns, shape_rows
@@ -108,10 +108,8 @@ def train_fold(rows: DataFrame, features: list[str], ledger: DataFrame | None =
         if kind == "binary":
             m = L.to_long(K.ranking_metrics(K.ranked_population(test), score="p3", ties=ties), "ranking")
         else:
-            m = L.full_evaluation(test, ledger, raw=_KEPT, calibrated=RAW,
-                                  n_loans="N_LOANS_IN_PORTFOLIO",
-                                  exposure="EXPOSURE" if grain == "loan" else None) \
-                if grain == "loan" else _portfolio_evaluation(test, ties)
+            m = L.full_evaluation(test, ledger, raw=_KEPT, calibrated=RAW, n_loans="N_LOANS_IN_PORTFOLIO",
+                                  exposure="EXPOSURE" if "EXPOSURE" in test.columns else None, ties=ties)
         tables.append(m.withColumn("arm", F.lit(kind)))
 
     metrics = None
@@ -133,14 +131,6 @@ def train_fold(rows: DataFrame, features: list[str], ledger: DataFrame | None =
     return out
 
 
-def _portfolio_evaluation(test: DataFrame, ties) -> DataFrame:
-    """Classification and ranking blocks for rows that are whole portfolios."""
-    df = with_decision(with_monotone_mask(test))
-    q = K.ranked_population(df)
-    return L.to_long(L.classification_metrics(df, pred="PREDICTED_CLASS", probs=MASKED), "cost_rule") \
-        .unionByName(L.to_long(K.ranking_metrics(q, score="RISK_SCORE", ties=ties), "ranking"))
-
-
 def walk_forward(loans: DataFrame, ledger: DataFrame, features: list[str], min_train: int = C.MIN_TRAIN_SNAPSHOTS,
                  window: int | None = None, **fold_options) -> tuple[list[FoldResult], DataFrame]:
     """Every fold in turn (a list of months, not of rows) and their summary."""
