@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small_side
+from ..session import pin
 
 _PER_DOUBLING, _FINE = 64, 65_536
 #: More than any coarse bucket number of a double (64 * 1075), so that signs keep apart.
@@ -41,26 +41,33 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: Callabl
     ``wanted`` maps a group's size (of non-NULL values, each counted ``weight``
     times) to an array of struct(id, rank); ranks start at 0, and those outside
     the group give no row. It may use the key columns. Keys match NULL-safely.
+
+    The narrow columns are written once and each pass reads them. What a pass finds (the
+    buckets that hold wanted ranks, a few for each group) is written too, with its
+    ranks as data, so that plans stay small, and Spark sees its size when it joins it.
     """
     cols = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("__k0")]
     by = [f"__k{i}" for i in range(len(cols))]
     n = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     data = df.select(*cols, F.col(value).cast("double").alias("__v"), n.alias("__n")).where("__v is not null")
-    data = data.withColumn("__b", _coarse(F.col("__v")))
+    data = pin(data).withColumn("__b", _coarse(F.col("__v")))
 
     def counted(rows: DataFrame, on: list[str]) -> DataFrame:
         return rows.groupBy(*on).agg(F.sum("__n").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
 
     def holding(counts: DataFrame, within: list[str], order: str, before: Column, targets: Column) -> DataFrame:
-        """Buckets in which wanted ranks lie, with the rows before them."""
+        """A row for each wanted rank and the bucket it lies in, with the rows before that bucket."""
         past = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        out = counts.withColumns({"__from": before + F.coalesce(F.sum("__n").over(past), F.lit(0)), "__all": targets})
-        inside = F.filter("__all", lambda t: (t["rank"] >= F.col("__from")) & (t["rank"] < F.col("__from") + F.col("__n")))
-        return out.withColumn("__t", inside).where(F.size("__t") > 0)
+        out = counts.withColumn("__from", before + F.coalesce(F.sum("__n").over(past), F.lit(0)))
+        return out.withColumn("__t", F.explode(targets)).where((F.col("__t.rank") >= F.col("__from")) & (F.col("__t.rank") < F.col("__from") + F.col("__n")))
+
+    def buckets(found: DataFrame, on: list[str], keep: dict[str, str]) -> DataFrame:
+        """One row for each bucket that is left, with its ranks."""
+        return pin(found.groupBy(*on).agg(*[F.first(c).alias(name) for c, name in keep.items()], F.collect_list("__t").alias("__w")))
 
     def meet(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-        """Join on keys of which the group columns may be NULL; the side of few rows is checked before it is sent around."""
-        small = small_side(small.select(*[F.col(c).alias(f"{c}__") for c in on], *[c for c in small.columns if c not in on]))
+        """Join on keys of which the group columns may be NULL."""
+        small = small.select(*[F.col(c).alias(f"{c}__") for c in on], *[c for c in small.columns if c not in on])
         same = F.lit(True)
         for c in on:
             same = same & (rows[c].eqNullSafe(small[f"{c}__"]) if c in by else rows[c] == small[f"{c}__"])
@@ -69,22 +76,19 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: Callabl
     named = {k: F.col(b) for k, b in zip(keys, by, strict=False)}
     size = F.sum("__n").over(Window.partitionBy(*by))
     coarse = counted(data, [*by, "__b"]).withColumns(named | {"__size": size})
-    first = holding(coarse, by, "__b", F.lit(0), wanted(F.col("__size")))
-    first = first.select(*by, "__b", F.col("__lo").alias("__l"), F.col("__hi").alias("__h"),
-                         F.col("__from").alias("__f"), F.col("__t").alias("__w"))
-    data = meet(data, first, [*by, "__b"]).withColumn("__s", _fine(F.col("__v"), F.col("__l"), F.col("__h")))
-
     spot = [*by, "__b"]
-    fine = counted(data, [*spot, "__f", "__w", "__s"])
-    second = holding(fine, spot, "__s", F.col("__f"), F.col("__w"))
-    second = second.select(*spot, "__s", F.col("__from").alias("__f2"), F.col("__t").alias("__w2"))
-    data = meet(data.drop("__f", "__w", "__l", "__h"), second, [*spot, "__s"])
+    first = buckets(holding(coarse, by, "__b", F.lit(0), wanted(F.col("__size"))), spot, {"__lo": "__l", "__hi": "__h", "__from": "__f"})
+    data = meet(data, first, spot).withColumn("__s", _fine(F.col("__v"), F.col("__l"), F.col("__h")))
 
+    fine = counted(data, [*spot, "__s"])
+    fine = meet(fine, first.select(*spot, "__f", "__w"), spot)
     spot = [*spot, "__s"]
-    last = counted(data, [*spot, "__f2", "__w2", "__v"])
-    found = holding(last, spot, "__v", F.col("__f2"), F.col("__w2"))
-    return found.select(*[F.col(b).alias(k) for k, b in zip(keys, by, strict=False)], "__v", F.explode("__t").alias("__t")).select(
-        *keys, F.col("__t.id").alias("id"), F.col("__v").alias("v"))
+    second = buckets(holding(fine, spot[:-1], "__s", F.col("__f"), F.col("__w")), spot, {"__from": "__f"})
+    data = data.drop("__f", "__w", "__l", "__h")
+
+    last = counted(meet(data, second.select(*spot), spot), [*spot, "__v"])
+    found = holding(meet(last, second, spot), spot, "__v", F.col("__f"), F.col("__w"))
+    return found.select(*[F.col(b).alias(k) for k, b in zip(keys, by, strict=False)], F.col("__t.id").alias("id"), F.col("__v").alias("v"))
 
 
 def quantiles(df: DataFrame, group: list[str], value: str, probs: list[float],

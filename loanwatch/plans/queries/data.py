@@ -249,22 +249,20 @@ def _b9(spark, sf):
     return with_position(df, B.canonical_order())
 
 
-_ENGINE = """eng as materialized (
+_ENGINE = """eng as (
     select r.operation_id, r.snapshot_date, f.loan_id, national_code, dpd_days,
            (2 + 10*least(loan_category, 2) + ((loan_id*7919 + f.snapshot_date) % 1000 * 4 + 50) // 100
             + case when worst_future_cat >= 3 and loan_id % 3 <> 0 then 30 else 0 end) / 100.0 as p3,
-           loan_category as dpd_cat, remaining_amnt
-    from feed f join runs r using (snapshot_date) where loan_category < 3),
-  trk as (
-    select operation_id, loan_id, case when p3 > 0.5 and dpd_days > 120 then 'PENDING_ENRICHMENT' else 'NOT_APPLICABLE' end as st
-    from eng where (p3 > 0.5 and dpd_days > 120) or loan_id % 3 = 0)"""
+           loan_category as dpd_cat, remaining_amnt,
+           case when p3 > 0.5 and dpd_days > 120 then 'PENDING_ENRICHMENT' when loan_id % 3 = 0 then 'NOT_APPLICABLE' end as st
+    from feed f join runs r using (snapshot_date) where loan_category < 3)"""
 
 
 @query("B10_engine_predictions", "operation_id:s snapshot_date:i loan_id:i national_code:s current_cat:i "
        "risk_score:d remaining_amnt:d flagged:b", f"""
   with {_ENGINE} select e.operation_id, snapshot_date, e.loan_id, national_code, least(dpd_cat, 3) as current_cat,
     p3 as risk_score, remaining_amnt, coalesce(st <> 'NOT_APPLICABLE', false) as flagged
-  from eng e left join trk t on t.operation_id = e.operation_id and t.loan_id = e.loan_id""")
+  from eng e""")
 def _b10(spark, sf):
     output = pin(D.engine_output(spark, sf))                # read by the output and by its tracking
     out = output.join(D.tracking_of(output), ["OPERATION_ID", "LOAN_ID"], "left")

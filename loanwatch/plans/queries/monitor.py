@@ -94,8 +94,7 @@ def _m2(spark, sf):
 @query("M3_predictions", "snapshot_date:i loan_id:i national_code:s current_cat:i risk_score:d remaining_amnt:d flagged:b", f"""
   with {_RUNS}, {_ENGINE} select e.snapshot_date, e.loan_id, national_code, dpd_cat as current_cat, p3 as risk_score,
      remaining_amnt, coalesce(st <> 'NOT_APPLICABLE', false) as flagged
-  from eng e join picked p on p.operation_id = e.operation_id
-  left join trk t on t.operation_id = e.operation_id and t.loan_id = e.loan_id""")
+  from eng e join picked p on p.operation_id = e.operation_id""")
 def _m3(spark, sf):
     output = pin(D.engine_output(spark, sf))                # read by the output and by its tracking
     return M.predictions(output, D.tracking_of(output), runs(spark, sf))
