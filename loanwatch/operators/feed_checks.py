@@ -146,12 +146,13 @@ def _distance(n: Column, n_null: Column) -> Column:
 
 
 class Watch:
-    """Observes the row rules, label counts and horizons of some snapshots while their rows are being written.
+    """Observes the row rules and label counts of some snapshots while their rows are being written.
 
-    Each rule is a bit, and a snapshot's bits are joined by OR; horizons are
-    least and greatest dates. A task that runs twice after a lost executor changes
-    none of them. Only the label counts could be too high, and a mismatch they
-    show is counted again, like every broken rule, by ``violations``.
+    Each rule is a bit, and a snapshot's bits are joined by OR, which a task that
+    runs twice after a lost executor does not change. Only the label counts could be
+    too high; a mismatch they show is counted again, like every broken rule, by
+    ``violations``. The rules that need a snapshot's rows together (repeated
+    keys, horizons) are for whoever reads the written rows.
     """
 
     def __init__(self, df: DataFrame, snapshots: list[int], ledger: DataFrame | None = None):
@@ -170,40 +171,38 @@ class Watch:
         bits = F.lit(0).cast("bigint")
         for i, cond in enumerate(conditions):
             bits = bits + F.when(cond, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        horizon = F.col("LABEL_HORIZON_DATE").cast("bigint") if "LABEL_HORIZON_DATE" in self.cols else F.lit(None).cast("bigint")
         label = F.col("WORST_FUTURE_CAT") if "WORST_FUTURE_CAT" in self.cols else F.lit(None)
         rows = self.df.withColumn("__bits", bits)
         metrics = []
         for s in self.snapshots:                            # a list of months
             here = F.col("SNAPSHOT_DATE") == s
-            metrics += [F.bit_or(F.when(here, F.col("__bits"))).alias(f"bits_{s}"), F.count_if(here).alias(f"n_{s}"),
-                        F.count_if(here & label.isNull()).alias(f"null_{s}"), F.min(F.when(here, horizon)).alias(f"lo_{s}"),
-                        F.max(F.when(here, horizon)).alias(f"hi_{s}")]
+            metrics += [F.bit_or(F.when(here, F.col("__bits"))).alias(f"bits_{s}"), F.count_if(here & label.isNull()).alias(f"null_{s}")]
         return rows.observe(self.observation, *metrics).drop("__bits")
 
-    def suspects(self) -> dict[int, set[str]]:
-        """Rules that look broken, by snapshot, once the rows are written."""
+    def without_label(self) -> dict[int, int]:
+        return {s: self.observation.get[f"null_{s}"] for s in self.snapshots}
+
+    def suspects(self, n: dict[int, int]) -> dict[int, set[str]]:
+        """Rules that look broken, by snapshot, once the rows are written; ``n`` says how many rows a snapshot has."""
         seen = self.observation.get
         expected = {}
         if self.ledger is not None:
             expected = {int(r["SNAPSHOT_DATE"]): r["__expected"] for r in _expected(self.ledger).collect()}     # months
         out: dict[int, set[str]] = {}
         for s in self.snapshots:
-            bits, n, null = seen[f"bits_{s}"] or 0, seen[f"n_{s}"], seen[f"null_{s}"]
+            bits, null = seen[f"bits_{s}"] or 0, seen[f"null_{s}"]
             rules = {r for i, (r, _, _) in enumerate(self.findings) if bits >> i & 1}
-            if n >= C.SENTINEL_CHECK_MIN_ROWS and any(not bits >> len(self.findings) + i & 1 for i in range(len(self.sentinels))):
+            if n.get(s, 0) >= C.SENTINEL_CHECK_MIN_ROWS and any(not bits >> len(self.findings) + i & 1 for i in range(len(self.sentinels))):
                 rules.add("sentinel_missing")
-            if seen[f"lo_{s}"] != seen[f"hi_{s}"]:
-                rules.add("horizon_varies")
-            if self.ledger is not None and "WORST_FUTURE_CAT" in self.cols and (null != expected[s] if s in expected else null != n):
+            if self.ledger is not None and "WORST_FUTURE_CAT" in self.cols and (null != expected[s] if s in expected else null != n.get(s, 0)):
                 rules.add("label_nullity")
             if rules:
                 out[s] = rules
         return out
 
-    def violations(self) -> DataFrame:
+    def violations(self, n: dict[int, int]) -> DataFrame:
         """What is broken, counted per snapshot in the source rows of the snapshots concerned; without a scan if nothing is."""
-        suspects = self.suspects()
+        suspects = self.suspects(n)
         spark = self.df.sparkSession
         if not suspects:
             return spark.createDataFrame([], VIOLATIONS)

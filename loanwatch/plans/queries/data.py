@@ -94,7 +94,7 @@ def _a8(spark, sf):
 def _a9(spark, sf):
     """Fill the store in two goes: LEGACY snapshots first, then what is new."""
     path = _fresh(spark, "store")
-    loans, ledger = pin(D.feed_with_open_labels(spark, sf)), _ledger(spark, sf)
+    loans, ledger = pin(D.feed_with_open_labels(spark, sf)), pin(_ledger(spark, sf))
     S.store_mature(loans, ledger.where("STATUS = 'LEGACY'"), path)
     S.store_mature(loans, ledger, path)
     return S.read_store(spark, path).groupBy("SNAPSHOT_DATE").agg(
@@ -118,7 +118,7 @@ def _a9b(spark, sf):
 def _a9c(spark, sf):
     """The rows a training run gets, through the store: a first run, and one after the other snapshots were finalised."""
     path = _fresh(spark, "ingest")
-    loans, ledger = pin(D.feed_with_open_labels(spark, sf)), _ledger(spark, sf)
+    loans, ledger = pin(D.feed_with_open_labels(spark, sf)), pin(_ledger(spark, sf))
     ingest.training_loans(loans, ledger.where("STATUS = 'LEGACY'"), path)
     return ingest.training_loans(loans, ledger, path)
 
@@ -394,7 +394,7 @@ _WATCH_SQL = " union all ".join([
 def _cw(spark, sf):
     """What the store noted about its snapshots while it was filled."""
     path = _fresh(spark, "watched")
-    S.store_mature(pin(D.checked_feed(spark, sf)), _ledger(spark, sf), path)
+    S.store_mature(pin(D.checked_feed(spark, sf)), pin(_ledger(spark, sf)), path)
     return S.SnapshotStore(spark, path).violations()
 
 

@@ -20,7 +20,7 @@ import logging
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,12 +133,14 @@ class SnapshotStore:
         # The rebalance hint lets adaptive execution split a large snapshot over several tasks and merge small ones.
         kept.hint("rebalance", "SNAPSHOT_DATE").write.partitionBy("SNAPSHOT_DATE").parquet(staged)
 
-        keys = self.spark.read.schema(kept.schema).parquet(staged)
-        broken = watch.violations().unionByName(self._repeated(keys))
-        counts = {int(r["SNAPSHOT_DATE"]): r["count"] for r in keys.groupBy("SNAPSHOT_DATE").count().collect()}
-        found = broken.collect()                            # a row for each rule and month
-        for r in found:
-            log.warning("snapshot %s: %s: %s (%s row(s))", r["snapshot_date"], r["rule"], r["detail"], r["n_bad"])
+        facts = self._facts(self.spark.read.schema(kept.schema).parquet(staged))
+        counts = {s: f["n"] for s, f in facts.items()}
+        missing = watch.without_label() if mature else {}
+        found = [tuple(r) for r in watch.violations({s: counts.get(s, 0) + missing.get(s, 0) for s in snapshots}).collect()]    # a row for each rule and month
+        found += [("duplicate_key", "LOAN_ID, SNAPSHOT_DATE", s, f["more"]) for s, f in facts.items() if f["more"]]
+        found += [("horizon_varies", "LABEL_HORIZON_DATE", s, 1) for s, f in facts.items() if f["lo"] != f["hi"]]
+        for rule, detail, s, n in found:
+            log.warning("snapshot %s: %s: %s (%s row(s))", s, rule, detail, n)
         found = self.spark.createDataFrame(found, VIOLATIONS)
         if strict:
             raise_if_any(found)
@@ -147,12 +149,12 @@ class SnapshotStore:
         return [s for s in snapshots if counts.get(s)]
 
     @staticmethod
-    def _repeated(rows: DataFrame) -> DataFrame:
-        """The one rule that needs the keys together; it reads two columns of the staged rows."""
-        per = rows.groupBy("SNAPSHOT_DATE", "LOAN_ID").agg((F.count(F.lit(1)) - 1).alias("more")).where("more > 0")
-        return per.groupBy("SNAPSHOT_DATE").agg(F.sum("more").alias("n_bad")).select(
-            F.lit("duplicate_key").alias("rule"), F.lit("LOAN_ID, SNAPSHOT_DATE").alias("detail"),
-            F.col("SNAPSHOT_DATE").cast("bigint").alias("snapshot_date"), F.col("n_bad").cast("bigint").alias("n_bad"))
+    def _facts(rows: DataFrame) -> dict[int, Row]:
+        """Per snapshot: rows, rows beyond one a key, least and greatest horizon, from a few columns of the staged rows."""
+        horizon = F.col("LABEL_HORIZON_DATE") if "LABEL_HORIZON_DATE" in rows.columns else F.lit(None)
+        per = rows.groupBy("SNAPSHOT_DATE", "LOAN_ID").agg(F.count(F.lit(1)).alias("n"), F.min(horizon).alias("lo"), F.max(horizon).alias("hi"))
+        facts = per.groupBy("SNAPSHOT_DATE").agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("more"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        return {int(r["SNAPSHOT_DATE"]): r for r in facts.collect()}                    # months
 
     def _commit(self, commit: str, snapshots: list[int], counts: dict[int, int], built: dict[int, str | None], mature: bool, schema: T.StructType) -> None:
         """The one step that makes staged rows part of the store: a file of one task, which appears whole."""

@@ -31,7 +31,7 @@ class Died(Exception):
     pass
 
 
-@pytest.mark.parametrize("where", ["_commit", "_repeated"])
+@pytest.mark.parametrize("where", ["_commit", "_facts"])
 def test_rows_of_a_job_that_died_are_never_read_and_are_staged_again(spark, tmp_path, monkeypatch, where):
     path = str(tmp_path / "s")
     store.store_mature(feed(spark, 20240101), ledger(spark, 20240101), path)
@@ -133,9 +133,10 @@ def test_a_clean_feed_is_scanned_once(spark, tmp_path):
     loans = on_disk(spark, feed(spark, 20240101, 20240201).where("LOAN_ID < 4"), tmp_path / "source")
     watch = feed_checks.Watch(loans, [20240101, 20240201], ledger(spark, 20240101, 20240201, unlabelled=0))
     watch.watched().write.format("noop").mode("overwrite").save()
-    assert watch.suspects() == {}
-    plan = watch.violations()._jdf.queryExecution().executedPlan().toString()
-    assert "source" not in plan and watch.violations().count() == 0
+    rows = {20240101: 3, 20240201: 3}
+    assert watch.suspects(rows) == {} and watch.without_label() == {20240101: 0, 20240201: 0}
+    plan = watch.violations(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "source" not in plan and watch.violations(rows).count() == 0
 
 
 def test_all_rules_take_one_scan(spark, tmp_path):
