@@ -22,10 +22,12 @@ HEADLINE = (
     "D4_portfolio_features",
     "E4_split_rows",
     "F7_preprocess_pipeline",     # fit on train, transform all
+    "H3_stratified_calibration",  # fit on all rows, transform all
     "J3_full_scoring",            # ranked queue
     "K2_ranking_at_k",
     "K7_exposure_deciles",
     "L2_L5_class_metrics",
+    "L7_full_evaluation",         # all blocks, slices and categories
     "L8_bootstrap_intervals",
     "M4_outcomes",                # range join
     "M10_matured_metrics",
