@@ -147,3 +147,28 @@ def test_all_rules_take_one_scan(spark, tmp_path):
     with pytest.raises(feed_checks.FeedError):
         ingest.checked(loans, ledger(spark, 20240101, 20240201), strict=True)
     assert ingest.checked(loans, ledger(spark, 20240101, 20240201)) is loans
+
+
+def test_the_command_line_takes_its_rows_from_the_store(spark, tmp_path, monkeypatch):
+    from loanwatch import __main__ as cli
+    months = (20240101, 20240201, 20240301)
+    feed(spark, *months).write.partitionBy("SNAPSHOT_DATE").parquet(str(tmp_path / "loans"))
+    ledger(spark, *months[:2]).write.parquet(str(tmp_path / "ledger"))
+    job = spark.createDataFrame([("LOAD", 20240301, "SUCCESS", "2024-03-05")], "JOB_NAME string, RUN_MONTH long, STATUS string, END_TIME string")
+    job.write.parquet(str(tmp_path / "job"))
+    seen = {}
+    monkeypatch.setattr(cli, "drop_pins", lambda spark: None)
+    monkeypatch.setattr(cli, "_keep", lambda *a: None)
+    monkeypatch.setattr(cli.train, "static_split", lambda loans, ledger, final: loans)
+    monkeypatch.setattr(cli.train, "train_fold", lambda rows, *a, **k: seen.update(train=rows))
+    monkeypatch.setattr(cli.score, "run_scoring", lambda spark, rows, params: seen.update(predict=rows, calibration=params.calibration_rows))
+    common = ["--loans", str(tmp_path / "loans"), "--ledger", str(tmp_path / "ledger"), "--out", str(tmp_path / "out"), "--store", str(tmp_path / "s")]
+    cli.main(["train", *common])
+    assert sorted((r["SNAPSHOT_DATE"], r["LOAN_ID"]) for r in seen["train"].collect()) == [(m, i) for m in months[:2] for i in (1, 2, 3)]
+    cli.main(["predict", *common, "--model", "m", "--as-of", "2024-03-10", "--job-control", str(tmp_path / "job"), "--job", "LOAD"])
+    assert {r["SNAPSHOT_DATE"] for r in seen["predict"].collect()} == {20240301} and "WORST_FUTURE_CAT" not in seen["predict"].columns
+    assert {r["SNAPSHOT_DATE"] for r in seen["calibration"].collect()} == {20240201}
+    plans = [seen[k]._jdf.queryExecution().executedPlan().toString() for k in ("train", "predict", "calibration")]
+    assert all(f"{tmp_path}/s/" in p and f"{tmp_path}/loans" not in p for p in plans)
+    with pytest.raises(SystemExit):
+        cli.main(["predict", *common, "--model", "m", "--as-of", "2024-03-10"])
