@@ -141,10 +141,11 @@ class SnapshotStore:
         found += [("horizon_varies", "LABEL_HORIZON_DATE", s, 1) for s, f in facts.items() if f["lo"] != f["hi"]]
         for rule, detail, s, n in found:
             log.warning("snapshot %s: %s: %s (%s row(s))", s, rule, detail, n)
-        found = self.spark.createDataFrame(found, VIOLATIONS)
-        if strict:
-            raise_if_any(found)
-        found.select(F.lit(commit).alias("commit"), "*").coalesce(1).write.mode("append").parquet(f"{self.path}/violations")
+        if found:
+            broken = self.spark.createDataFrame(found, VIOLATIONS)
+            if strict:
+                raise_if_any(broken)
+            broken.select(F.lit(commit).alias("commit"), "*").coalesce(1).write.mode("append").parquet(f"{self.path}/violations")
         self._commit(commit, snapshots, counts, built or {}, mature, kept.schema)
         return [s for s in snapshots if counts.get(s)]
 
