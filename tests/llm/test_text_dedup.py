@@ -166,8 +166,43 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, small, rows):
 
 
 def test_line_dedup_plan_has_no_python(spark):
-    plan = line_dedup._lines(documents(spark, awkward()))._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    """The plans of all steps: the result's own, and those of the tables it writes on the way."""
+    plans, write = [], line_dedup.pin
+
+    def pin(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return write(df)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(line_dedup, "pin", pin)
+        patch.setattr(line_dedup, "SMALL", 2)
+        plans.append(line_dedup.line_dedup(documents(spark, edited(2, 3, 8)))._jdf.queryExecution().toString())
+    assert len(plans) >= 6
+    assert not any(re.search("Python|Pandas|Arrow|MapPartitions", p) for p in plans)
+
+
+def test_hashed_shingles_are_the_shingles(spark):
+    lines = [(x,) for x in ("", "short", "exactly8", "nine char", "fifteen letters", "sixteen letters!", "\U0001F600 smile \U0001F600\U0001F601 end", "漢字かな交じり文。と" * 5)]
+    frame = spark.createDataFrame(lines, "line string")
+    plain = F.array_sort(F.array_distinct(F.transform(line_dedup.shingles(F.col("line")), lambda s: F.xxhash64(s))))
+    fast = F.array_sort(F.array_distinct(line_dedup.hashed_shingles(F.col("line"))))
+    assert frame.where(plain != fast).count() == 0
+
+
+@pytest.mark.parametrize("n,common", [(5, 4), (10, 8), (9, 8)])
+def test_short_lines_at_the_threshold_share_a_band(spark, n, common):
+    """Pairs of 4 to 10 shingles: a line, and the same line without its last characters or with another end."""
+    r = random.Random(n)
+    pairs, other = [], {5: 4, 10: 8, 9: 9}[n]
+    for k in range(1500):
+        line = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n + 7))
+        pairs.append((k, line, line[:other + 7] if other < n else line[:-1] + "#"))
+    a, b = set(shingle_set(pairs[0][1])), set(shingle_set(pairs[0][2]))
+    assert len(a & b) == common and len(a & b) >= 0.8 * len(a | b)
+    frame = spark.createDataFrame(pairs, "k int, a string, b string")
+    keys = [line_dedup.band_keys(frame.select(F.col("k").cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), F.col(c).alias("line")))
+            .select("h1", F.col("keys").alias(c)) for c in "ab"]
+    found = keys[0].join(keys[1], "h1").where(F.arrays_overlap("a", "b")).count()
+    assert found >= 0.995 * len(pairs)
 
 
 def test_dedup_of_empty_tables(spark):
