@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pin
@@ -64,7 +64,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             bits = np.unpackbits(flat.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int32)
             prints[some] = np.packbits(2 * ones > n[some, None], axis=1, bitorder="little").view("<u8")[:, 0]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        rest = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(prints.view(np.int64))], [*rest, "fp"])
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -117,3 +118,24 @@ def simhash_dedup(documents: DataFrame) -> DataFrame:
         prints.where("doc_id is null").withColumn("component_id", F.lit(None).cast("long")))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
                       (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def first_copies(documents: DataFrame) -> DataFrame:
+    """The document that stays of each near-duplicate group: doc_id, h1, h2 (``text_hashes`` of its text), no two rows alike.
+
+    Here a document is a doc_id with a text: rows that repeat both are one, and
+    of two texts under one id each is judged by its own fingerprint. The first
+    of a group by (doc_id, h1, h2) stays; rows without doc_id take no part.
+    """
+    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text", *text_hashes())
+    prints = pin(texts.mapInArrow(_fingerprints, "doc_id long, h1 long, h2 long, fp long"))
+    distinct = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("rep"))
+    found = components(_links(distinct))
+    return (distinct.join(found, distinct["rep"] == found["node"], "left")
+            .select(F.coalesce("component", "rep").alias("first")).distinct().select("first.*"))
+
+
+def text_hashes() -> list[Column]:
+    """Two 64-bit hashes of a text, h1 and h2; a null text is an empty one."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2")]
