@@ -1,11 +1,17 @@
 """Best-fit packing of tokenised documents into sequences.
 
-Method: hierarchical residual packing. Each partition packs its own pieces by
-best fit, longest first. Bins that are nearly full are done. The others are
-items of the next round: the bins of eight neighbouring partitions (then of
-eight such groups, and so on to one) are packed again by best fit, each moving
-as a whole. A group hands on its ``CARRY`` emptiest open bins at most; fuller
-ones are closed as they are, so no task holds more than eight times that.
+Method: hierarchical residual packing. Pieces are dealt to partitions by hash,
+so that a table ordered by length or source gives each a mix, and each
+partition packs its own by best fit, longest first. Bins that are nearly full
+are done. The others are items of the next round: the bins of eight
+neighbouring partitions (then of eight such groups, and so on to one) are packed
+again by best fit, each moving as a whole.
+
+Best fit leaves at most one bin of a group half full or less, and two fuller
+ones never go together. So all further joins need one of those bins each, of
+which there are no more than groups; a group that hands on one bin more than
+there are groups, its emptiest, leaves out none that could lower the number of
+sequences: whatever a fuller bin would take, an emptier unused one takes too.
 
 Token ids come from the byte-level BPE of ``bpe.py``, which a test holds
 against the tokenizers library.
@@ -31,8 +37,8 @@ from .bpe import Bpe
 from .common import chunks
 
 CAPACITY, END_ID = 2048, 0
-#: Fill from which a bin is done, as a share of the capacity; groups merged per round; open bins handed on per group.
-NEARLY_FULL, FAN_IN, CARRY = 0.99, 8, 4096
+#: Fill from which a bin is done, as a share of the capacity; groups merged per round; items a first task packs, about.
+NEARLY_FULL, FAN_IN, ITEMS = 0.99, 8, 1 << 17
 #: Partition number above this bit of an item's or bin's number.
 _PART = 40
 
@@ -64,17 +70,19 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _packed(names: np.ndarray, lengths: np.ndarray, capacity: int) -> list[pa.Array]:
-    """into, offset, fill, open for each item; a bin has the name of its first item."""
+    """into, offset, fill, turn for each item; a bin has the name of its first item.
+
+    ``turn`` numbers a group's open bins from 0 by fill, emptiest first; it is -1 for those nearly full.
+    """
     bins, offsets = best_fit(lengths, capacity)
     n = bins.max(initial=-1) + 1
     fill = np.bincount(bins, lengths, n).astype(np.int64)
     name = np.empty(n, np.int64)
     name[bins[offsets == 0]] = names[offsets == 0]
-    open_ = fill < NEARLY_FULL * capacity
-    emptiest = np.argsort(fill, kind="stable")[:CARRY]
-    hand_on = np.zeros(n, bool)
-    hand_on[emptiest] = True
-    return [pa.array(name[bins]), pa.array(offsets), pa.array(fill[bins]), pa.array((open_ & hand_on)[bins])]
+    turn = np.empty(n, np.int64)
+    turn[np.argsort(fill, kind="stable")] = np.arange(n)
+    turn[fill >= NEARLY_FULL * capacity] = -1
+    return [pa.array(name[bins]), pa.array(offsets), pa.array(fill[bins]), pa.array(turn[bins])]
 
 
 def pieces(documents: DataFrame, bpe: Bpe, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -114,10 +122,9 @@ def _fit_partition(capacity: int):
             items, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(items)
             items, lengths = items[order], lengths[order]
-            # Which rows are open is marked once for each bin, on its first item.
-            into, offset, fill, open_ = _packed(items, lengths, capacity)
+            into, offset, fill, turn = _packed(items, lengths, capacity)
             part = pa.array(np.full(len(items), TaskContext.get().partitionId(), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(items), into, offset, fill, open_, part], ["bin", "into", "offset", "fill", "open", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(items), into, offset, fill, turn, part], ["bin", "into", "offset", "fill", "turn", "part"])
     return run
 
 
@@ -125,21 +132,23 @@ def _fit_group(capacity: int):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("bin")
         made = _packed(rows["bin"].to_numpy(), rows["fill"].to_numpy(), capacity)
-        return pa.table([rows["bin"], *made, rows["part"]], names=["bin", "into", "offset", "fill", "open", "part"])
+        return pa.table([rows["bin"], *made, rows["part"]], names=["bin", "into", "offset", "fill", "turn", "part"])
     return run
 
 
-_MOVES = "bin long, into long, offset long, fill long, open boolean, part long"
+_MOVES = "bin long, into long, offset long, fill long, turn long, part long"
 
 
 def assign(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Place items (``item long, length long``, each at most ``capacity``) in sequences: item, sequence_id, offset."""
-    placed = pin(lengths.select("item", "length").mapInArrow(_fit_partition(capacity), _MOVES))
+    tasks = -(-lengths.count() // ITEMS) or 1
+    placed = pin(lengths.select("item", "length").repartition(tasks, "item").mapInArrow(_fit_partition(capacity), _MOVES))
     width = placed.agg(F.max("part")).first()[0] or 0
     moved, last = None, placed
     while width:
+        groups = width + 1
         width //= FAN_IN
-        bins = last.where("open and offset = 0").select(F.col("into").alias("bin"), "fill", F.floor(F.col("part") / FAN_IN).alias("part"))
+        bins = last.where(F.col("turn").between(0, groups) & (F.col("offset") == 0)).select(F.col("into").alias("bin"), "fill", F.floor(F.col("part") / FAN_IN).alias("part"))
         last = pin(bins.groupBy("part").applyInArrow(_fit_group(capacity), _MOVES))
         step = last.select(F.col("bin").alias("into"), F.col("into").alias("to"), F.col("offset").alias("by"))
         if moved is None:

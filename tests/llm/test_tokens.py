@@ -124,6 +124,36 @@ def test_items_that_cannot_share_stay_apart(spark):
     assert packing.assign(lengths).select("sequence_id").distinct().count() == 300
 
 
+def test_partitions_of_unlike_lengths_fill_as_well_as_mixed_ones(spark):
+    apart = spark.range(2000).selectExpr("id as item", "if(id < 1000, 1100L, 900L) as length").repartitionByRange(2, "item")
+    assert packing.assign(apart).select("sequence_id").distinct().count() <= 1010
+
+
+@pytest.mark.parametrize("items", [10, 60])
+def test_many_small_first_tasks_lose_little(spark, monkeypatch, items):
+    """Against best fit of all items in one task."""
+    monkeypatch.setattr(packing, "ITEMS", items)
+    r = random.Random(items)
+    for sizes in ([r.randint(1, 2048) for _ in range(300)], [1100] * 150 + [30] * 150):
+        got = packing.assign(spark.createDataFrame(list(enumerate(sizes)), "item long, length long")).collect()
+        ends = defaultdict(int)
+        for q in sorted(got, key=lambda q: (q["sequence_id"], q["offset"])):
+            assert q["offset"] == ends[q["sequence_id"]]
+            ends[q["sequence_id"]] += sizes[q["item"]]
+        assert len(got) == 300 and max(ends.values()) <= 2048
+        assert len(ends) <= 1.1 * (packing.best_fit(np.array(sizes), 2048)[0].max() + 1)
+
+
+def test_a_group_hands_on_every_bin_that_matters():
+    """Groups of one half-empty bin and fuller ones at most: handing on as many bins as groups, and one, joins as many as handing on all."""
+    r = random.Random(1)
+    for _ in range(300):
+        groups = [sorted(r.sample(range(1025, 2040), r.randint(0, 12)) + r.sample(range(1, 1025), r.randint(0, 1))) for _ in range(r.randint(1, 8))]
+        used = [packing.best_fit(np.array([n for g in groups for n in g[:most]], np.int64), 2048)[0].max(initial=-1) + 1
+                + sum(len(g[most:]) for g in groups) for most in (len(groups) + 1, 99)]
+        assert used[0] <= used[1]
+
+
 def test_registered_queries(spark):
     import hashlib
 
