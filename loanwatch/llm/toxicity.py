@@ -3,11 +3,15 @@
 Method: a text is the set of its hashed character n-grams (``ORDERS``
 characters inside one word, word ends included). Over all labelled training
 texts Spark counts, for each hash bucket, the toxic and the clean texts that
-hold it; the smoothed log ratio of the two shares is the bucket's scale. The
-``FEATURES`` buckets that tell the classes apart best are the features, and
-logistic weights for the scaled features are fitted on a bounded sample of
-labelled rows (``sample_rows``, by hash of the id; at most FEATURES bits a
-row). Scoring reads each whole text once.
+hold it; the smoothed log ratio of the two shares is the bucket's scale. Every
+bucket whose two shares differ by ``SIGNIFICANT`` standard errors or more is a
+feature. Logistic weights for the scaled features are fitted on a bounded
+sample of labelled rows, by hash of id and text: about ``sample_rows`` rows, of
+about ``sample_entries`` features in all. Scoring reads each whole text once.
+
+Defined results: rows that repeat are counted and scored as often as they
+stand, a null doc_id is as good as any, and columns beside doc_id, text and
+toxic are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +29,9 @@ from .language_id import _letter_codes
 
 ORDERS = (3, 4, 5)
 BUCKETS = 1 << 18
-FEATURES = 1 << 11
-SAMPLE_ROWS = 20_000
-SMOOTH, RIDGE, STEPS = 1.0, 1.0, 400
+SIGNIFICANT = 2.0
+SAMPLE_ROWS, SAMPLE_ENTRIES = 20_000, 6_000_000
+SMOOTH, RIDGE, STEPS = 1.0, 1.0, 60
 
 
 def _text_grams(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -88,28 +92,63 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
-def _fit(bits: np.ndarray, y: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression over scaled 0/1 features by gradient steps with momentum."""
-    x = bits.astype(np.float32)
-    x *= scale.astype(np.float32)
-    w, speed = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
+def _fit(sizes: np.ndarray, feature: np.ndarray, y: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression over scaled 0/1 features, by L-BFGS.
+
+    ``feature`` holds the features of all rows end to end, ``sizes`` how many are of each row.
+    """
+    some = np.flatnonzero(sizes)
+    starts = (np.cumsum(sizes) - sizes)[some]
+    row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
+
+    def loss(w):
+        z = np.full(len(y), w[-1])
+        if len(some):
+            z[some] += np.add.reduceat((w[:-1] * scale)[feature], starts)
+        miss = 1 / (1 + np.exp(-np.clip(z, -700, 700))) - y
+        slope = np.append(np.bincount(feature, miss[row], len(scale)) * scale + RIDGE * w[:-1], miss.sum())
+        return (np.logaddexp(0, z) - y * z).sum() + RIDGE / 2 * w[:-1] @ w[:-1], slope
+
+    w = np.zeros(len(scale) + 1)
     w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    rate = 4 / (np.einsum("ij,ij->", x, x) / len(y) + 1)        # the curvature is at most a quarter of the mean squared length
+    value, slope = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(STEPS):
-        z = x @ w[:-1].astype(np.float32) + w[-1]
-        miss = 1 / (1 + np.exp(-np.clip(z, -700, 700))) - y
-        slope = np.append(miss.astype(np.float32) @ x + RIDGE * w[:-1], miss.sum()) / len(y)
-        speed = 0.9 * speed - rate * slope
-        w = w + speed
+        move, kept = -slope, []
+        for s, d in reversed(past):
+            kept.append((s @ move) / (s @ d))
+            move = move - kept[-1] * d
+        if past:
+            move *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+        else:
+            move /= max(1.0, np.linalg.norm(slope))
+        for (s, d), a in zip(past, reversed(kept), strict=True):
+            move = move + (a - (d @ move) / (s @ d)) * s
+        step, down = 1.0, slope @ move
+        while True:                             # halve the step until the loss falls as the slope promises
+            at = w + step * move
+            new, new_slope = loss(at)
+            if new <= value + 1e-4 * step * down or step < 1e-6:
+                break
+            step /= 2
+        s, d = at - w, new_slope - slope
+        done = value - new <= 1e-7 * abs(value)
+        if new < value:
+            w, value, slope = at, new, new_slope
+        if done:
+            break
+        if s @ d > 0:
+            past = [*past[-9:], (s, d)]
     return w[:-1] * scale, float(w[-1])
 
 
-def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel | None:
+def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_entries: int = SAMPLE_ENTRIES) -> ToxicityModel | None:
     """A model from ``doc_id, text, toxic`` (0 or 1); None without rows of both classes.
 
     Null texts count as empty; rows with another label or none are left out.
     All rows count towards the log-count ratios; the weights are fitted on
-    about ``sample_rows`` of them, by hash of doc_id and text.
+    about ``sample_rows`` of them, or fewer that hold ``sample_entries``
+    features, by hash of doc_id and text.
     """
     rows = (labelled.select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("int").alias("toxic"))
             .where(F.col("toxic").isin(0, 1)))
@@ -123,24 +162,33 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel
     ratio = np.log(with_toxic / with_clean)
     share = (toxic + clean) / (sizes[0] + sizes[1])
     strength = np.abs(with_toxic - with_clean) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / sizes[0] + 1 / sizes[1]))
-    best = np.lexsort((bucket, -strength))[:FEATURES]
+    best = np.sort(bucket[strength >= SIGNIFICANT])
     feature = np.full(BUCKETS, -1, np.int64)
-    feature[bucket[best]] = np.arange(len(best))
+    feature[best] = np.arange(len(best))
+    scale, held = np.zeros(BUCKETS), np.zeros(BUCKETS, np.int64)
+    scale[bucket], held[bucket] = ratio, clean + toxic
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             row, col = _text_grams(batch.column("text"), feature)
-            bits = np.zeros((batch.num_rows, FEATURES), bool)
-            bits[row, col] = True
-            packed = np.packbits(bits, axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([x.tobytes() for x in packed], pa.binary())], ["toxic", "bits"])
-
-    total = sizes[0] + sizes[1]
-    part = F.lit(True) if total <= sample_rows else F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < int((1 << 40) * sample_rows / total)
-    sample = rows.where(part).select("toxic", "text").mapInArrow(features, "toxic int, bits binary").toArrow()
-    sample = sample.sort_by([("toxic", "ascending"), ("bits", "ascending")])       # not by arrival
-    bits = np.unpackbits(np.frombuffer(b"".join(sample["bits"].to_pylist()), np.uint8)).reshape(sample.num_rows, FEATURES)
-    weight, bias = _fit(bits[:, :len(best)], sample["toxic"].to_numpy().astype(float), ratio[best])
+            ends = np.append(0, np.cumsum(np.bincount(row, minlength=batch.num_rows)))
+            of_row = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(col.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), of_row], ["toxic", "features"])
+
+    share = min(1.0, sample_rows / sum(sizes.values()), sample_entries / max(1, int(held[best].sum())))
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < int((1 << 40) * share)
+    sample = rows.where(part).select("toxic", "text").mapInArrow(features, "toxic int, features array<int>").toArrow().combine_chunks()
+    if not sample.num_rows:
+        return None
+    lists = sample["features"].combine_chunks()
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    flat, y = lists.values.to_numpy()[ends[0]:], sample["toxic"].to_numpy()
+    ends = ends - ends[0]
+    sums = np.add.reduceat(np.append(mix64(flat.astype(np.uint64)), np.uint64(0)), ends[:-1])
+    order = np.lexsort((sums, np.diff(ends), y))                # not by arrival
+    sizes_in_order = np.diff(ends)[order]
+    place = np.repeat(ends[:-1][order] - (np.cumsum(sizes_in_order) - sizes_in_order), sizes_in_order) + np.arange(len(flat))
+    weight, bias = _fit(sizes_in_order, flat[place], y[order].astype(float), scale[best])
     return ToxicityModel(feature, weight, bias)
 
 

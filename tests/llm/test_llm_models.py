@@ -134,3 +134,50 @@ def test_toxicity_results_are_defined_for_awkward_rows(spark):
     assert toxicity.train(labelled.where("toxic = 0")) is None
     assert {r["score"] for r in toxicity.score(documents(spark, awkward()), None).collect()} == {0.0}
     assert toxicity.score(documents(spark, []), model).count() == 0
+
+
+def test_sparse_fit_equals_plain_gradient_steps():
+    r = np.random.default_rng(3)
+    bits = r.random((200, 12)) < r.random(12)
+    bits[:5] = False                            # rows without a feature
+    y = (r.random(200) < 1 / (1 + np.exp(-(bits @ r.normal(size=12) - 1)))).astype(float)
+    scale = r.normal(size=12)
+    row, col = np.nonzero(bits)
+    weight, bias = toxicity._fit(np.bincount(row, minlength=200), col, y, scale)
+    x, w, b = bits * scale, np.zeros(12), 0.0
+    for _ in range(40_000):
+        miss = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = w - 0.01 * (x.T @ miss + toxicity.RIDGE * w), b - 0.01 * miss.sum()
+    assert np.allclose(weight, w * scale, atol=2e-2) and abs(bias - b) < 2e-2
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    """Buckets, log-count ratios and significance by sets and dictionaries; the fitted weights are taken from the model."""
+    rows = [(i, ("you idiot " if i % 3 == 0 else "") + t, int(i % 3 == 0)) for i, t in enumerate(speech("abcdefgh", 80, 5))]
+    rows += [rows[0], (None, None, 0), (91, "x", None)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    sets = [(set(toxicity._text_grams(pa.array([t or ""]))[1].tolist()), y) for _, t, y in rows if y is not None]
+    n = [sum(y == k for _, y in sets) for k in (0, 1)]
+    kept = set()
+    for b in set().union(*(s for s, _ in sets)):
+        c = [sum(b in s for s, y in sets if y == k) for k in (0, 1)]
+        p, q = (c[1] + 1) / (n[1] + 2), (c[0] + 1) / (n[0] + 2)
+        share = sum(c) / sum(n)
+        if abs(p - q) >= toxicity.SIGNIFICANT * np.sqrt(max(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1])):
+            kept.add(b)
+    assert set(np.flatnonzero(model.feature >= 0).tolist()) == kept
+    docs = [(i, t) for i, t, _ in rows]
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["score"]) for r in toxicity.score(documents(spark, docs), model).collect())
+    want = []
+    for i, t in docs:
+        z = model.bias + sum(model.weight[model.feature[b]] for b in set(toxicity._text_grams(pa.array([t or ""]))[1].tolist()) & kept)
+        want.append((i is not None, i or 0, 1 / (1 + np.exp(-z))))
+    assert np.allclose([g[2] for g in got], [w[2] for w in sorted(want)])
+
+
+def test_toxicity_sample_bounds_leave_a_model(spark):
+    rows = [(i, ("you idiot " if i % 2 else "") + t, i % 2) for i, t in enumerate(speech("abcde", 200, 6))]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(labelled, sample_rows=100, sample_entries=3000)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(documents(spark, [(1, "an idiot"), (2, "bad cab")]), model).collect()}
+    assert got == {1: 1, 2: 0}
