@@ -5,12 +5,14 @@ interpolated Kneser-Ney and stored as arrays sorted by n-gram; the language
 with the lowest length-normalised cross-entropy wins. A rejection limit is
 calibrated on the training texts.
 
-Counting runs in Spark over every training text: each task counts the n-grams
-of its texts per language, and the counts are added up by n-gram. Only the
-model goes to the driver, and its size has a bound: the ``max_ngrams`` most
-frequent n-grams of each language (a parameter of the model; texts are never
-left out). Scoring looks up each character of each whole text once for all
-languages.
+Counting and smoothing run in Spark over every training text and every n-gram:
+each task counts the n-grams of its texts per language, the counts are added up
+by n-gram, lower orders count different left extensions, and discounts, context
+totals and interpolated probabilities come from grouping and equi-joins. No
+n-gram is left out, so the model grows with what the training texts hold: its
+arrays (16 bytes for an n-gram of a language, and as much for a context) pass
+the driver and are broadcast. Scoring finds the different n-grams of a chunk of
+text once, and each language's probabilities for those.
 
 An n-gram is a 64-bit number of up to four 16-bit characters. Letters are
 lower-cased; everything else is one boundary character, and contexts do not
@@ -32,7 +34,6 @@ from ..session import pin
 from .common import chunks
 
 ORDER = 4
-MAX_NGRAMS = 300_000
 #: N-grams of a language that a counting task holds.
 HELD = 1_000_000
 #: Bits of the direct index into the sorted n-grams.
@@ -144,111 +145,130 @@ class Sorted:
         return at, seen
 
 
+def _find(among: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in a sorted array, and whether it is there."""
+    if not len(among):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    return at, among[at] == keys
+
+
 @dataclass
 class LanguageModel:
-    """Natural-log probabilities of n-grams for all languages.
+    """Natural-log probabilities of n-grams, by language.
 
-    grams[k] are the sorted n-grams of order k + 1 seen in any language,
-    logs[k] their smoothed log-probability in each language (a row each), and
-    gamma[k] the log weight that context k hands down (contexts sorted in
-    contexts[k]).
+    Of language i, grams[i][k] are its sorted n-grams of order k + 1,
+    logs[i][k] their smoothed log-probabilities, contexts[i][k] the sorted
+    contexts of that order and gamma[i][k] the log weights they hand down.
+    chars are the sorted characters of all languages.
     """
 
     langs: list[str]
-    grams: list[np.ndarray]
-    logs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    gamma: list[np.ndarray]
+    grams: list[list[np.ndarray]]
+    logs: list[list[np.ndarray]]
+    contexts: list[list[np.ndarray]]
+    gamma: list[list[np.ndarray]]
+    chars: np.ndarray
     limit: np.ndarray
     typical: np.ndarray
 
     def __post_init__(self):
-        self.by_gram, self.by_context = [Sorted(g) for g in self.grams], [Sorted(c) for c in self.contexts]
+        self.known = Sorted(np.unique(np.concatenate([g[-1] for g in self.grams])))
 
     def __reduce__(self):
-        return LanguageModel, (self.langs, self.grams, self.logs, self.contexts, self.gamma, self.limit, self.typical)
-
-    def log_probs(self, key: np.ndarray) -> np.ndarray:
-        """Log-probability of the last character of each n-gram after the others: a row for each language."""
-        out = np.zeros((len(self.langs), len(key)))
-        left = np.arange(len(key))
+        return LanguageModel, (self.langs, self.grams, self.logs, self.contexts, self.gamma, self.chars, self.limit, self.typical)
+
+    def distinct(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different ones among n-grams, and the place there of each."""
+        at, seen = self.known.find(key)
+        used = np.zeros(len(self.known.keys), bool)
+        used[at[seen]] = True
+        new, of_new = np.unique(key[~seen], return_inverse=True)
+        place = np.empty(len(key), np.int64)
+        place[seen] = (np.cumsum(used) - 1)[at[seen]]
+        place[~seen] = used.sum() + of_new
+        return np.concatenate([self.known.keys[used], new]), place
+
+    def log_prob(self, i: int, key: np.ndarray) -> np.ndarray:
+        """Log-probability in language i of the last character of each n-gram after the others."""
+        out, left = np.zeros(len(key)), np.arange(len(key))
         for k in range(ORDER - 1, -1, -1):
             part = key[left] & np.uint64((1 << (16 * (k + 1))) - 1)
-            at, seen = self.by_gram[k].find(part)
-            at = at[seen]
-            for i in range(len(self.langs)):
-                out[i, left[seen]] += self.logs[k][i][at]
+            at, seen = _find(self.grams[i][k], part)
+            out[left[seen]] += self.logs[i][k][at[seen]]
             left, part = left[~seen], part[~seen]
-            if not len(left):
-                return out
             if k:
-                at, seen = self.by_context[k].find(part >> np.uint64(16))
-                for i in range(len(self.langs)):
-                    out[i, left] += np.where(seen, self.gamma[k][i][at], 0)
-        out[:, left] -= np.log(1 << 16)         # a character that no training text holds
+                at, seen = _find(self.contexts[i][k], part >> np.uint64(16))
+                out[left[seen]] += self.gamma[i][k][at[seen]]
+        # Left are characters of other languages, and those that no training text holds.
+        out[left] += np.where(_find(self.chars, part)[1], self.gamma[i][0][0] - np.log(len(self.chars) + 1), -np.log(1 << 16))
         return out
 
 
-def _smooth(langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) -> LanguageModel:
-    """Interpolated Kneser-Ney over the counts of the highest order; lower orders count distinct left extensions."""
-    n_lang = len(langs)
-    per = []                                   # per language: for each order, n-grams and counts
-    for keys, n in counts:
-        orders = [None] * ORDER
-        orders[ORDER - 1] = keys, n.astype(np.float64)
-        for k in range(ORDER - 2, -1, -1):
-            low, m = np.unique(orders[k + 1][0] & np.uint64((1 << (16 * (k + 1))) - 1), return_counts=True)
-            orders[k] = low, m.astype(np.float64)
-        per.append(orders)
-    grams = [np.unique(np.concatenate([p[k][0] for p in per])) for k in range(ORDER)]
-    contexts = [g >> np.uint64(16) for g in grams]
-    contexts = [np.unique(c) for c in contexts]
-    logs, gamma = [], []
-    below = np.full((len(grams[0]), n_lang), 1.0 / (len(grams[0]) + 1))     # order 0: uniform over characters
-    for k in range(ORDER):
-        probs, hand = np.empty((len(grams[k]), n_lang)), np.ones((len(contexts[k]), n_lang))
-        if k:
-            below = probs_below[np.searchsorted(grams[k - 1], grams[k] & np.uint64((1 << (16 * k)) - 1))]  # noqa: F821
-        of = np.searchsorted(contexts[k], grams[k] >> np.uint64(16))
-        for i, p in enumerate(per):
-            keys, n = p[k]
-            once, twice = (n == 1).sum(), (n == 2).sum()
-            cut = once / (once + 2 * twice) if once and twice else 0.5
-            c = np.zeros(len(grams[k]))
-            c[np.searchsorted(grams[k], keys)] = n
-            total = np.bincount(of, c, len(contexts[k]))
-            kinds = np.bincount(of, c > 0, len(contexts[k]))
-            some = total > 0
-            hand[some, i] = cut * kinds[some] / total[some]
-            own = np.divide(np.maximum(c - cut, 0), total[of], out=np.zeros(len(c)), where=some[of])
-            probs[:, i] = own + hand[of, i] * below[:, i]
-        probs_below = probs
-        logs.append(np.ascontiguousarray(np.log(np.maximum(probs, 1e-12)).T))
-        gamma.append(np.ascontiguousarray(np.log(np.maximum(hand, 1e-12)).T))
-    return LanguageModel(langs, grams, logs, contexts, gamma, np.full(n_lang, np.inf), np.zeros(n_lang))
-
-
-def train(documents: DataFrame, max_ngrams: int = MAX_NGRAMS) -> LanguageModel | None:
-    """A model from the rows that have a text and a language; None if there are none.
-
-    The rejection limit of a language is the cross-entropy (drawn towards the
-    language's average for short texts) that all but REJECT_SHARE of its
-    training texts stay below, plus a tenth.
+def _smooth(counts: DataFrame, n_lang: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Interpolated Kneser-Ney over the counts of the highest order (``l int, gram long, n long``).
+
+    Returns for each order ``l, gram, log`` and ``l, context, gamma``. Lower
+    orders count different left extensions; an order of a language without
+    n-grams that occur once, or twice, is discounted by one half.
+    """
+    levels = [counts]
+    for k in range(ORDER - 2, -1, -1):
+        low = F.col("gram").bitwiseAND(F.lit((1 << (16 * (k + 1))) - 1))
+        levels.insert(0, pin(levels[0].groupBy("l", low.alias("gram")).agg(F.count(F.lit(1)).alias("n"))))
+    uniform = F.lit(1.0 / (levels[0].select("gram").distinct().count() + 1))          # order 0, over characters
+    logs, gamma, below = [], [], None
+    for k, level in enumerate(levels):
+        cuts = [0.5] * n_lang
+        for i, once, twice in level.groupBy("l").agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).collect():
+            if once and twice:
+                cuts[i] = once / (once + 2 * twice)
+        cut = F.element_at(F.array(*map(F.lit, cuts)), F.col("l") + 1)
+        level = level.withColumn("context", F.shiftrightunsigned("gram", 16))
+        contexts = pin(level.groupBy("l", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+                       .withColumn("hand", cut * F.col("kinds") / F.col("total")))
+        rows = level.join(contexts, ["l", "context"])
+        if below is None:
+            rows = rows.withColumn("below", uniform)
+        else:
+            rows = rows.withColumn("low", F.col("gram").bitwiseAND(F.lit((1 << (16 * k)) - 1))).join(
+                below.select("l", F.col("gram").alias("low"), F.col("p").alias("below")), ["l", "low"])
+        own = F.greatest(F.col("n") - cut, F.lit(0.0)) / F.col("total")
+        below = pin(rows.select("l", "gram", (own + F.col("hand") * F.col("below")).alias("p")))
+        logs.append(below.select("l", "gram", F.log("p").alias("log")))
+        gamma.append(contexts.select("l", "context", F.log("hand").alias("gamma")))
+    return logs, gamma
+
+
+def _arrays(rows: DataFrame, n_lang: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted keys and their values, of each language."""
+    l, key, value = (c.to_numpy() for c in rows.toArrow().columns)
+    key = key.view(np.uint64)
+    order = np.lexsort((key, l))
+    cuts = np.searchsorted(l[order], np.arange(1, n_lang))
+    return list(zip(np.split(key[order], cuts), np.split(value[order], cuts), strict=True))
+
+
+def train(documents: DataFrame) -> LanguageModel | None:
+    """A model from the rows that have a text and a language; None if there are none with a letter.
+
+    Rows that repeat count as often as they stand; columns other than text and
+    lang are not looked at. The rejection limit of a language is the
+    cross-entropy (drawn towards the language's average for short texts) that
+    all but REJECT_SHARE of its training texts stay below, plus a tenth.
     """
     rows = documents.select("text", F.col("lang").cast("string")).where("text is not null and lang is not null")
     counts = pin(rows.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    kept = [counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(max_ngrams).toArrow()
-            for lang in sorted(r[0] for r in counts.select("lang").distinct().collect())]
-    kept = [t for t in kept if t.num_rows]
-    if not kept:
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    if not langs:
         return None
-    langs, arrays = [], []
-    for t in kept:
-        keys, n = t["gram"].to_numpy().view(np.uint64), t["n"].to_numpy()
-        order = np.argsort(keys)
-        langs.append(t["lang"][0].as_py())
-        arrays.append((keys[order], n[order]))
-    model = _smooth(langs, arrays)
+    number = F.element_at(F.create_map(*[F.lit(x) for pair in zip(langs, range(len(langs)), strict=True) for x in pair]), F.col("lang"))
+    logs, gamma = _smooth(counts.select(number.alias("l"), "gram", "n"), len(langs))
+    by_gram, by_context = ([_arrays(x, len(langs)) for x in frames] for frames in (logs, gamma))
+    grams, logs = ([[order[i][j] for order in by_gram] for i in range(len(langs))] for j in (0, 1))
+    contexts, gamma = ([[order[i][j] for order in by_context] for i in range(len(langs))] for j in (0, 1))
+    chars = np.unique(np.concatenate([g[0] for g in grams]))
+    model = LanguageModel(langs, grams, logs, contexts, gamma, chars, np.full(len(langs), np.inf), np.zeros(len(langs)))
     shared = documents.sparkSession.sparkContext.broadcast(model)
     scored = pin(_scored(rows.withColumn("row", F.lit(0).cast("long")), shared, ["lang"]))
     own = scored.where(F.col("lang") == F.col("lang_pred"))
@@ -281,11 +301,12 @@ def _scored(documents: DataFrame, shared, extra: list[str]) -> DataFrame:
         langs = np.array([*model.langs, UNKNOWN], object)
         for batch in chunks(batches, "text"):
             row, key, letters = _grams(batch.column("text"))
-            logs = model.log_probs(key)
             n = np.bincount(row, minlength=batch.num_rows)
             sums, some = np.zeros((batch.num_rows, len(model.langs))), n > 0
             if some.any():
-                sums[some] = np.add.reduceat(logs, (np.cumsum(n) - n)[some], axis=1).T
+                different, place = model.distinct(key)
+                for i in range(len(model.langs)):
+                    sums[some, i] = np.add.reduceat(model.log_prob(i, different)[place], (np.cumsum(n) - n)[some])
             mean = sums / np.maximum(n, 1)[:, None]
             best = mean.argmax(axis=1)
             top = mean[np.arange(len(best)), best]
@@ -309,6 +330,7 @@ def identify(documents: DataFrame, model: LanguageModel | None, keep: tuple[str,
     where the text is null or has no letter, and everywhere without a model.
     Texts whose cross-entropy lies above their language's limit are rejected
     but keep their ``lang_pred``. Equal scores: the language first by name.
+    A null doc_id is returned as it is, and rows that repeat come back each.
     """
     own = [f"__keep_{c}" for c in keep]
     back = [F.col(k).alias(c) for k, c in zip(own, keep, strict=True)]
