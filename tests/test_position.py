@@ -105,3 +105,15 @@ def test_call_list_files_follow_the_call_order(spark, tmp_path):
     got = [r["RISK_RANK"] for f in files for r in csv.DictReader(open(f))]
     ranked = [int(x) for x in got if x]
     assert len(files) > 1 and ranked == list(range(1, len(ranked) + 1)) and not any(got[len(ranked):]) and len(got) == 500
+
+
+def test_few_groups_are_joined_without_gathering_a_group(spark, tied):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        frames = (with_position(tied, [F.col("s").desc(), F.col("LOAN_ID").asc()], within=["g"], total="N"),
+                  with_running_sum(tied.withColumn("w", F.lit(1)), [F.col("LOAN_ID").asc()], {"cum": "w"}, within=["g"]))
+        plans = [f._jdf.queryExecution().executedPlan().toString() for f in frames]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
