@@ -94,3 +94,28 @@ def test_few_rows_have_no_deciles_and_no_rows_no_slices(spark):
     assert got == {"ranking", "ranking_by_category"}
     assert classify.ranking_blocks(df.limit(0), exposure="AMOUNT").count() == 0
     assert len(ranking.with_exposure_decile(df, "AMOUNT").collect()) == 0
+
+
+def test_a_worker_holds_a_piece_and_pieces_change_no_result(spark, monkeypatch):
+    rows = table(2, 300, 4)
+    df = spark.createDataFrame(rows, "LOAN_ID int, CURRENT_CAT int, LABEL int, SCORE double, NL int, STATUS string, AMOUNT double").repartition(2)
+
+    def run():
+        got = nested.nested_ranking(df, {"all": F.lit(nested.ALL), "status": F.col("STATUS")}, ties=("LOAN_ID",), windows=WINDOWS).collect()
+        return {(r["block"], r["slice"]): r.asDict() for r in got}
+    want, real = run(), nested._walk
+
+    def checked(blocks, budgets):
+        walk = real(blocks, budgets)
+
+        def piece(rows, before):
+            if rows.num_rows > 7:
+                raise ValueError(f"{rows.num_rows} rows at once")
+            return walk(rows, before)
+        return piece
+    monkeypatch.setattr(nested, "PIECE", 7)
+    monkeypatch.setattr(nested, "_walk", checked)
+    got = run()
+    assert got.keys() == want.keys()
+    for k, r in got.items():
+        assert r == {n: v if not isinstance(v, float) else pytest.approx(v, abs=1e-12) for n, v in want[k].items()}
