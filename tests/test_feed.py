@@ -203,3 +203,16 @@ def test_store_with_another_feature_list_is_refused_by_name(spark, tmp_path):
     with pytest.raises(ContractError, match="20260301.*RENAMED"):
         read_store(spark, path)
     assert read_store(spark, path, [20260101, 20260201]).count() == 2
+
+
+def test_rules_of_a_repeated_key_are_counted_from_a_few_numbers_a_key(spark):
+    twice = feed(spark).unionByName(feed(spark, DAYS_SINCE_LAST_DPD=(1, 25), WORST_FUTURE_CAT=(0, None))).unionByName(
+        feed(spark, MONTHS_IN_CURRENT_CATEGORY=(0, 7)))
+    f = one(feed_checks.snapshot_facts(twice))
+    assert (f["n"], f["surplus"], f["n_null"], f["lo"], f["hi"]) == (9, 6, 1, 20250731, 20250731)
+    bad = {(r["rule"], r["detail"]): r["n_bad"] for r in feed_checks.feed_violations(twice).collect()}
+    assert bad == {("ladder", "DAYS_SINCE_LAST_DPD > DAYS_SINCE_LAST_30_DPD"): 1, ("duplicate_key", "LOAN_ID, SNAPSHOT_DATE"): 6,
+                   ("months_range", "MONTHS_IN_CURRENT_CATEGORY outside 1..6"): 1}
+    plan = feed_checks.snapshot_facts(twice)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    by_key = [line for line in plan if "Aggregate [" in line][-1]
+    assert by_key.count("count(") == 1 and "more fields" not in by_key
