@@ -216,3 +216,21 @@ def test_rules_of_a_repeated_key_are_counted_from_a_few_numbers_a_key(spark):
     plan = feed_checks.snapshot_facts(twice)._jdf.queryExecution().optimizedPlan().toString().split("\n")
     by_key = [line for line in plan if "Aggregate [" in line][-1]
     assert by_key.count("count(") == 1 and "more fields" not in by_key
+
+
+def test_rows_of_small_portfolios_travel_as_they_are_and_heavy_ones_are_combined(spark, monkeypatch):
+    rows = [(i, None if i % 40 == 0 else ("big" if i < 120 else f"c{i % 90}"), 20250131 + i % 2, float(i % 11), i % 4, i % 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "LOAN_ID long, NATIONAL_CODE string, SNAPSHOT_DATE long, DPD_DAYS double, LOAN_CATEGORY int, WORST_FUTURE_CAT int")
+    whole = grain.portfolio_features(df, ["DPD_DAYS"])
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "partial_" not in plan.split("Exchange")[1]                         # nothing is combined below the shuffle
+    want = by(whole, *grain.KEYS)
+    plain = by(df.groupBy(*grain.KEYS).agg(F.count(F.lit(1)).alias("N_LOANS"), F.stddev_pop("DPD_DAYS").alias("s"), F.avg("DPD_DAYS").alias("m")), *grain.KEYS)
+    assert want.keys() == plain.keys()
+    monkeypatch.setattr(grain, "HEAVY", 4)
+    monkeypatch.setattr(grain, "TASK_ROWS", 50)
+    got = by(grain.portfolio_features(df, ["DPD_DAYS"]), *grain.KEYS)
+    for k, p in plain.items():
+        for r in (want[k], got[k]):
+            assert (r["N_LOANS"], r["MEAN_DPD_DAYS"], r["STD_DPD_DAYS"]) == (p["N_LOANS"], pytest.approx(p["m"]), pytest.approx(p["s"], abs=1e-9))
+        assert tuple(got[k])[:5] == tuple(want[k])[:5]
