@@ -449,9 +449,10 @@ def explore(df: DataFrame, list_columns: bool = True, id_col: str = "NATIONAL_CO
             if is_pii(col) or not isinstance(df.schema[col].dataType, T.ArrayType) or \
                     not isinstance(df.schema[col].dataType.elementType, T.StructType):
                 continue
-            own = df.where(F.col(EP) == ep)
             ids = [c for c in (id_col, CAT) if c in df.columns]
-            items = explode_list(own, col, ids).withColumn(EP, F.lit(f"{ep}::{col}[item]"))
+            own = pin(df.where(F.col(EP) == ep).select(*ids, col))
+            # Written once: discovery and every table below read single columns of them.
+            items = pin(explode_list(own, col, ids)).withColumn(EP, F.lit(f"{ep}::{col}[item]"))
             item_schema = discover(items, exclude=ids, max_id_cardinality=max(
                 discover_options.get("max_id_cardinality", C.MAX_ID_CARDINALITY), 100))
             text = resolve_column(items, "description", required=False)
@@ -461,7 +462,7 @@ def explore(df: DataFrame, list_columns: bool = True, id_col: str = "NATIONAL_CO
                     F.col("feature") == text, "reference").otherwise(F.col("type")))
             frames.append((items, item_schema))
             agg = roll_up_list(own.select(CAT, col), col, as_of, bank_field, own_bank_code).drop(col)
-            agg = agg.withColumnsRenamed({c: f"{col}_{c}" for c in agg.columns if c != CAT}).withColumn(
+            agg = pin(agg.withColumnsRenamed({c: f"{col}_{c}" for c in agg.columns if c != CAT})).withColumn(
                 EP, F.lit(f"{ep}::{col}[agg]"))
             frames.append((agg, discover(agg, exclude=[CAT])))
     tables: dict[str, DataFrame | None] = dict.fromkeys(
