@@ -97,3 +97,13 @@ def test_transform_joins_a_table_and_runs_no_python(spark):
     assert plan.count("BroadcastHashJoin") == 4 and not re.search("Python|Arrow|NestedLoop|Cartesian", plan)
     assert cal.transform(df.withColumn("CURRENT_CAT", F.lit(None).cast("int"))).where("abs(p0 + p1 + p2 + p3 - 1) > 1e-9").count() == 0
     assert cal.transform(df.withColumn("p1", F.lit(None).cast("double"))).where("p0 is not null").count() == 0
+
+
+def test_the_bucket_of_a_score_is_a_column_before_the_join(spark):
+    blocks = spark.createDataFrame([(0, .1, .2, 10, 1, .3, .5), (1, .3, .4, 10, 5, None, None)],
+                                   "block int, lo double, hi double, n long, hits long, next_lo double, next_value double")
+    df = spark.createDataFrame([(.05,), (.25,), (.9,), (None,), (float("nan"),)], "p double")
+    out = look_up(df, segments(blocks), "p", {}, "q")
+    assert [r["q"] for r in out.collect()] == [pytest.approx(.1), pytest.approx(.3), pytest.approx(.5), None, None]
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in line]
+    assert joins and not any("LOG2" in line.upper() for line in joins)
