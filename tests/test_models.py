@@ -160,3 +160,24 @@ def test_monitor_end_to_end(spark, tmp_path):
     assert hist.where("VINTAGE_START").count() == 1 and hist.count() > 50
     assert {r[0] for r in spark.read.parquet(paths["routing"]).select("COHORT").distinct().collect()} >= {"matured", "interim"}
     assert spark.read.csv(str(tmp_path / "history"), header=True).count() == hist.count()
+
+
+def test_the_loan_table_of_a_model_query_is_derived_once(spark, monkeypatch):
+    from loanwatch.plans.queries import models
+    calls, seen, real = [], {}, D.loan_feed
+    monkeypatch.setattr(models.D, "loan_feed", lambda *a: calls.append(1) or real(*a))
+    monkeypatch.setattr(models.TR, "train_fold", lambda rows, *a, **k: seen.update(rows=rows) or (_ for _ in ()).throw(InterruptedError))
+    with pytest.raises(InterruptedError):
+        models._j3m(spark, SF)
+    assert calls == [1]
+    plan = seen["rows"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan                  # rows of the written table
+
+
+def test_many_rows_are_fitted_one_model_at_a_time(rows, monkeypatch):
+    sizes, real = [], arms.ThreadPool
+    monkeypatch.setattr(arms, "ThreadPool", lambda n: sizes.append(n) or real(n))
+    a = arms.fit_arm("multiclass", rows, FEATS, SMALL)
+    monkeypatch.setattr(arms, "MANY_ROWS", 100)
+    b = arms.fit_arm("multiclass", rows, FEATS, SMALL)
+    assert sizes == [4, 1] and all(a.models[k].toDebugString.split("\n")[1:] == b.models[k].toDebugString.split("\n")[1:] for k in a.models)
