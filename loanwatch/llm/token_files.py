@@ -19,12 +19,13 @@ twice to place a document.
 Ids are those of the tokenizers library, without special tokens and with
 special tokens' strings taken as plain text. The library encodes each different
 pre-token once (boundaries by ``bpe.token_starts``, which tests hold against whole
-texts). A worker keeps them from task to task in two generations of bounded size:
+texts); equal ones of a step are found as an Arrow dictionary, and texts are put
+together by array lookups. A worker keeps them from task to task in two generations of bounded size:
 when one is full it becomes the older one, and what is not asked for again goes with it.
 
 Skew: rows that repeat a doc_id are dealt by the hash of their text and their
 place in the input too, so a doc_id with a third of all rows spans files. Texts
-are taken ``CHUNK_BYTES`` at a time, a longer one by itself.
+are taken ``STEP_BYTES`` at a time, a longer one by itself.
 
 Defined results: a null or empty text is the end id alone; a null doc_id stands
 before all others; rows that repeat a doc_id stand in order of their text's
@@ -51,6 +52,8 @@ from .common import chunks, partitions, text_bytes
 
 END_ID = 0
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 64 << 10, 1000
+#: Bytes of text that are encoded together: the more, the more pre-tokens are looked up once.
+STEP_BYTES = 2 << 20
 #: Pre-tokens in a generation of a worker's cache.
 GENERATION = 300_000
 
@@ -79,51 +82,74 @@ class Library:
     def __reduce__(self):
         return Library, (self.path,)
 
-    def _words(self, words: list[bytes]) -> list[bytes]:
-        """Packed ids of pre-tokens that are a blank and ASCII letters: laid end to end they are one text with the same
-        pre-tokens, so one call encodes them all; the ids' lengths in bytes say where each one ends."""
-        if not words:
+    def _joined(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pre-tokens that are a blank and what is no white space: laid end to end they are one text with the
+        same pre-tokens, so one call encodes them all; the ids' lengths in bytes say where each one ends."""
+        if not pieces:
             return []
-        ids = np.array(self.tokenizer.encode(b"".join(words).decode(), add_special_tokens=False).ids, "<i4")
+        text = self.tokenizer.encode_batch_fast([b"".join(pieces).decode()], add_special_tokens=False)[0]
+        ids = np.array(text.ids, "<i4")
         ends = np.cumsum(self.lengths[ids])
-        cut = np.searchsorted(ends, np.cumsum([len(x) for x in words]))
+        cut = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))))
         packed, stops = ids.tobytes(), (4 * (cut + 1)).tolist()
         return [packed[a:b] for a, b in pairwise([0, *stops])]
 
-    def encode(self, column: pa.Array) -> tuple[list[bytes], np.ndarray]:
-        """For texts without nulls: the ids of each pre-token (packed), and the n + 1 offsets of the texts' pre-tokens."""
-        data, offsets = text_bytes(column)
-        if not len(data):
-            return [], np.zeros(len(offsets), np.int64)
-        starts = token_starts(data, offsets)
-        pieces = np.insert(data, starts[1:], 0xFF).tobytes().split(b"\xff")        # a byte that UTF-8 never has
+    def _packed(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of different pre-tokens."""
         if len(self.cache) > GENERATION:
             self.older, self.cache = self.cache, {}
-        new = set(pieces).difference(self.cache)
-        again = new.intersection(self.older)
-        self.cache.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        new = list(new - again)
-        words = [x for x in new if x[:1] == b" " and x[1:].isalpha()]
-        self.cache.update(zip(words, self._words(words), strict=True))
-        rest = [x for x in new if x not in self.cache]
-        made = self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)
-        self.cache.update(zip(rest, (np.array(x.ids, "<i4").tobytes() for x in made), strict=True))
-        return list(map(self.cache.__getitem__, pieces)), np.searchsorted(starts, offsets)
+        out = list(map(self.cache.get, pieces))
+        missing = [i for i, y in enumerate(out) if y is None]
+        joined, rest, older = [], [], self.older.get
+        for i in missing:
+            x = pieces[i]
+            y = out[i] = older(x)
+            if y is None:
+                (joined if x[0] == 0x20 and len(x) > 1 and (0x20 < x[1] < 0x7F or 0xC2 < x[1] < 0xE0) else rest).append(i)
+        encoded = self.tokenizer.encode_batch_fast([pieces[i].decode() for i in rest], add_special_tokens=False)
+        for i, y in [*zip(joined, self._joined([pieces[i] for i in joined]), strict=True), *((i, np.array(x.ids, "<i4").tobytes()) for i, x in zip(rest, encoded, strict=True))]:
+            out[i] = y
+        self.cache.update((pieces[i], out[i]) for i in missing)
+        return out
+
+    def _pieces(self, column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """For texts without nulls: packed ids of each different pre-token, which of them each pre-token is, and the n + 1 offsets of the texts' pre-tokens."""
+        data, offsets = text_bytes(column)
+        starts = token_starts(data, offsets) if len(data) else np.empty(0, np.int64)
+        bounds = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(data)]).dictionary_encode()
+        each, at = text_bytes(pieces.dictionary)
+        each = np.insert(each, at[1:-1], 0xFF).tobytes().split(b"\xff") if len(each) else []        # a byte that UTF-8 never has
+        return self._packed(each), pieces.indices.to_numpy(), np.searchsorted(starts, offsets)
+
+    def encode(self, column: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """For texts without nulls: the ids of each pre-token (packed), and the n + 1 offsets of the texts' pre-tokens."""
+        packed, which, of_text = self._pieces(column)
+        return list(map(packed.__getitem__, which.tolist())), of_text
+
+    def ids(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """For texts without nulls: their ids end to end, each text's followed by the end id, and the n + 1 offsets of the texts among them."""
+        packed, which, of_text = self._pieces(column)
+        packed = [*packed, np.array([end_id], "<i4").tobytes()]
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        ids = np.frombuffer(b"".join(packed), "<i4")
+        which = np.insert(which, of_text[1:], len(packed) - 1)
+        n = sizes[which]
+        ends = np.append(0, np.cumsum(n))
+        place = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], n) + np.arange(ends[-1])
+        return ids[place], ends[of_text + np.arange(len(of_text))]
 
 
 def _encode(shared, end_id: int):
     """Rows of the file format from sorted rows; a task is a file."""
-    end = np.array([end_id], "<i4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, shard, start = shared.value, TaskContext.get().partitionId(), 0
-        for batch in chunks(batches, "text"):
-            packed, of_text = library.encode(batch.column("text"))
-            docs = [b"".join(packed[a:b]) + end for a, b in zip(of_text[:-1].tolist(), of_text[1:].tolist(), strict=True)]
-            sizes = np.array([len(x) // 4 for x in docs], np.int64)
-            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.frombuffer(b"".join(docs), "<i4")))
+        for batch in chunks(batches, "text", STEP_BYTES):
+            flat, offsets = library.ids(batch.column("text"), end_id)
+            sizes = np.diff(offsets)
+            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(docs), shard, np.int32)), batch.column("doc_id"), pa.array(start + np.cumsum(sizes) - sizes),
+                [pa.array(np.full(len(sizes), shard, np.int32)), batch.column("doc_id"), pa.array(start + np.cumsum(sizes) - sizes),
                  pa.array(sizes.astype(np.int32)), ids], ["shard", "doc_id", "start_in_shard", "n_tokens", "ids"])
             start += int(sizes.sum())
     return run

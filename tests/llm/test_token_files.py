@@ -97,3 +97,22 @@ def test_pieces_encode_as_whole_texts_do(spark):
     packed, of_text = token_files.Library(JSON).encode(pa.array(texts))
     got = [np.frombuffer(b"".join(packed[a:b]), "<i4").tolist() + [0] for a, b in zip(of_text[:-1], of_text[1:], strict=True)]
     assert got == library_ids(texts)
+
+
+def test_words_of_any_letters_reach_the_library_in_one_text(monkeypatch):
+    """A text of one word costs the library many times what the word costs in a longer text; equal words cost nothing."""
+    words = [f"{a}é{b}ž" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    texts = [" ".join(words[i:] + words[:i]) + f" {i} 's  \n" for i in range(20)] + ["", "\u00a0\u2003 x \x1c y"]
+    library, handed = token_files.Library(JSON), []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, batch, **how):
+            handed.extend(batch)
+            return self.inner.encode_batch_fast(batch, **how)
+    monkeypatch.setattr(library, "tokenizer", Counted(library.tokenizer))
+    ids, offsets = library.ids(pa.array(texts), 0)
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == library_ids(texts)
+    assert len(handed) < 30 and sum(map(len, handed)) < 2 * sum(len(x) + 1 for x in words)
