@@ -139,6 +139,21 @@ def test_a_clean_feed_is_scanned_once(spark, tmp_path):
     assert "source" not in plan and watch.violations(rows).count() == 0
 
 
+def test_what_a_row_is_watched_for_does_not_grow_with_the_snapshots(spark):
+    months = [20200101 + 100 * k for k in range(90)]
+    loans = feed(spark, *months[1:80], 20300101, bad=months[5]).unionByName(feed(spark, months[5], months[79]).where("LOAN_ID = 4")).repartition(7)
+    watches = [feed_checks.Watch(loans, some, ledger(spark, *some)) for some in (months[:80], months[:3])]
+    frames = [w.watched() for w in watches]
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in frames]
+    assert len({p.count("bitmap_construct_agg") + p.count("bit_or") + p.count("count") + p.count("histogram_numeric") for p in plans}) == 1
+    watch = watches[0]
+    frames[0].write.format("noop").mode("overwrite").save()
+    assert watch.without_label() == {m: 0 if m == months[0] else 2 if m in (months[5], months[79]) else 1 for m in months[:80]}
+    found = watch.suspects({m: 4 for m in months[1:80]})
+    assert {m for m, rules in found.items() if "label_below_category" in rules} == {months[5]}
+    assert {m for m, rules in found.items() if "label_nullity" in rules} == {months[0], months[5], months[79]}
+
+
 def test_all_rules_take_one_scan(spark, tmp_path):
     loans = on_disk(spark, feed(spark, 20240101, 20240201, bad=20240201), tmp_path / "source")
     found = feed_checks.feed_violations(loans, ledger(spark, 20240101, 20240201))
