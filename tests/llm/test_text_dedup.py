@@ -11,6 +11,7 @@ import xxhash
 from llm_cases import SCHEMA, awkward, documents, prose
 from pyspark.sql import functions as F
 
+from loanwatch import session
 from loanwatch.llm import line_dedup, simhash_dedup, substring_dedup
 from loanwatch.llm.common import components
 
@@ -238,3 +239,13 @@ def test_shingles_start_at_every_character(spark):
     for line in ("short", "exactly8", "nine char", "\U0001F600 smile \U0001F600\U0001F601 end", "漢字かな交じり文。と"):
         got = spark.createDataFrame([(line,)], "line string").select(line_dedup.shingles(F.col("line"))).first()[0]
         assert got == [line[i:i + 8] for i in range(max(1, len(line) - 7))]
+
+
+def test_line_dedup_leaves_only_what_its_result_reads(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SMALL", 2)
+    before = len(session._PINS)
+    rows = edited(3, 3, 20)
+    frame = line_dedup.line_dedup(documents(spark, rows))
+    left = session._PINS[before:]
+    assert len(left) == 2 and all(spark.read.parquet(p).columns in (["node", "component"], ["id", "first"]) for p in left)
+    assert sorted(r["doc_id"] for r in frame.collect()) == sorted(i for i, _ in rows)
