@@ -11,6 +11,7 @@ sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).res
 def spark():
     from loanwatch.session import configure
     s = (configure(SparkSession.builder.master("local[4]").appName("tests"))
+         .config("spark.sql.maxMetadataStringLength", "10000")          # plans name their whole paths, however long
          .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
          .config("spark.driver.memory", "6g").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
