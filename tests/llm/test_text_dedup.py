@@ -249,3 +249,25 @@ def test_line_dedup_leaves_only_what_its_result_reads(spark, monkeypatch):
     left = session._PINS[before:]
     assert len(left) == 2 and all(spark.read.parquet(p).columns in (["node", "component"], ["id", "first"]) for p in left)
     assert sorted(r["doc_id"] for r in frame.collect()) == sorted(i for i, _ in rows)
+
+
+def test_a_line_takes_each_center_of_its_bands_once(spark, monkeypatch):
+    """Ten bands with the same 40 lines: a row for each line and center, not for each band too, and no join that makes one."""
+    monkeypatch.setattr(line_dedup, "CENTERS", 4)
+    rows = [((i, i), key, float(i)) for key in range(10) for i in range(40)]
+    hot = spark.createDataFrame(rows, "id struct<h1:long,h2:long>, key long, typical double")
+    pairs = [(r["u"]["h1"], r["v"]["h1"]) for r in line_dedup._with_centers(hot).collect()]
+    want = {(min(i, c), max(i, c)) for i in range(40) for c in range(36, 40) if i != c}
+    assert set(pairs) == want and len(pairs) == 40 * 4 - 4
+
+
+def test_sketches_rule_out_strangers_and_no_pair_at_the_threshold(spark):
+    lines = sorted({line for _, text in edited(4, 3, 12) for line in text.split("\n") if line} | {"short", "漢字かな交じり文。と" * 5, "漢字かな交じり文。と" * 6})
+    frame = spark.createDataFrame([(k, 0, line) for k, line in enumerate(lines)], "h1 long, h2 long, line string")
+    sketch = line_dedup._sketches(frame)
+    pairs = line_dedup._pairs(sketch.withColumn("one", F.lit(1)), sketch.withColumn("one", F.lit(1)), "one", (F.col("a.id") < F.col("b.id")) & line_dedup._able("a", "b", 0.8))
+    able = {(r["u"]["h1"], r["v"]["h1"]) for r in pairs.collect()}
+    sets = [shingle_set(line) for line in lines]
+    index = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(range(len(lines)), 2)}
+    assert {p for p, j in index.items() if j >= 0.8} <= able
+    assert not any(j < 0.4 for p, j in index.items() if p in able and min(len(sets[p[0]]), len(sets[p[1]])) > 20)
