@@ -8,8 +8,9 @@ comes from a scan over that set: blocks of the text are composed side by side,
 the blocks' results are scanned, and each block is entered with the state the
 blocks before it leave. A token starts where state, class and next class say so.
 
-The slices are bytes; each distinct one is merged once (lowest rank first) and
-kept in a cache of bounded size. Decoding uses the retained token offsets.
+The slices are bytes; equal ones of a step are found as an Arrow dictionary, and each
+distinct one is merged once (lowest rank first) and kept in a cache of bounded size.
+Texts' ids are put together by array lookups. Decoding uses the retained token offsets.
 """
 
 from __future__ import annotations
@@ -155,6 +156,32 @@ def token_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at[start[shifted]]
 
 
+def different_pieces(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """For texts without nulls: each different pre-token, which of them each pre-token is, the pre-tokens' byte ends, and the n + 1 offsets of the texts' pre-tokens."""
+    data, offsets = text_bytes(column)
+    starts = token_starts(data, offsets) if len(data) else np.empty(0, np.int64)
+    bounds = np.append(starts, len(data)).astype(np.int64)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+    each, at = text_bytes(pieces.dictionary)
+    each = np.insert(each, at[1:-1], 0xFF).tobytes().split(b"\xff") if len(each) else []        # a byte that UTF-8 never has
+    return each, pieces.indices.to_numpy(), bounds[1:], np.searchsorted(starts, offsets)
+
+
+def laid_out(packed: list[bytes], which: np.ndarray, of_text: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts end to end, each text's followed by the end id, and the n + 1 offsets of the texts among them.
+
+    ``packed`` are the ids of each different pre-token, the others as ``different_pieces`` returns them.
+    """
+    packed = [*packed, np.array([end_id], "<i4").tobytes()]
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    ids = np.frombuffer(b"".join(packed), "<i4")
+    which = np.insert(which, of_text[1:], len(packed) - 1)
+    n = sizes[which]
+    ends = np.append(0, np.cumsum(n))
+    place = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], n) + np.arange(ends[-1])
+    return ids[place], ends[of_text + np.arange(len(of_text))]
+
+
 _NONE = np.iinfo(np.int32).max
 
 
@@ -262,24 +289,28 @@ class Bpe:
     def __reduce__(self):
         return Bpe, (self.ranks,)
 
-    def encode(self, column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """For texts without nulls: ids of each pre-token (packed), the pre-tokens' byte ends, and the n + 1 offsets of the texts' pre-tokens."""
-        data, offsets = text_bytes(column)
-        if not len(data):
-            return [], np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
-        starts = token_starts(data, offsets)
-        ends = np.append(starts[1:], len(data))
-        tokens = np.insert(data, starts[1:], 0xFF).tobytes().split(b"\xff")        # a byte that UTF-8 never has
+    def _packed(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of different pre-tokens."""
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
-        packed = list(map(self.cache.get, tokens))
+        packed = list(map(self.cache.get, pieces))
         missing = [i for i, x in enumerate(packed) if x is None]
         if missing:
-            new = list({tokens[i] for i in missing})
-            self.cache.update(zip(new, self.merger.merge(new), strict=True))
-            for i in missing:
-                packed[i] = self.cache[tokens[i]]
-        return packed, ends, np.searchsorted(starts, offsets)
+            new = [pieces[i] for i in missing]
+            for i, x in zip(missing, self.merger.merge(new), strict=True):
+                packed[i] = x
+            self.cache.update((pieces[i], packed[i]) for i in missing)
+        return packed
+
+    def encode(self, column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """For texts without nulls: ids of each pre-token (packed), the pre-tokens' byte ends, and the n + 1 offsets of the texts' pre-tokens."""
+        pieces, which, ends, of_text = different_pieces(column)
+        return list(map(self._packed(pieces).__getitem__, which.tolist())), ends, of_text
+
+    def ids(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """For texts without nulls: their ids end to end, each text's followed by the end id, and the n + 1 offsets of the texts among them."""
+        pieces, which, _, of_text = different_pieces(column)
+        return laid_out(self._packed(pieces), which, of_text, end_id)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -93,21 +93,19 @@ def pieces(documents: DataFrame, bpe: Bpe, capacity: int = CAPACITY, end_id: int
     shorter. ``item`` follows the layout: write the result before using it twice.
     """
     shared = documents.sparkSession.sparkContext.broadcast(bpe)
-    end = np.array([end_id], "<u4").tobytes()
     schema = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                         ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item = TaskContext.get().partitionId() << _PART
         for batch in chunks(batches, "text"):
-            packed, _, of_text = shared.value.encode(batch.column("text"))
-            rows = []
-            for doc, a, b in zip(batch.column("doc_id").to_pylist(), of_text[:-1].tolist(), of_text[1:].tolist(), strict=True):
-                ids = b"".join(packed[a:b]) + end
-                n = len(ids) // 4
+            flat, offsets = shared.value.ids(batch.column("text"), end_id)
+            flat, rows = flat.astype("<u4", copy=False).tobytes(), []
+            for doc, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                n = b - a
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    part = ids[4 * s:4 * e]
+                    part = flat[4 * (a + s):4 * (a + e)]
                     rows.append((item, doc, k, s, e - s, zlib.crc32(part), part))
                     item += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)

@@ -47,8 +47,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import token_starts
-from .common import chunks, partitions, text_bytes
+from .bpe import different_pieces, laid_out
+from .common import chunks, partitions
 
 END_ID = 0
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 64 << 10, 1000
@@ -112,32 +112,15 @@ class Library:
         self.cache.update((pieces[i], out[i]) for i in missing)
         return out
 
-    def _pieces(self, column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """For texts without nulls: packed ids of each different pre-token, which of them each pre-token is, and the n + 1 offsets of the texts' pre-tokens."""
-        data, offsets = text_bytes(column)
-        starts = token_starts(data, offsets) if len(data) else np.empty(0, np.int64)
-        bounds = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(data)]).dictionary_encode()
-        each, at = text_bytes(pieces.dictionary)
-        each = np.insert(each, at[1:-1], 0xFF).tobytes().split(b"\xff") if len(each) else []        # a byte that UTF-8 never has
-        return self._packed(each), pieces.indices.to_numpy(), np.searchsorted(starts, offsets)
-
     def encode(self, column: pa.Array) -> tuple[list[bytes], np.ndarray]:
         """For texts without nulls: the ids of each pre-token (packed), and the n + 1 offsets of the texts' pre-tokens."""
-        packed, which, of_text = self._pieces(column)
-        return list(map(packed.__getitem__, which.tolist())), of_text
+        pieces, which, _, of_text = different_pieces(column)
+        return list(map(self._packed(pieces).__getitem__, which.tolist())), of_text
 
     def ids(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """For texts without nulls: their ids end to end, each text's followed by the end id, and the n + 1 offsets of the texts among them."""
-        packed, which, of_text = self._pieces(column)
-        packed = [*packed, np.array([end_id], "<i4").tobytes()]
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        ids = np.frombuffer(b"".join(packed), "<i4")
-        which = np.insert(which, of_text[1:], len(packed) - 1)
-        n = sizes[which]
-        ends = np.append(0, np.cumsum(n))
-        place = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], n) + np.arange(ends[-1])
-        return ids[place], ends[of_text + np.arange(len(of_text))]
+        pieces, which, _, of_text = different_pieces(column)
+        return laid_out(self._packed(pieces), which, of_text, end_id)
 
 
 def _encode(shared, end_id: int):

@@ -166,3 +166,16 @@ def test_registered_queries(spark):
                    for i, t in docs}
     rows = QUERIES["op1_best_fit_packing"](spark, sf).collect()
     assert len({r["sequence_id"] for r in rows}) <= -(-sum(r["length"] for r in rows) // 2048) + 1
+
+
+def test_equal_pre_tokens_of_a_step_are_looked_up_once(monkeypatch):
+    asked = []
+    own = bpe.Bpe(OURS.ranks)
+    monkeypatch.setattr(own, "cache", type("Cache", (dict,), {"get": lambda self, x: asked.append(x)})())
+    texts = ["one two one two", "", "one two three one two", "naïve one"]
+    ids, offsets = own.ids(pa.array(texts), 0)
+    assert len(asked) == len(set(asked)) and b" two" in asked
+    packed, _, of_text = OURS.encode(pa.array(texts))
+    for k in range(len(texts)):
+        want = np.frombuffer(b"".join(packed[of_text[k]:of_text[k + 1]]), "<u4").tolist()
+        assert ids[offsets[k]:offsets[k + 1]].tolist() == [*want, 0]
