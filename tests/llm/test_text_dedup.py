@@ -271,3 +271,27 @@ def test_sketches_rule_out_strangers_and_no_pair_at_the_threshold(spark):
     index = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(range(len(lines)), 2)}
     assert {p for p, j in index.items() if j >= 0.8} <= able
     assert not any(j < 0.4 for p, j in index.items() if p in able and min(len(sets[p[0]]), len(sets[p[1]])) > 20)
+
+
+def test_coded_shingles_meet_as_the_shingles_do(spark):
+    lines = ["", "short", "exactly8", "nine char", "ab" * 40, prose(50, 30), "\U0001F600 smile \U0001F600\U0001F601 end", "漢字かな交じり文。と" * 5, "﻿nine char", prose(50, 30) + "é"]
+    sets = [shingle_set(line) for line in lines]
+    frame = spark.createDataFrame(list(enumerate(lines)), "k int, line string").select("k", line_dedup.coded_shingles(F.col("line")).alias("s"))
+    a, b = frame.toDF("a", "sa"), frame.toDF("b", "sb")
+    got = {(r["a"], r["b"]): r["n"] for r in a.crossJoin(b).select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n")).collect()}
+    assert got == {(i, j): len(x & y) for i, x in enumerate(sets) for j, y in enumerate(sets)}
+
+
+def test_lines_travel_only_where_the_kept_text_is_read(spark):
+    """The join with the kept lines moves line numbers; a text travels only for the kept text, once, and is cut once."""
+    found = line_dedup.line_dedup(documents(spark, edited(5, 3, 6)).select("doc_id", "text"))
+
+    def moved(frame):
+        node = frame._jdf.queryExecution().optimizedPlan()
+        above = node.toString().split("Join LeftOuter")[0]
+        while node.nodeName() != "Join":
+            node = node.children().apply(0)
+        output = node.children().apply(0).output()
+        return sorted(output.apply(i).dataType().simpleString() for i in range(output.size())), above.count("split(")
+    assert moved(found.select("doc_id", "line_dedup.n_lines", "line_dedup.removed")) == (["array<int>", "bigint", "bigint", "int"], 0)
+    assert moved(found) == (["array<int>", "bigint", "bigint", "int", "string"], 1)
