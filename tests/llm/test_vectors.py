@@ -46,6 +46,27 @@ def test_topk_equals_brute_force(spark, monkeypatch, shard):
     assert sorted(map(tuple, got)) == sorted(brute_topk(awkward(), 5, 50))
 
 
+def test_topk_cells_of_many_tiles_equal_brute_force(spark, monkeypatch):
+    """Several lanes and slots with several blocks and shards each, numbers of every width, ties that go on in the next tile."""
+    for name, value in (("SHARD_ROWS", 16), ("BLOCK_ROWS", 3), ("MERGE", 2), ("CELLS", 1), ("LANE_BLOCKS", 4), ("SLOT_SHARDS", 3), ("TILE", (2, 5))):
+        monkeypatch.setattr(topk, name, value)
+    rows = awkward() + [(2000, [127.99, -128.0] * 4, 0), (2050, [128.0, 3.0] * 4, 0), (2100, [9e6, 1.0] * 4, 0)]
+    found = topk.topk(frame(spark, rows), F.col("vec_id") % 10 == 0, 5)
+    assert sorted(map(tuple, found.collect())) == sorted(brute_topk(rows, 5, 10))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan                                              # no row for each pair of a block and a shard
+
+
+def test_topk_blocks_are_full_and_narrow(spark):
+    rows = spark.range(25).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double"), F.lit(0.5)).alias("embedding")).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        packed = rows.mapInArrow(topk._pack(10), topk._PACKED).select("kind", F.length("ids").alias("ids"), F.length("matrix").alias("bytes")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, packed)) == [("<i2", 40, 20), ("<i2", 80, 40), ("<i2", 80, 40)]
+
+
 def test_topk_beyond_doubles_is_exact(spark):
     rows = [(i, [3e13 + i, 1.0], 0) for i in range(4)]
     got = topk.topk(frame(spark, rows), F.col("vec_id") == 0, 2).collect()
