@@ -181,3 +181,40 @@ def test_many_rows_are_fitted_one_model_at_a_time(rows, monkeypatch):
     monkeypatch.setattr(arms, "MANY_ROWS", 100)
     b = arms.fit_arm("multiclass", rows, FEATS, SMALL)
     assert sizes == [4, 1] and all(a.models[k].toDebugString.split("\n")[1:] == b.models[k].toDebugString.split("\n")[1:] for k in a.models)
+
+
+@pytest.mark.parametrize("kind", ["multiclass", "binary", "ordinal", "per_cat"])
+def test_binned_rows_give_mllibs_trees_where_nothing_is_drawn(rows, kind, monkeypatch):
+    params = {**SMALL, "subsample": 1.0, "colsample": 1.0}
+    a = arms.fit_arm(kind, rows, FEATS, params)
+    monkeypatch.setattr(arms, "BINNED_ROWS", 100)
+    monkeypatch.setattr(arms.boosting, "BLOCK_ROWS", 200)
+    monkeypatch.setattr(arms.boosting, "KEEP_TREES", 2)
+    monkeypatch.setattr(arms.boosting, "DIRECT_BYTES", 1000)
+    b = arms.fit_arm(kind, rows, FEATS, params)
+    assert a.models.keys() == b.models.keys() and a.strata == b.strata
+    p, q = (by(x.predict(rows), "LOAN_ID") for x in (a, b))
+    assert all(p[k][c] == pytest.approx(q[k][c], abs=1e-9) for k in p for c in decide.RAW)
+
+
+def test_binned_trees_do_not_depend_on_the_order_or_layout_of_rows(rows, monkeypatch):
+    monkeypatch.setattr(arms, "BINNED_ROWS", 100)
+    a = arms.fit_arm("binary", rows, FEATS, SMALL)
+    b = arms.fit_arm("binary", rows.repartition(5).orderBy(F.rand(5)), FEATS, SMALL)
+    assert a.models["severe"].toDebugString.split("\n")[1:] == b.models["severe"].toDebugString.split("\n")[1:]
+    assert arms.ranked_severe_ap(a.predict(rows)) > one(rows.where("CURRENT_CAT < 3").agg(F.avg((F.col("LABEL") == 3).cast("int"))))[0] + .1
+
+
+def test_preprocessing_leaves_no_tables_and_many_portfolio_rows_are_dealt_first(rows, monkeypatch):
+    from loanwatch import session
+    from loanwatch.operators.preprocess import Preprocessor
+    loans = rows.withColumns({"NATIONAL_CODE": (F.col("LOAN_ID") % 300).cast("string"), "LOAN_CATEGORY": F.col("CURRENT_CAT"), "WORST_FUTURE_CAT": F.col("LABEL")}).drop("CURRENT_CAT", "LABEL")
+    held = list(session._PINS)
+    pre = Preprocessor(FEATS).fit(loans)
+    assert session._PINS == held
+    few = artifact.shape_rows(loans, pre, FEATS, "portfolio")
+    monkeypatch.setattr(artifact, "BINNED_ROWS", 100)
+    many = artifact.shape_rows(loans, pre, FEATS, "portfolio")
+    assert ["RepartitionByExpression" in x._jdf.queryExecution().optimizedPlan().toString() for x in (few, many)] == [False, True]
+    a, b = (by(x, "NATIONAL_CODE") for x in (few, many))
+    assert a.keys() == b.keys() and all(a[k][c] == pytest.approx(b[k][c]) for k in a for c in few.columns if c != "NATIONAL_CODE")
